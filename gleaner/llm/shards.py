@@ -4,8 +4,8 @@ Rows are ordered by (hash of the text, id), so equal texts stand together.
 Splitters are found by counting: each round sums, over all partitions, the exact
 bytes that fall into finer key ranges around every splitter still open, and
 narrows it to the range that its target falls into, until a boundary lies within
-the tolerance or the range is a single key.  A group of equal texts larger than
-that is split by id.  Then rows move once, straight to their place.
+the tolerance or the range is a single text's.  A large group of equal texts is
+split by id.  Then rows move once, straight to their place.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class _Open:
     below: int = 0
 
 
-def _splitters(keys: DataFrame, targets: list[float], slack: float, first_bits: int = 12, bits: int = 6) -> list[tuple[int, int]]:
+def _splitters(keys: DataFrame, targets: list[float], slack: float, whole: float, first_bits: int = 12, bits: int = 6) -> list[tuple[int, int]]:
     """For each target the key (hash, id) such that the bytes of smaller keys come near it."""
     spark = keys.sparkSession
     done: dict[float, tuple[int, int]] = {}
@@ -74,14 +74,15 @@ def _splitters(keys: DataFrame, targets: list[float], slack: float, first_bits:
             else:
                 start, width, r, below = at
                 above = below + r.bytes
-                one = r.k0 == r.k1 and (o.hash is not None or r.h0 == r.h1)
+                # a single key, or a group of equal texts small enough to stay together
+                one = r.k0 == r.k1 and (o.hash is not None or r.h0 == r.h1) or o.hash is None and r.h0 == r.h1 and r.bytes <= whole
                 if one or min(t - below, abs(above - t)) <= slack:
                     end = start + width
                     key = start if t - below <= abs(above - t) else end
                     if o.hash is not None:
                         done[t] = (o.hash, key)
                     elif one:
-                        done[t] = (r.h0, r.k0) if key == start else (r.h0, r.k0 + 1)
+                        done[t] = (r.h0, _LOW) if key == start else (min(r.h0 + 1, -_LOW - 1), _LOW)
                     else:
                         done[t] = (min(key, -_LOW - 1), _LOW)
                 elif o.hash is None and r.h0 == r.h1:
@@ -107,7 +108,7 @@ def _passed(cuts: list[tuple[int, int]]) -> Column:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, fine: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.1, fine: int = 16) -> DataFrame:
     """Place every row into shards 0 to ``shards - 1`` of near equal bytes, in one exchange.
 
     A row's size is its text's UTF-8 bytes plus 8 (a null text has none).  Returns
@@ -115,7 +116,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     bytes, 0 for null), ``shard`` (int) and ``slot`` (long; gapless from 0 within
     a shard), which replace input columns of these names.  Boundaries lie within
     ``tolerance`` of a shard's bytes of their targets, or next to the row or
-    repeated rows that they would have to cut.  Null ids order as -1.  Repeated
+    group that they would have to cut.  Null ids order as -1.  Repeated
     rows stand together.  An empty table gives an empty table.
 
     ``fine``: ranges a shard is cut into for the exchange; each is one task's sort.
@@ -128,7 +129,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = shards * fine
     targets = [total * i / parts for i in range(1, parts)]
-    cuts = sorted(_splitters(keys, targets, tolerance * total / shards)) if total else [(_LOW, _LOW)] * (parts - 1)
+    cuts = sorted(_splitters(keys, targets, tolerance * total / shards, whole * total / shards)) if total else [(_LOW, _LOW)] * (parts - 1)
     coarse = [cuts[i * fine - 1] for i in range(1, shards)]
     inside = [cuts[i * fine : (i + 1) * fine - 1] for i in range(shards)]
     ladder = F.element_at(F.array(*[F.array(*[F.struct(F.lit(a).alias("h"), F.lit(b).alias("k")) for a, b in row]) for row in inside]), F.col("__shard") + 1)
