@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gleaner.functions import text as T
 from gleaner.functions import url as U
@@ -147,9 +148,7 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
         out["turn"] = range(1, len(taken) + 1)
         return out
 
-    from pyspark.sql.types import IntegerType, StructType
-
-    schema = StructType(clean.schema.fields).add("turn", IntegerType())
+    schema = StructType([*clean.schema.fields, StructField("turn", IntegerType())])
     return bounded.withColumn("__run", F.lit(0)).groupBy("__run").applyInPandas(lambda rows: greedy(rows), schema)
 
 

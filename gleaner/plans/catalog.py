@@ -117,7 +117,7 @@ register("lim2_follow_budget", f"WITH {DEDUPED} SELECT ord, url FROM first ORDER
 
 def selected(spark: SparkSession, sf: str, most: int = 8) -> DataFrame:
     ranked = H.rank_composite(deduped(spark, sf))
-    top = ranked.withColumn("place", F.struct((-F.col("rank_score")).alias("s"), "ord"))
+    top = ranked.orderBy(F.desc("rank_score"), "ord").withColumn("place", F.monotonically_increasing_id())  # rises along the sort
     return H.select_candidates(top, most)
 
 
