@@ -25,9 +25,13 @@ def apply_path(json: Column, path: str) -> Column:
     current = F.array(F.to_json(F.parse_json(json)))
     for name, spread in parse(path):
         if name is not None:
-            field = "$['" + name.replace("'", "\\'") + "']"
-            current = F.filter(F.transform(current, lambda v, f=field: F.to_json(F.try_variant_get(F.parse_json(v), f, "variant"))), lambda v: v.isNotNull())
+            current = F.filter(F.transform(current, _field(name)), lambda v: v.isNotNull())
         if spread:
             split = F.transform(current, lambda v: F.coalesce(F.transform(F.try_variant_get(F.parse_json(v), "$", "array<variant>"), lambda x: F.to_json(x)), F.array(v)))
             current = F.flatten(split)
     return F.when(F.size(current) == 1, current[0]).otherwise(F.concat(F.lit("["), F.array_join(current, ","), F.lit("]")))
+
+
+def _field(name: str):
+    path = "$['" + name.replace("'", "\\'") + "']"
+    return lambda v: F.to_json(F.try_variant_get(F.parse_json(v), path, "variant"))

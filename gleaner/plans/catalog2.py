@@ -1,0 +1,310 @@
+"""Registered queries of sources, sinks, state, jobs, pages and trees."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gleaner.functions import html as X
+from gleaner.functions import jsonpath as J
+from gleaner.functions import pdf as P
+from gleaner.functions import quality as Q
+from gleaner.functions import rewrite as R
+from gleaner.functions import text as T
+from gleaner.functions import url as U
+from gleaner.operators import ax as A
+from gleaner.operators import hits as H
+from gleaner.operators import jobs as JB
+from gleaner.operators import pages as PG
+from gleaner.operators import state as S
+from gleaner.plans import inputs as I
+from gleaner.plans import oracle as O
+from gleaner.plans.catalog import register
+from gleaner.sinks import frames as FR
+from gleaner.sources import serp as SP
+
+# --- engine-call logs over ``events`` ------------------------------------------
+# user 0..4 mod 5 names the engine, the event type the outcome.
+
+CALLS_SQL = """
+SELECT event_id AS seq, CASE user_id % 5 WHEN 0 THEN 'google' WHEN 1 THEN 'brave' WHEN 2 THEN 'bing' WHEN 3 THEN 'brave_api' ELSE 'tavily' END AS engine,
+  {ms} AS ts_ms, CASE event_type WHEN 'error' THEN 'RateLimited' WHEN 'view' THEN 'Captcha' ELSE 'Ok' END AS outcome,
+  CASE WHEN event_type = 'click' THEN 0 ELSE 3 END AS hits, user_id FROM events"""
+CALLS = "calls AS (" + CALLS_SQL.format(ms="epoch_us(ts) // 1000") + ")"
+#: Calls come twenty minutes apart on average, so the intervals are minutes here.
+MINUTES = {"brave": 25, "bing": 5, "google": 30, "brave_api": 5, "tavily": 5}
+INTERVALS = "CASE engine " + " ".join(f"WHEN '{e}' THEN {m * 60000}" for e, m in MINUTES.items()) + " END"
+REAL = "CASE engine " + " ".join(f"WHEN '{e}' THEN {m}" for e, m in S.INTERVAL_MS.items()) + " END"
+ENDS = "CASE outcome WHEN 'RateLimited' THEN ts_ms + 300000 WHEN 'Captcha' THEN ts_ms + 1800000 END"
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(CALLS_SQL.format(ms="unix_millis(CAST(ts AS TIMESTAMP))").replace("FROM events", "FROM {events}"), events=I.table(spark, sf, "events"))
+
+
+NOW = 1704931200000  # 2024-01-11
+SNAP = f"snap AS (SELECT engine, max(ts_ms) AS last_call_ms, CASE WHEN max({ENDS}) > {NOW} THEN max({ENDS}) END AS cooldown_until_ms, greatest(0, coalesce(CASE WHEN max({ENDS}) > {NOW} THEN max({ENDS}) END - {NOW}, 0), max(ts_ms) + {REAL} - {NOW}) AS retry_after_ms FROM calls WHERE ts_ms <= {NOW} GROUP BY engine)"
+snap = lambda s, d: S.snapshot(calls(s, d), NOW)
+
+register("pac1_intervals", f"WITH {CALLS} SELECT engine, CAST({REAL} AS INTEGER) AS interval_ms, count(*) AS n FROM calls GROUP BY engine")(lambda s, d: calls(s, d).groupBy("engine").agg(F.count("*").alias("n")).select("engine", S.lookup(S.INTERVAL_MS, F.col("engine")).alias("interval_ms"), "n"))
+register("pac2_remaining", f"WITH {CALLS}, g AS (SELECT seq, engine, {INTERVALS} AS i, greatest(ts_ms - lag(ts_ms) OVER (PARTITION BY engine ORDER BY ts_ms, seq), 0) AS e, lag(ts_ms) OVER (PARTITION BY engine ORDER BY ts_ms, seq) AS b FROM calls) SELECT seq, engine, CASE WHEN b IS NOT NULL AND e < i THEN i - e END AS remaining_ms FROM g")(
+    lambda s, d: S.pacing(calls(s, d), S.lookup({e: m * 60000 for e, m in MINUTES.items()}, F.col("engine")).cast("long")).select("seq", "engine", F.when(F.lag("ts_ms").over(Window.partitionBy("engine").orderBy("ts_ms", "seq")).isNotNull(), F.col("remaining_ms")).alias("remaining_ms"))
+)
+register("pac4_quota", f"WITH {CALLS}, p AS (SELECT engine, seq, row_number() OVER (ORDER BY ts_ms, seq) AS spend FROM calls WHERE engine IN ('brave_api', 'tavily')) SELECT engine, seq, spend, spend - 1 >= 2000 AS exceeded FROM p")(lambda s, d: S.quota(calls(s, d)).select("engine", "seq", "spend", "exceeded"))
+register("pac5_snapshot", f"WITH {CALLS}, {SNAP} SELECT engine, last_call_ms, cooldown_until_ms, retry_after_ms FROM snap")(snap)
+register("agg10_earliest", f"WITH {CALLS}, {SNAP} SELECT min(retry_after_ms) AS wait_ms FROM snap")(lambda s, d: S.earliest_available(snap(s, d)))
+register("rtr1_next_engine", f"WITH {CALLS}, {SNAP} SELECT arg_min(engine, CASE engine WHEN 'google' THEN 0 WHEN 'brave' THEN 1 WHEN 'bing' THEN 2 WHEN 'brave_api' THEN 3 ELSE 4 END) AS engine FROM snap WHERE retry_after_ms = 0")(lambda s, d: S.next_engine(snap(s, d)))
+register("rtr4_cooldowns", f"WITH {CALLS} SELECT seq, engine, max({ENDS}) OVER (PARTITION BY engine ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS cooldown_until_ms FROM calls")(lambda s, d: S.cooldowns(calls(s, d)).select("seq", "engine", "cooldown_until_ms"))
+register("rtr5_unexpired", f"WITH {CALLS}, {SNAP} SELECT engine, cooldown_until_ms FROM snap WHERE cooldown_until_ms > {NOW}")(lambda s, d: S.unexpired(snap(s, d), NOW))
+ATTEMPTS = f"{CALLS}, attempts AS (SELECT seq // 4 AS request, seq, engine, outcome, hits FROM calls)"
+register("rtr6_fallback", f"WITH {ATTEMPTS} SELECT request, arg_min(engine, seq) FILTER (WHERE outcome = 'Ok' AND hits > 0) AS engine, CASE WHEN bool_or(outcome = 'Ok' AND hits > 0) THEN 'Served' WHEN bool_or(outcome <> 'Ok') THEN 'AllEnginesFailed' ELSE 'Empty' END AS result FROM attempts GROUP BY request")(lambda s, d: S.fallback(calls(s, d).withColumn("request", F.expr("seq div 4"))))
+register("rtr10_dispatch_events", f"WITH {CALLS} SELECT seq, engine, CAST(i - 1 AS INTEGER) AS step, e[i] AS event FROM (SELECT seq, engine, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT seq, engine, CASE WHEN outcome = 'RateLimited' THEN ['RateLimited', 'Cooldown'] WHEN outcome = 'Captcha' THEN ['Captcha', 'Cooldown'] WHEN outcome = 'Ok' AND hits > 0 THEN ['Served'] ELSE ['Fallback'] END AS e FROM calls))")(lambda s, d: S.dispatch_events(calls(s, d)))
+
+
+def routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's calls as the requests of one run through the router, on a simulated clock."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        router, out = S.Router("hybrid"), []
+        for r in rows.sort_values(["ts_ms", "seq"], kind="stable").itertuples():
+            engine, result = router.search(int(r.ts_ms), lambda e, r=r: (r.outcome, r.hits) if e == r.engine else ("Ok", 0))
+            out.append((r.user_id, r.seq, engine, result))
+        return pd.DataFrame(out, columns=["run", "seq", "engine", "result"])
+
+    return calls(spark, sf).groupBy("user_id").applyInPandas(run, "run long, seq long, engine string, result string")
+
+
+register("rtr7_search_auto")(routed)
+# Reputation log: the user is the domain, the type the entry.
+LOG_SQL = "SELECT concat('d', user_id % 40) AS domain, event_id AS seq, ts, CASE WHEN event_type IN ('click', 'purchase') THEN 'decay' ELSE 'write' END AS kind, CASE event_type WHEN 'error' THEN 'BotWall' WHEN 'view' THEN 'Captcha' WHEN 'signup' THEN 'Paywall' ELSE '' END AS flag FROM events"
+
+
+def reputation_log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(LOG_SQL.replace("FROM events", "FROM {events}"), events=I.table(spark, sf, "events"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("flags", F.array_compact(F.array(F.nullif("flag", F.lit(""))))).drop("flag")
+
+
+REP = f"""WITH log AS ({LOG_SQL}),
+  a AS (SELECT *, CASE WHEN epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER w) // 1000000 > 86400 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM log WINDOW w AS (PARTITION BY domain ORDER BY seq)),
+  b AS (SELECT *, sum(fresh) OVER (PARTITION BY domain ORDER BY seq ROWS UNBOUNDED PRECEDING) AS life FROM a),
+  c AS (SELECT *, sum(CASE WHEN kind = 'decay' THEN 1 ELSE 0 END) OVER (PARTITION BY domain, life ORDER BY seq ROWS UNBOUNDED PRECEDING) AS spell FROM b),
+  e AS (SELECT domain, seq, count(*) FILTER (WHERE kind = 'write') OVER s AS hits, bool_or(kind = 'write' AND flag = 'BotWall') OVER s AS bot, bool_or(kind = 'write' AND flag = 'Paywall') OVER s AS pay, bool_or(kind = 'write' AND flag = 'Captcha') OVER l AS cap
+    FROM c WINDOW s AS (PARTITION BY domain, life, spell ORDER BY seq ROWS UNBOUNDED PRECEDING), l AS (PARTITION BY domain, life ORDER BY seq ROWS UNBOUNDED PRECEDING))
+  SELECT domain, seq, hits, array_to_string(list_filter([CASE WHEN bot THEN 'BotWall' END, CASE WHEN cap THEN 'Captcha' END, CASE WHEN pay THEN 'Paywall' END], lambda f: f IS NOT NULL), ',') AS flags, hits >= 2 AND (bot OR pay) AS blocked FROM e"""
+register("rep3_blocked", REP)(lambda s, d: S.reputation(reputation_log(s, d)).select("domain", "seq", "hits", F.array_join("flags", ",").alias("flags"), "blocked"))
+register("rep4_time_to_live", f"SELECT domain, seq FROM (SELECT *, lag(ts) OVER (PARTITION BY domain ORDER BY seq) AS b FROM ({LOG_SQL})) WHERE epoch_us(ts) // 1000000 - epoch_us(b) // 1000000 > 3600")(
+    lambda s, d: reputation_log(s, d).withColumn("b", F.lag("ts").over(Window.partitionBy("domain").orderBy("seq"))).where(F.unix_timestamp("ts") - F.unix_timestamp("b") > 3600).select("domain", "seq")
+)
+FLAG_SETS = "SELECT user_id, list_sort(list_distinct(list(event_type))) AS f FROM events GROUP BY user_id"
+flag_sets = lambda s, d: I.table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
+register("set2_flag_union", f"SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(f, ['Captcha', 'view']))), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(F.array_union("f", F.array(F.lit("Captcha"), F.lit("view")))), ",").alias("flags")))
+register("set3_flag_difference", f"SELECT user_id, array_to_string(list_filter(f, lambda x: x NOT IN ('error', 'view')), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(F.array_except("f", F.array(F.lit("error"), F.lit("view")))), ",").alias("flags")))
+
+# --- sources ---------------------------------------------------------------------
+# Each page's hit is wrapped into an engine's answer and read back.
+
+
+def answers(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    hits = I.hits(spark, sf).withColumn("answer", (F.col("ord") % 40).cast("long"))
+    listed = hits.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "url", "snippet", "score"))).alias("x"))
+    if kind == "rss":
+        item = lambda x: F.concat(F.lit("<item><title>"), x["title"], F.lit("</title><link> "), x["url"], F.lit(" </link><description>&lt;b&gt;"), x["snippet"], F.lit("</description></item>"))
+        return listed.select("answer", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", item), "\n"), F.lit("</channel></rss>")).alias("body"))
+    text = "description" if kind == "brave" else "content"
+    items = F.transform("x", lambda x: F.struct(F.concat(F.lit("  "), x["title"]).alias("title"), x["url"].alias("url"), x["snippet"].alias(text), x["score"].alias("score")))
+    return listed.select("answer", F.to_json(F.struct(F.struct(items.alias("results")).alias("web")) if kind == "brave" else F.struct(items.alias("results"))).alias("body"))
+
+
+ORGANIC = f"WITH {I.HITS}, n AS (SELECT ord % 40 AS answer, row_number() OVER (PARTITION BY ord % 40 ORDER BY ord) AS position, {O.trim('title')} AS title, {O.trim('url')} AS url, {O.trim('snippet')} AS snippet, score FROM hits), k AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY position) AS m FROM n WHERE title <> '' AND url <> '') SELECT answer, CAST(position AS INTEGER) AS position, title, url, snippet, CAST(score AS DOUBLE) AS score FROM k WHERE m <= 5"
+for _name, _kind, _read in (("src17_brave_api", "brave", SP.brave_api), ("src18_tavily", "tavily", SP.tavily), ("src19_organic", "brave", SP.brave_api)):
+    register(_name, ORGANIC)(lambda s, d, k=_kind, r=_read: r(answers(s, d, k), 5).drop("published_date"))
+def untagged(x: str) -> str:
+    return f"regexp_replace({x}, '<[A-Za-z/!?][^>\\n]{{0,999}}>', '', 'g')"
+
+
+register("src11_bing_rss", f"WITH {I.HITS}, n AS (SELECT ord % 40 AS answer, row_number() OVER (PARTITION BY ord % 40 ORDER BY ord) AS position, title, url, snippet FROM hits) SELECT answer, CAST(position AS INTEGER) AS position, {O.collapse(untagged(O.entities('title')))} AS title, {O.trim('url')} AS url, {O.collapse(untagged(O.entities('snippet')))} AS snippet FROM n WHERE position <= 5")(lambda s, d: SP.bing_rss(answers(s, d, "rss"), 5))
+STATUS = "CASE page_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END"
+RETRY = "CASE page_id % 3 WHEN 0 THEN ' 30 ' WHEN 1 THEN 'soon' END"
+statuses = lambda s, d: I.table(s, d, "pages").select("page_id", F.expr(STATUS).alias("status"), F.expr(RETRY).alias("retry"))
+register("src2_rate_limit", f"SELECT page_id, CASE WHEN s = 429 THEN TRY_CAST(trim(r) AS BIGINT) END AS retry_after_s, CASE WHEN s = 429 THEN r IS NOT NULL AND TRY_CAST(trim(r) AS BIGINT) IS NULL END AS malformed FROM (SELECT page_id, {STATUS} AS s, {RETRY} AS r FROM pages)")(
+    lambda s, d: statuses(s, d).select("page_id", SP.rate_limit(F.col("status"), F.col("retry")).alias("x")).select("page_id", "x.retry_after_s", "x.malformed")
+)
+register("src20_status_error", f"SELECT page_id, CASE WHEN s = 429 THEN 'RateLimited' WHEN s IN (401, 403) THEN 'Unavailable' WHEN s <> 200 THEN 'Network' END AS kind, CASE WHEN s = 429 THEN TRY_CAST(trim(r) AS BIGINT) * 1000 END AS retry_after_ms FROM (SELECT page_id, {STATUS} AS s, {RETRY} AS r FROM pages)")(
+    lambda s, d: statuses(s, d).select("page_id", SP.status_error(F.col("status"), F.col("retry")).alias("x")).select("page_id", "x.kind", "x.retry_after_ms")
+)
+register("src1_fetch", f"SELECT page_id, CASE WHEN s = 429 THEN 'RateLimited' WHEN s <> 200 THEN 'Http' END AS error FROM (SELECT page_id, {STATUS} AS s FROM pages)")(lambda s, d: statuses(s, d).select("page_id", SP.fetch_error(F.col("status")).alias("error")))
+GITHUB = "CASE page_id % 5 WHEN 0 THEN replace(url, 'example', 'x') WHEN 1 THEN concat('https://github.com/o', page_id, '/r') WHEN 2 THEN concat('https://github.com/o/r/blob/main/f', page_id, '.rs') WHEN 3 THEN concat('https://github.com/o/r/tree/main/', page_id) ELSE concat('https://github.com/o/r/pull/', page_id, '.diff') END"
+register("src7_github_route", f"""WITH g AS (SELECT page_id, {GITHUB} AS u FROM pages), p AS (SELECT *, {O.piece('u', 3)} AS path FROM g),
+  k AS (SELECT *, CASE WHEN regexp_matches(path, '/blob/|/tree/') OR regexp_matches(path, '\\.(diff|patch)$') THEN 'raw' WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) = 2 THEN 'readme' ELSE 'web' END AS kind FROM p)
+  SELECT page_id, kind, CASE WHEN contains(path, '/blob/') THEN replace(replace(u, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') WHEN contains(path, '/tree/') THEN replace(replace(u, 'github.com', 'raw.githubusercontent.com'), '/tree/', '/')
+    WHEN kind = 'readme' THEN array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') ELSE u END AS target FROM k""")(lambda s, d: I.table(s, d, "pages").select("page_id", SP.github_route(F.expr(GITHUB)).alias("x")).select("page_id", "x.kind", "x.target"))
+register("src8_code_article", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'rust' END, 'zig') AS language, md5(text[11:40]) AS content, CAST(length(regexp_replace(text, chr(10) || '$', '')) - length(replace(regexp_replace(text, chr(10) || '$', ''), chr(10), '')) + 1 AS INTEGER) AS line_count FROM documents")(
+    lambda s, d: I.table(s, d, "documents").select("doc_id", SP.code_article(F.concat(F.lit("https://x/y."), F.when(F.col("doc_id") % 2 == 0, "rs").otherwise("zig")), F.col("text"), 10, 30).alias("c")).select("doc_id", "c.language", F.md5(F.col("c.content").cast("binary")).alias("content"), "c.line_count")
+)
+register("src10_default_branch", "SELECT user_id, count(*) AS n, nullif(CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN 'b' || user_id END, '') AS branch FROM events GROUP BY user_id")(
+    lambda s, d: I.table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", "n", SP.default_branch(F.when(F.col("user_id") % 3 == 0, F.lit('{"default_branch":""}')).when(F.col("user_id") % 3 == 1, F.concat(F.lit('{"default_branch":"b'), F.col("user_id"), F.lit('"}'))).otherwise("{}")).alias("branch"))
+)
+register("src9_readme", "SELECT user_id AS repo, CASE WHEN user_id % 3 = 1 THEN 'dev' WHEN user_id % 2 = 0 THEN 'main' ELSE 'master' END AS branch FROM (SELECT DISTINCT user_id FROM events)")(
+    lambda s, d: SP.first_readme(
+        SP.readme_candidates(I.table(s, d, "events").select(F.col("user_id").alias("repo")).distinct().withColumn("default_branch", F.when(F.col("repo") % 3 == 1, "dev"))),
+        I.table(s, d, "events").select(F.col("user_id").alias("repo")).distinct().select("repo", F.explode(F.when(F.col("repo") % 2 == 0, F.array(F.lit("dev"), F.lit("main"), F.lit("master"))).otherwise(F.array(F.lit("dev"), F.lit("master")))).alias("branch"), F.lit("text").alias("content")),
+    ).select("repo", "branch")
+)
+register("src6_arxiv_backfill", "SELECT page_id, 'https://arxiv.org/pdf/' || page_id AS pdf_url, CASE WHEN page_id % 2 = 0 THEN 'pdf title' ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END AS title FROM pages")(
+    lambda s, d: SP.backfill(
+        I.table(s, d, "pages").select("page_id", SP.arxiv_pdf_url(F.concat(F.lit("https://arxiv.org/abs/"), F.col("page_id"))).alias("pdf_url"), F.when(F.col("page_id") % 2 == 0, "pdf title").alias("title")),
+        I.table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title")), "page_id", ["title"],
+    )
+)
+register("src14_bing_unwrap", "SELECT page_id, url AS target FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", U.unwrap_bing_redirect(F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.translate(F.regexp_replace(F.base64(F.col("url").cast("binary")), "=|\r\n", ""), "+/", "-_"))).alias("target")))
+register("src16_empty_retry", "SELECT CAST(seq AS BIGINT) AS query, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS attempt FROM (SELECT event_id AS seq, event_type FROM events)")(
+    lambda s, d: SP.with_retry(calls(s, d).select(F.col("seq").alias("query"), F.lit(0).alias("attempt"), "hits").unionByName(calls(s, d).select(F.col("seq").alias("query"), F.lit(1).alias("attempt"), F.lit(5).alias("hits")))).select("query", "attempt")
+)
+register("src3_web_pages")(lambda s, d: PG.extract_pages(I.table(s, d, "pages")).select("page_id", "title", "error", "source.domain_authority", "source.language", "total_length", "score", "is_ok", F.size("sections").alias("n_sections"), F.array_join("reasons", ",").alias("reasons")))
+
+# --- pages ------------------------------------------------------------------------
+register("htm3_title_and_heading", r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html[^>]*\blang=.?([a-z]+)', 1) AS lang FROM pages")(
+    lambda s, d: I.table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r"<html[^>]*\blang=.?([a-z]+)", 1).alias("lang"))
+)
+register("htm1_extract")(lambda s, d: I.table(s, d, "pages").select("page_id", X.page_udf()(F.col("html")).alias("p")).select("page_id", "p.title", "p.language", "p.full_text", F.size("p.headings").alias("n_headings")))
+register("htm5_follow")(lambda s, d: PG.follow_pages(I.table(s, d, "pages")).select("page_id", "title", "content", "error", F.array_join("flags", ",").alias("flags")))
+register("htm6_follow_json", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, '' AS content, '' AS error FROM pages")(
+    lambda s, d: I.table(s, d, "pages").select("page_id", F.from_json(F.to_json(F.struct(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))), X.FOLLOW_SCHEMA).alias("f")).select("page_id", *[F.coalesce(f"f.{c}", F.lit("")).alias(c) for c in ("title", "content", "error")])
+)
+register("sec1_sections")(lambda s, d: PG.extract_pages(I.table(s, d, "pages")).select("page_id", F.posexplode("sections").alias("place", "s")).select("page_id", "place", "s.heading", "s.depth", "s.offset", "s.length", "s.parent"))
+register("sec3_plain_sections")(lambda s, d: I.table(s, d, "documents").select("doc_id", F.posexplode(X.plain_sections_udf()(F.regexp_replace("text", "\n", "\n\n"))).alias("place", "s")).select("doc_id", "place", "s.heading", "s.offset", "s.length"))
+register("harvest")(lambda s, d: PG.harvest(I.hits(s, d), I.table(s, d, "pages")).select("turn", "ord", "query", "body_status", "quality", "n_sections"))
+register("src22_page_signals", f"SELECT doc_id, array_to_string(list_filter({O.flags('h')}, lambda f: f <> 'EmptyShell'), ',') AS flags FROM (SELECT doc_id, text[1:2000] AS h FROM (WITH {I.TEXTS} SELECT * FROM texts))")(lambda s, d: I.texts(s, d).select("doc_id", F.array_join(PG.page_signals(F.col("text")), ",").alias("flags")))
+TAGGED = "regexp_replace(html, '<[A-Za-z/!?][^>\\n]{0,1022}>', '', 'g')"
+register("txt2_strip_tags", f"SELECT page_id, md5({TAGGED.replace('0,1022', '0,999')}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.strip_tags(F.col("html")).cast("binary")).alias("text")))
+register("txt1_decode_entities", f"SELECT page_id, md5({O.entities('html', tuple(T.ENTITIES))}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("text")))
+register("txt8_clean_snippet", f"WITH {I.HITS} SELECT ord, CASE ord % 3 WHEN 0 THEN {O.trim('snippet')} WHEN 1 THEN {O.trim('snippet')} ELSE snippet END AS snippet FROM hits WHERE snippet NOT LIKE '%Read more'")(
+    lambda s, d: I.hits(s, d).where("snippet NOT LIKE '%Read more'").select("ord", T.clean_snippet(F.concat("snippet", F.when(F.col("ord") % 3 == 0, "...Read more").when(F.col("ord") % 3 == 1, "Read more").otherwise(""))).alias("snippet"))
+)
+register("txt9_clean_title")(lambda s, d: I.hits(s, d).select("ord", T.clean_title(F.concat("title", F.when(F.col("ord") % 2 == 0, "Example.com").otherwise(" https://x.y"))).alias("title")))
+register("txt15_round_score", "SELECT l_orderkey, l_linenumber, round(l_tax * l_discount * 100) / 100 AS score FROM lineitem")(lambda s, d: I.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.round_score(F.col("l_tax") * F.col("l_discount")).alias("score")))
+register("txt16_pdf_date", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN 1 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00+00:00' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30' END AS date FROM events")(
+    lambda s, d: I.table(s, d, "events").select("event_id", T.pdf_date(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMdd"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+05'30'"))).otherwise("yesterday")).alias("date"))
+)
+register("txt18_dot_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '[]' AS missing FROM events")(lambda s, d: I.table(s, d, "events").select("event_id", J.apply_path(F.col("props"), ".k").alias("k"), J.apply_path(F.col("props"), ".nothing[]").alias("missing")))
+register("txt19_traceparent", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN md5(CAST(event_id AS VARCHAR)) END AS trace FROM events")(lambda s, d: I.table(s, d, "events").select("event_id", T.traceparent_id(F.concat(F.lit("00-"), F.when(F.col("event_id") % 2 == 0, F.md5(F.col("event_id").cast("string").cast("binary"))).otherwise("xyz"), F.lit("-01"))).alias("trace")))
+register("txt20_parse_bool", "SELECT event_id, event_id % 5 IN (0, 1, 3) AS value FROM events")(lambda s, d: I.table(s, d, "events").select("event_id", T.parse_bool(F.element_at(F.array(*map(F.lit, ("1", " TRUE ", "off", "Yes", ""))), (F.col("event_id") % 5 + 1).cast("int"))).alias("value")))
+register("txt21_agent", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'mine' ELSE 'gleaner/1' END AS agent FROM events")(lambda s, d: I.table(s, d, "events").select("event_id", T.or_default(F.when(F.col("event_id") % 2 == 0, " mine ").otherwise("  "), "gleaner/1").alias("agent")))
+register("txt24_error_codes", "SELECT event_type, count(*) AS n, CASE event_type WHEN 'error' THEN 'rate-limited' WHEN 'view' THEN 'captcha' ELSE 'engine-failed' END AS code FROM events GROUP BY event_type")(lambda s, d: I.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", "n", FR.error_code(F.when(F.col("event_type") == "error", "RateLimited").when(F.col("event_type") == "view", "Captcha").otherwise("Other")).alias("code")))
+
+# --- query rewriting ----------------------------------------------------------------
+REWRITES = [
+    ("react cache:react.dev define:rust hooks", "google", "react hooks"), ("rust near:3 cargo inanchor:docs", "bing", "rust cargo"), ("site:a.com filetype:pdf", "bing", "site:a.com filetype:pdf"),
+    ("(docker OR podman) compose after:2025 AROUND(2)", "bing", "docker OR podman compose"), ("a related:x.com b AROUND(3) c", "brave", "a b c"), ("Rust rust RUST async", "google", "Rust async"),
+    ('"context deadline exceeded" site:github.com', "brave", '"context deadline exceeded" site:github.com'), ("wild* card", "brave", "wild card"), ("wild* card", "google", "wild* card"), ("plain words", "bing", "plain words"),
+    ('"a * b" c', "brave", '"a b" c'), ("-site:x.com y", "bing", "-site:x.com y"), ("$200..1000 laptop", "bing", "$200..1000 laptop"), ("", "bing", ""), ("x cache:y", "tavily", "x cache:y"),
+]
+register("qrw4_rewrite", I.values([(i, e, w) for i, (_, e, w) in enumerate(REWRITES)], "id, engine, rewritten"))(
+    lambda s, d: s.createDataFrame([(i, q, e) for i, (q, e, _) in enumerate(REWRITES)], "id int, q string, engine string").select("id", "engine", F.coalesce(*[F.when(F.col("engine") == e, R.rewrite(F.col("q"), e)) for e in R.SUPPORTED]).alias("rewritten"))
+)
+register("qrw1_tokens", "SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:3][-1] AS third, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS INTEGER) AS n FROM benchmark WHERE NOT contains(text, '\"')")(lambda s, d: I.table(s, d, "benchmark").where("NOT contains(text, '\"')").select("item_id", F.element_at(F.slice(R.tokenize(F.col("text")), 1, 3), -1).alias("third"), F.size(R.tokenize(F.col("text"))).alias("n")))
+register("qrw2_classify", "SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS t FROM benchmark WHERE NOT contains(text, '\"')), LATERAL (SELECT CASE WHEN regexp_matches(t, '^-.') THEN 'exclusion' WHEN lower(regexp_extract(t, '^([^:]+):', 1)) IN " + O.listing(R.KEYWORDS) + " THEN 'keyvalue' WHEN contains(t, '..') THEN 'range' WHEN lower(t) IN ('or', 'and') THEN 'boolean' WHEN regexp_matches(t, '[()]') THEN 'paren' WHEN contains(t, '*') THEN 'wildcard' ELSE 'plain' END AS kind) GROUP BY kind")(
+    lambda s, d: I.table(s, d, "benchmark").where("NOT contains(text, '\"')").select(F.explode(R.tokenize(F.col("text"))).alias("t")).groupBy(R.classify(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+)
+register("qrw3_support", " UNION ALL ".join(f"SELECT '{e}' AS engine, '{k}' AS keyword, {str(k in v).lower()} AS supported" for e, v in R.SUPPORTED.items() for k in R.KEYWORDS))(lambda s, d: s.createDataFrame([(k,) for k in R.KEYWORDS], "keyword string").select(F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), R.keyword_supported(e, F.col("keyword")).alias("supported")) for e in R.SUPPORTED])).alias("x"), "keyword").select("x.engine", "keyword", "x.supported"))
+
+# --- conversations as job streams ---------------------------------------------------
+CONV_JSON = "CAST(to_json({'role': role, 'text': text}) AS VARCHAR)"
+data = lambda: F.to_json(F.struct("role", "text"))
+register("snk1_envelope", f"SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN '{{\"status\":\"error\",\"data\":null,\"error\":' || CAST(to_json({{'code': 'captcha', 'detail': role}}) AS VARCHAR) || '}}' ELSE '{{\"status\":\"ok\",\"data\":' || {CONV_JSON} || ',\"error\":null}}' END) AS envelope FROM conversations")(
+    lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", F.md5(F.when(F.col("turn") % 3 == 0, FR.error_envelope(F.lit("captcha"), F.col("role"))).otherwise(FR.ok_envelope(data())).cast("binary")).alias("envelope"))
+)
+register("snk3_json_lines", f"SELECT md5({CONV_JSON}) AS line, count(*) AS n FROM conversations GROUP BY 1")(lambda s, d: FR.json_lines(I.table(s, d, "conversations").select("role", "text")).groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n")))
+register("snk2_pretty_json")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.pretty(F.struct("role", "text")).alias("json")))
+register("snk4_text")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.text_udf()(data()).alias("text")))
+register("snk5_sse_frames", f"SELECT conv_id, turn, md5('event:' || CASE role WHEN 'system' THEN 'job-started' WHEN 'user' THEN 'engine-event' ELSE 'result' END || chr(10) || 'data:' || {CONV_JSON} || chr(10) || chr(10)) AS frame FROM conversations")(
+    lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", F.md5(FR.sse_frame(FR.event_name(F.when(F.col("role") == "system", "JobStarted").when(F.col("role") == "user", "EngineEvent").otherwise("Result")), data()).cast("binary")).alias("frame"))
+)
+register("str2_collected", "WITH e AS (SELECT conv_id AS job, turn AS seq, CASE WHEN role = 'assistant' THEN 'result' WHEN turn = 4 THEN 'error' ELSE 'engine-event' END AS name FROM conversations) SELECT job, seq FROM e WHERE name = 'result' AND seq < coalesce((SELECT min(seq) FROM e x WHERE x.job = e.job AND x.name = 'error'), 1000000)")(
+    lambda s, d: _collected(s, d)
+)
+
+
+def _collected(spark: SparkSession, sf: str) -> DataFrame:
+    from gleaner.streaming import state as ST
+
+    name = F.when(F.col("role") == "assistant", "result").when(F.col("turn") == 4, "error").otherwise("engine-event")
+    return ST.collected(I.table(spark, sf, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("seq"), name.alias("name"), F.col("text").alias("data"))).select("job", "seq")
+
+
+JOBS_SQL = "SELECT o_orderkey AS job, CASE o_orderkey % 7 WHEN 0 THEN 'simple' WHEN 1 THEN 'parallel' WHEN 2 THEN 'harvest' WHEN 3 THEN 'extract' WHEN 4 THEN 'ax' WHEN 5 THEN 'pdf-url' ELSE 'pdf-file' END AS op, o_custkey, o_orderstatus, o_totalprice FROM orders"
+
+
+def jobs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(JOBS_SQL.replace("FROM orders", "FROM {orders}"), orders=I.table(spark, sf, "orders"))
+    text = F.when(F.col("op").isin("simple"), F.to_json(F.struct(F.when(F.col("o_custkey") % 9 != 0, F.lit(" rust ")).alias("query"), (F.col("o_custkey") % 120).alias("count"))))
+    text = text.when(F.col("op").isin("parallel", "harvest"), F.to_json(F.struct(F.transform(F.sequence(F.lit(1), (F.col("o_custkey") % 18 + 1).cast("int")), lambda i: F.concat(F.lit("q"), i)).alias("queries"), F.when(F.col("o_orderstatus") == "F", "Bing").when(F.col("o_orderstatus") == "P", "yahoo").alias("engine"))))
+    text = text.when(F.col("op") == "pdf-file", F.to_json(F.struct(F.when(F.col("o_custkey") % 4 != 0, "/x.pdf").alias("path"))))
+    text = text.otherwise(F.to_json(F.struct(F.when(F.col("o_custkey") % 5 == 0, "ftp://x").otherwise("https://x").alias("url"), (F.col("o_custkey") % 3).alias("max_chars"))))
+    return rows.select("job", "op", F.from_json(text, JB.ARGS).alias("a"), "o_custkey")
+
+
+PROBLEM = """CASE WHEN op = 'simple' AND NOT o_custkey % 120 BETWEEN 1 AND 100 THEN 'count out of range' WHEN op IN ('parallel', 'harvest') AND o_orderstatus = 'P' THEN 'unknown engine'
+  WHEN op = 'simple' AND o_custkey % 9 = 0 THEN 'query is missing' WHEN op IN ('parallel', 'harvest') AND o_custkey % 18 + 1 > 16 THEN 'too many queries'
+  WHEN op = 'extract' AND o_custkey % 3 = 0 THEN 'max_chars must be positive' WHEN op IN ('extract', 'ax', 'pdf-url') AND o_custkey % 5 = 0 THEN 'url must be http or https' WHEN op = 'pdf-file' AND o_custkey % 4 = 0 THEN 'path is missing' END"""
+register("job1_validate", f"SELECT job, op, {PROBLEM} AS problem FROM ({JOBS_SQL})")(lambda s, d: jobs(s, d).select("job", "op", JB.problem(F.col("op"), F.col("a")).alias("problem")))
+register("job2_timeout", "SELECT job, least(CASE WHEN o_custkey % 200000 > 700 THEN o_custkey % 200000 ELSE CASE op WHEN 'simple' THEN 10000 WHEN 'parallel' THEN 20000 WHEN 'harvest' THEN 45000 WHEN 'pdf-file' THEN 15000 ELSE 30000 END END, 120000) AS timeout_ms FROM (" + JOBS_SQL + ")")(
+    lambda s, d: jobs(s, d).select("job", JB.timeout_ms(F.col("op"), F.when(F.col("o_custkey") % 200000 > 700, F.col("o_custkey") % 200000).otherwise(F.lit(0))).cast("long").alias("timeout_ms"))
+)
+register("job3_targets", f"WITH j AS (SELECT * FROM ({JOBS_SQL}) WHERE ({PROBLEM}) IS NULL) SELECT job, CAST(i - 1 AS INTEGER) AS place, CASE WHEN op = 'simple' THEN 'rust' ELSE 'q' || i END AS query FROM (SELECT *, unnest(range(1, CASE WHEN op = 'simple' THEN 2 WHEN op IN ('parallel', 'harvest') THEN o_custkey % 18 + 2 ELSE 1 END)) AS i FROM j)")(lambda s, d: JB.targets(jobs(s, d).where(JB.problem(F.col("op"), F.col("a")).isNull())).select("job", F.col("at").alias("place"), "query"))
+ADMITTED = f"""j AS (SELECT job, 'trace-' || (o_custkey % 400) AS trace_id, {PROBLEM} AS problem, CASE WHEN op = 'simple' THEN 'auto' ELSE 'bing' END AS engine FROM ({JOBS_SQL})),
+  m AS (SELECT *, row_number() OVER (PARTITION BY trace_id, problem IS NULL ORDER BY job) AS n FROM j),
+  r AS (SELECT *, CASE WHEN problem IS NULL AND n = 1 THEN row_number() OVER (PARTITION BY problem IS NULL AND n = 1 ORDER BY job) END AS q FROM m),
+  x AS (SELECT job, trace_id, CASE WHEN problem IS NOT NULL THEN 400 WHEN n > 1 THEN 409 WHEN q > 256 THEN 429 ELSE 202 END AS status, CASE WHEN problem IS NOT NULL THEN 'invalid-input' WHEN n > 1 THEN 'duplicate_trace_id' WHEN q > 256 THEN 'rate-limited' ELSE 'accepted' END AS code FROM r)"""
+
+
+def admitted(spark: SparkSession, sf: str) -> DataFrame:
+    found = jobs(spark, sf).select("job", F.concat(F.lit("trace-"), F.col("o_custkey") % 400).alias("trace_id"), JB.problem(F.col("op"), F.col("a")).alias("problem"), F.when(F.col("op") == "simple", "auto").otherwise("bing").alias("engine"))
+    return JB.admit(found)
+
+
+register("job5_admission", f"WITH {ADMITTED} SELECT job, trace_id, status, code FROM x")(admitted)
+register("agg7_job_counters", f"WITH {ADMITTED} SELECT code, count(*) AS n FROM x GROUP BY code")(lambda s, d: admitted(s, d).groupBy("code").agg(F.count("*").alias("n")))
+register("snk9_metrics")(lambda s, d: FR.metrics_text(admitted(s, d)))
+register("jn5_unique_traces", f"SELECT min(job) AS job, 'trace-' || (o_custkey % 400) AS trace_id FROM ({JOBS_SQL}) GROUP BY o_custkey % 400")(lambda s, d: JB.unique_traces(jobs(s, d).select("job", F.concat(F.lit("trace-"), F.col("o_custkey") % 400).alias("trace_id"))))
+register("job_needs_connection", f"SELECT op, count(*) AS n, op = 'ax' AS needs FROM ({JOBS_SQL}) GROUP BY op")(lambda s, d: jobs(s, d).groupBy("op").agg(F.count("*").alias("n"), F.max(JB.needs_connection(F.col("op"), F.col("a.engine"))).alias("needs")))
+
+# --- accessibility trees over nation / region / supplier ------------------------------
+
+
+def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree a region: main > nation headings > supplier links with their text."""
+    region, nation, supplier = (I.table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    sup = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    empty = F.array().cast("array<string>")
+    sid, nid, rid = F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "r_regionkey")
+    node = lambda place, i, role, name, kids, dom, props=F.lit("{}"): F.struct(place.cast("long").alias("place"), i.alias("node_id"), F.lit(role).alias("role"), name.alias("name"), F.lit(False).alias("ignored"), kids.alias("child_ids"), dom.cast("long").alias("backend_dom_id"), props.alias("properties"))
+    links = sup.select(F.col("r_regionkey").cast("long").alias("page_id"), F.explode(F.array(
+        node(F.col("s_suppkey") + 1000, sid, "link", F.col("s_name"), F.array(F.concat(F.lit("t"), "s_suppkey")), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, '{"focused":true}').otherwise("{}")),
+        node(F.col("s_suppkey") + 100000, F.concat(F.lit("t"), "s_suppkey"), "StaticText", F.col("s_name"), empty, F.lit(None)),
+    )).alias("x"))
+    kids = sup.groupBy("r_regionkey", "n_nationkey", "n_name").agg(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("s"), k)).alias("kids"))
+    heads = kids.select(F.col("r_regionkey").cast("long").alias("page_id"), node(F.col("n_nationkey") + 10, nid, "heading", F.col("n_name"), F.col("kids"), F.col("n_nationkey"), F.lit('{"level":2}')).alias("x"))
+    mains = kids.groupBy("r_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k")).select(F.col("r_regionkey").cast("long").alias("page_id"), node(F.lit(0), rid, "main", F.lit(""), F.transform("k", lambda k: F.concat(F.lit("n"), k)), F.lit(None)).alias("x"))
+    return links.unionByName(heads).unionByName(mains).select("page_id", "x.*")
+
+
+register("ax1_compress")(lambda s, d: A.compress_trees(tree_nodes(s, d)))
+register("ax3_keep_self", "SELECT role, count(*) AS n FROM (SELECT 'link' AS role FROM supplier UNION ALL SELECT 'StaticText' FROM supplier UNION ALL SELECT 'heading' FROM (SELECT DISTINCT s_nationkey FROM supplier) UNION ALL SELECT 'main' FROM (SELECT DISTINCT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)) GROUP BY role")(lambda s, d: tree_nodes(s, d).where(A.keep_self(F.col("role"), F.col("name"))).groupBy("role").agg(F.count("*").alias("n")))
+register("ax2_nodes_array", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN '[1,2]' ELSE '[]' END AS nodes FROM events")(
+    lambda s, d: I.table(s, d, "events").select("event_id", A.nodes_array(F.element_at(F.array(*map(F.lit, ('{"result":{"nodes":[1,2]}}', '{"nodes":[1,2]}', "[1,2]", '{"x":1}'))), (F.col("event_id") % 4 + 1).cast("int"))).alias("nodes"))
+)
+SNAPS = "SELECT user_id AS page_id, event_id AS poll, event_type AS fingerprint, CASE WHEN value > 20 THEN 5 ELSE 1 END AS n_nodes, event_id % 9 <> 0 AS has_root FROM events"
+register("ax8_settled", f"WITH p AS ({SNAPS}), l AS (SELECT *, lag(fingerprint) OVER (PARTITION BY page_id ORDER BY poll) AS b FROM p) SELECT page_id, min(poll) FILTER (WHERE b = fingerprint AND n_nodes >= 2 AND has_root) AS settled_at, max(poll) AS last_poll FROM l GROUP BY page_id")(
+    lambda s, d: A.settled(s.sql(SNAPS.replace("FROM events", "FROM {events}"), events=I.table(s, d, "events")))
+)
+register("src21_ax_ready", f"WITH p AS ({SNAPS}) SELECT page_id, count(*) FILTER (WHERE has_root AND n_nodes >= 2) AS ready FROM p GROUP BY page_id")(lambda s, d: s.sql(SNAPS.replace("FROM events", "FROM {events}"), events=I.table(s, d, "events")).groupBy("page_id").agg(F.count_if(F.col("has_root") & (F.col("n_nodes") >= 2)).alias("ready")))
+
+PDF_HEAD = "%PDF-1.4\n1 0 obj << /Type /Catalog >> endobj\n2 0 obj << /Type /Page >> endobj\n3 0 obj << /Author (A \\(b\\)) /Title <FEFF00E9> /CreationDate (D:20240102030405Z) >> endobj\n4 0 obj << /Length 1 >> stream\nBT (Hello ) Tj (PDF) Tj ET\nendstream endobj\ntrailer << /Info 3 0 R >>"
+register("pdf5_record", "SELECT r_regionkey, true AS is_pdf, 1 AS pages, 'A (b)' AS author, 'é' AS title, 'Hello PDF' AS text FROM region")(
+    lambda s, d: I.table(s, d, "region").select("r_regionkey", P.record_udf()(F.lit(PDF_HEAD).cast("binary")).alias("p")).select("r_regionkey", "p.is_pdf", "p.pages", "p.author", "p.title", "p.text")
+)
