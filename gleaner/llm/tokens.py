@@ -13,20 +13,30 @@ boundary, and the search goes on: the overlap widens as far as it must.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from gleaner.llm.bpe import split_pattern
 from gleaner.llm.words import pieces
 
-CHUNK, OVERLAP = 1 << 15, 1 << 9
+CHUNK, OVERLAP, MEMO = 1 << 15, 1 << 9, 400_000
+#: Pre-tokens of a byte-level tokenizer file.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class TokenizerCounter:
-    """Counts with a ``tokenizers`` file, given as its text."""
+    """Counts with a ``tokenizers`` file, given as its text.
+
+    Where the file's pre-tokens are those of a plain byte-level pattern, each
+    distinct pre-token is given to the library once and its count remembered.
+    """
 
     def __init__(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,44 +46,85 @@ class TokenizerCounter:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.chunk, self.overlap = chunk, overlap
-        self.margin = 2 + max((len(t.content) for t in self.tok.get_added_tokens_decoder().values()), default=0)
+        made = json.loads(text)
+        special = [t["content"] for t in made.get("added_tokens") or []]
+        self.margin = 2 + max(map(len, special), default=0)
+        before = made.get("pre_tokenizer") or {}
+        plain = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in made.get("added_tokens") or [])
+        known = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.split = split_pattern(BYTE_LEVEL) if known and plain and not made.get("normalizer") else None
+        self.special = special
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.memo: dict[str, int] = {}
+
+    def _learn(self, found: set[str]) -> None:
+        if len(self.memo) >= MEMO:  # the oldest are the commonest
+            self.memo = dict(islice(self.memo.items(), MEMO // 2))
+        new = list(found)
+        self.memo.update(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+
+    def _parts(self, text: str) -> list[str]:
+        """Pre-tokens and special strings, which together are the text."""
+        if self.at_special and any(x in text for x in self.special):
+            return [p for i, part in enumerate(self.at_special.split(text)) for p in ([part] if i % 2 else self.split.findall(part))]
+        return self.split.findall(text)
 
     def counts(self, texts: list[str]) -> list[int]:
         short = [t for t in texts if len(t) <= self.chunk]
-        found = iter([len(e) for e in self.tok.encode_batch_fast(short, add_special_tokens=False)])
+        if self.split:
+            parts = [self._parts(t) for t in short]
+            memo = self.memo
+            missing = {p for row in parts for p in row if p not in memo}
+            self._learn(missing)
+            # texts without anything to learn are the rule; a memo cut back meanwhile is learnt again
+            found = iter([self._sum(row) for row in parts])
+        else:
+            found = iter([len(e) for e in self.tok.encode_batch_fast(short, add_special_tokens=False)])
         return [next(found) if len(t) <= self.chunk else self.long(t) for t in texts]
 
-    def _starts(self, encoding, base: int, low: int, high: int) -> dict[int, int]:
-        """Starts of pre-tokens at low..high of the text, with the index of their first token."""
-        out, words, offsets = {}, encoding.word_ids, encoding.offsets
-        for k in range(1, len(words)):
-            at = offsets[k][0] + base
-            if at > high:
-                break
-            # special tokens have no word; a new word, or one after a special token, is a new pre-token
-            if at >= low and words[k] is not None and words[k] != words[k - 1] and offsets[k - 1][1] + base <= at:
-                out[at] = k
-        return out
+    def _sum(self, row: list[str]) -> int:
+        try:
+            return sum(map(self.memo.__getitem__, row))
+        except KeyError:
+            self._learn({p for p in row if p not in self.memo})
+            return sum(len(self.tok.encode(p, add_special_tokens=False)) if p not in self.memo else self.memo[p] for p in row)
+
+    def encode(self, text: str) -> tuple[dict[int, int], int]:
+        """Starts of pre-tokens in the text, each with the tokens before it, and all tokens."""
+        if self.split:
+            row = self._parts(text)
+            self._learn({p for p in row if p not in self.memo})
+            starts, at, n = {}, 0, 0
+            for p in row:
+                if p not in self.special:
+                    starts[at] = n
+                at += len(p)
+                n += self.memo.get(p) or self._sum([p])
+            return starts, n
+        encoding = self.tok.encode(text, add_special_tokens=False)
+        words, offsets = encoding.word_ids, encoding.offsets
+        # special tokens have no word; a new word, or one after a special token, is a new pre-token
+        starts = {offsets[k][0]: k for k in range(1, len(words)) if words[k] is not None and words[k] != words[k - 1] and offsets[k - 1][1] <= offsets[k][0]}
+        return starts, len(words)
 
     def long(self, text: str) -> int:
         step = self.chunk - self.overlap
         spans = [(a, min(a + self.chunk, len(text))) for a in range(0, max(1, len(text) - self.overlap), step)]
-        encode = lambda a, b: self.tok.encode(text[a:b], add_special_tokens=False)
-        total, (base, end) = 0, spans[0]
-        cut, now, first = 0, encode(base, end), 0  # from ``cut`` on, tokens of ``now`` from ``first`` on are right
+        base, end = spans[0]
+        starts, n = self.encode(text[base:end])
+        total, cut, first = 0, 0, 0  # from ``cut`` on, tokens of this chunk from ``first`` on are right
         for a, b in spans[1:]:
-            right = encode(a, b)
+            right, m = self.encode(text[a:b])
             low, high = max(a + self.margin, cut), end - self.margin
-            mine = self._starts(now, base, low, high)
-            theirs = self._starts(right, a, low, high)
-            common = mine.keys() & theirs.keys()
+            common = [p for p in range(high, low - 1, -1) if p - base in starts and p - a in right]
             if common:
-                p = max(common)
-                total += mine[p] - first
-                base, end, cut, now, first = a, b, p, right, theirs[p]
+                p = common[0]
+                total += starts[p - base] - first
+                base, end, cut, starts, n, first = a, b, p, right, m, right[p - a]
             else:
-                base, end, now, first = cut, b, encode(cut, b), 0
-        return total + len(now) - first
+                base, end, first = cut, b, 0
+                starts, n = self.encode(text[cut:b])
+        return total + n - first
 
 
 class PieceCounter:
