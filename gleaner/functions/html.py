@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -74,6 +75,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag in ("title", "textarea"):  # raw to the parser, but with character references
+            data = unescape(data)
         last = self.open[-1].children
         if last and isinstance(last[-1], str):
             last[-1] += data
