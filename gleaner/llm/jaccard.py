@@ -10,11 +10,13 @@ DivideSkip probes them by binary search for the candidates that are left.
 * A counter of fixed size, filled from every document, gives the order.  It may
   confuse shingles, which costs time but never a pair: any fixed order is right.
 * Texts with equal shingle sets are one node, so exact copies are never compared.
-* Each node is first searched against one hub: the first node of the list runs
-  it shares most often.  Verified links make components; only pairs in different
+* Each node is first searched against a few hubs: of some nodes of its lists those
+  that look most alike.  Verified links make components; only pairs in different
   components are then enumerated, so a group of N near copies costs N searches
   and not N * N.  Links between different texts are lost nowhere: every pair that
-  meets l times is either verified or already connected.
+  meets l times is verified, already connected, or ruled out for certain.
+* What rules out is a bitmap filter: the parity of a set's elements in ``BITS``
+  cells.  Two bitmaps never differ in more cells than the sets in elements.
 * Lists that the counter calls long are salted, so no task holds such a list.
 """
 
@@ -27,15 +29,20 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleaner.llm.tables import Scratch, components, maybe_in, value_filter
 from gleaner.llm.words import U, Words, mix, pieces
 
 COUNTER_BITS, SLICES, FILTER_BITS = 19, 32, 26
-#: Meetings asked of a pair on the merged lists; lists of more documents are salted; bytes of sets in one search.
-MEETINGS, LONG_LIST, SEARCH_BYTES = 8, 1 << 14, 8 << 20
+#: Meetings asked of a pair on the merged lists: so many and one for every ``STEP`` shingles more.
+MEETINGS, STEP = 8, 20
+#: Lists of more documents are salted; bytes of sets in one search.
+LONG_LIST, SEARCH_BYTES = 1 << 14, 8 << 20
+#: Cells of a set's bitmap; hubs of each list, and hubs that a node is searched against.
+BITS, DRAWS, HUBS = 512, 2, 4
 
 
 def _sets(part: pa.RecordBatch, k: int):
@@ -112,16 +119,19 @@ class _Join:
             for batch in batches:
                 for part in pieces(batch, "text"):
                     node, size = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                    cells = np.zeros((part.num_rows, BITS // 64), np.int64)
                     for i, name, shingles in _sets(part, k):
                         node[i], size[i] = name, len(shingles)
+                        parity = np.bincount((mix(shingles) % U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+                        cells[i] = np.packbits(parity).view(np.int64)
                         np.add.at(counter, (shingles >> U(64 - COUNTER_BITS)).astype(np.int64), 1)
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(node, mask=size == 0), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "node", "n", "slice", "part", "counts"])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(node, mask=size == 0), pa.array(size), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), BITS // 64).cast(pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "node", "n", "bits", "slice", "part", "counts"])
             task = TaskContext.get().partitionId() % 512
             rows = [x.tobytes() for x in np.split(counter, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(rows, pa.binary())], ["id", "node", "n", "slice", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(rows, pa.binary())], ["id", "node", "n", "bits", "slice", "part", "counts"])
 
-        both = self.scratch.save(self.docs.mapInArrow(scan, "id long, node long, n long, slice int, part int, counts binary"), "facts")
+        both = self.scratch.save(self.docs.mapInArrow(scan, "id long, node long, n long, bits array<long>, slice int, part int, counts binary"), "facts")
 
         def add(group: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in group.column("counts"))
@@ -132,10 +142,10 @@ class _Join:
             slices = slices.groupBy(*keys).applyInArrow(add, "slice int, part int, counts binary")
         found = {r["slice"]: r["counts"] for r in slices.toArrow().to_pylist()}
         empty = bytes(4 << COUNTER_BITS >> 5)
-        return both.where("slice IS NULL").select("id", "node", "n"), np.concatenate([np.frombuffer(found.get(i, empty), np.uint32) for i in range(SLICES)])
+        return both.where("slice IS NULL").select("id", "node", "n", "bits"), np.concatenate([np.frombuffer(found.get(i, empty), np.uint32) for i in range(SLICES)])
 
     def lists(self, counter: np.ndarray) -> DataFrame:
-        """Merged short lists with two nodes or more: (token, node, n, head, head_n)."""
+        """Merged short lists with two nodes or more: (token, node, n, head), the head a node of about that size."""
         k, percent = self.k, self.percent
         shared = self.spark.sparkContext.broadcast(counter)
         long_list = max(LONG_LIST, 8 * int(counter.mean()))
@@ -151,7 +161,7 @@ class _Join:
                         seen.add(node)
                         weight = shared.value[(shingles >> U(64 - COUNTER_BITS)).astype(np.int64)]
                         n, least = len(shingles), -(-percent * len(shingles) // 100)
-                        take = np.lexsort((shingles, weight))[: n - least + min(MEETINGS, least)]
+                        take = np.lexsort((shingles, weight))[: n - least + min(MEETINGS + n // STEP, least)]
                         share = -(-weight[take].astype(np.int64) // long_list)
                         rows.append(shingles[take].view(np.int64))
                         salts.append(np.where(share > 1, 1 + node % share, 0).astype(np.int32))
@@ -194,20 +204,20 @@ class _Join:
                 tell[:-1] |= ~new[1:]
                 tell[0] |= not new[0]
                 extra = last is not None and not new[0] and not last[6]
-                out = [token[tell], node[tell], n[tell], heads[tell], head_n[tell]]
+                out = [token[tell], node[tell], n[tell], heads[tell]]
                 if extra:
-                    out = [np.concatenate([np.array([v], np.int64), x]) for v, x in zip((last[0], last[2], last[3], last[4], last[5]), out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["token", "node", "n", "head", "head_n"])
+                    out = [np.concatenate([np.array([v], np.int64), x]) for v, x in zip((last[0], last[2], last[3], last[4]), out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["token", "node", "n", "head"])
                 last = (token[-1], salt[-1], node[-1], n[-1], heads[-1], head_n[-1], bool(tell[-1]))
 
         own = self.docs.mapInArrow(prefixes, "node long, n long, tokens array<long>, salts array<int>").dropDuplicates(["node"])
         single = own.select("node", "n", F.explode(F.arrays_zip("tokens", "salts")).alias("x")).select("node", "n", F.col("x.tokens").alias("token"), F.col("x.salts").alias("salt"))
         ordered = single.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-        return self.scratch.save(ordered.mapInArrow(runs, "token long, node long, n long, head long, head_n long"), "lists")
+        return self.scratch.save(ordered.mapInArrow(runs, "token long, node long, n long, head long"), "lists")
 
-    def meetings(self, n: str, m: str):
-        """Meetings that a pair of sets of these sizes must have."""
-        return F.least(F.lit(MEETINGS), *(F.ceil(F.col(c) * self.percent / F.lit(100.0)) for c in (n, m)))
+    def meetings(self, *sizes: str) -> Column:
+        """Meetings that a set, or a pair of sets, of these sizes must have."""
+        return F.least(*(F.least(MEETINGS + F.floor(F.col(c) / STEP), F.ceil(F.col(c) * self.percent / F.lit(100.0))) for c in sizes), F.lit(1 << 40))
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, hub, n) that link, as edges (a, b)."""
@@ -242,37 +252,63 @@ class _Join:
         scratch.drop(f"{name}-sets", f"{name}-hubs")
         return edges
 
+    def possible(self) -> Column:
+        """Whether sizes and bitmaps of two sides (n, bits; m, bits2) leave the pair a chance."""
+        sizes = F.col("n") + F.col("m")
+        least = F.ceil(self.percent * sizes / F.lit(float(100 + self.percent)))
+        return (self.percent * F.greatest("n", "m") <= 100 * F.least("n", "m")) & (differing() <= sizes - 2 * least)
+
+    def hubs(self, named: DataFrame) -> DataFrame:
+        """Pairs (a, hub, n): for each node the likest few of the hubs that its lists offer."""
+        drawn = named.groupBy("token").agg(*[F.max_by(F.struct("node", "n", "bits"), F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(DRAWS)])
+        drawn = drawn.select("token", F.explode(F.array(*[f"x{i}" for i in range(DRAWS)])).alias("x")).select("token", F.col("x.node").alias("hub"), F.col("x.n").alias("m"), F.col("x.bits").alias("bits2"))
+        heads = named.where("node = head").select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
+        offers = self.scratch.save(drawn.unionByName(heads).distinct(), "offers")
+        pairs = named.join(offers, "token").where("node != hub").where(self.possible())
+        pairs = pairs.select("node", "n", F.struct(differing().alias("differing"), "hub").alias("x")).distinct()
+        best = pairs.groupBy("node").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list("x")), 1, HUBS).alias("best"))
+        return best.select(F.col("node").alias("a"), F.explode("best").alias("x"), "n").select("a", "x.hub", "n")
+
     def run(self) -> DataFrame:
-        scratch, ratio = self.scratch, f"{self.percent} * greatest(n, m) <= 100 * least(n, m)"
+        scratch = self.scratch
         facts, counter = self.count()
         lists = self.lists(counter)
-        stars = lists.where("node != head").groupBy("node", "head").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("head_n").alias("m"))
-        stars = stars.where(ratio).where(F.col("met") >= self.meetings("n", "m"))
-        stars = stars.groupBy("node").agg(F.max(F.struct("met", (-F.col("head")).alias("order"), "head", "n")).alias("x"))
-        stars = scratch.save(stars.select(F.col("node").alias("a"), F.col("x.head").alias("hub"), F.col("x.n").alias("n")), "stars")
-        edges = self.verify(stars, "star")
+        # a node on fewer lists than a pair must share has no partner
+        live = lists.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= self.meetings("n")).select("node")
+        cells = facts.where("node IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"))
+        cells = scratch.save(cells.join(scratch.save(live, "live"), "node"), "cells")
+        named = scratch.save(lists.join(cells, "node"), "named")
+        scratch.drop("lists", "live", "cells")
+        edges = self.verify(scratch.save(self.hubs(named), "hubs"), "hub")
         groups = scratch.save(components(edges, scratch, "group"), "groups")
 
-        named = lists.select("token", "node", "n").join(groups, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        named = scratch.save(named, "named")
-        mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.xxhash64("node")).alias("main"))
+        rooted = scratch.save(named.join(groups, "node", "left").select("token", "node", "n", "bits", F.coalesce("root", "node").alias("root")), "rooted")
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.xxhash64("node")).alias("main"))
         mixed = scratch.save(mixed.where("low != high").select("token", "main"), "mixed")
-        listed = scratch.save(named.join(mixed, "token"), "listed")
+        listed = scratch.save(rooted.join(mixed, "token"), "listed")
         few = listed.where("root != main")
-        other = listed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("main").alias("main2"))
-        pairs = few.join(other, "token").where("root != root2 AND (root2 = main2 OR node < node2)").where(ratio)
+        other = listed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("root").alias("root2"), F.col("main").alias("main2"))
+        pairs = few.join(other, "token").where("root != root2 AND (root2 = main2 OR node < node2)").where(self.possible())
         pairs = pairs.groupBy(F.least("node", "node2").alias("hub"), F.greatest("node", "node2").alias("a")).agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m"))
         pairs = scratch.save(pairs.where(F.col("met") >= self.meetings("n", "m")).select("a", "hub", F.greatest("n", "m").alias("n")), "pairs")
-        scratch.drop("named", "mixed", "listed", "lists")
+        scratch.drop("named", "rooted", "mixed", "listed")
         if not pairs.isEmpty():
             more = self.verify(pairs, "pair")
             groups = scratch.save(components(edges.unionByName(more), scratch, "all"), "all-groups")
-        owned = facts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        owned = facts.drop("bits").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         owned = scratch.save(owned, "owned")
         least = scratch.save(owned.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("least"), F.min("id").alias("low")), "least")
         return owned.join(least, "root", "left").select("id", "node", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), (F.col("node").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("node") == F.col("least.node")))).alias("first"))
 
 
+def differing() -> Column:
+    """Cells in which the bitmaps of two sides differ."""
+    out = F.lit(0)
+    for i in range(BITS // 64):
+        out = out + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i]))
+    return out
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by a Jaccard of ``percent`` / 100 or more on ``shingle``-word shingles.
 
@@ -302,9 +338,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
                     node[i], known[i] = x, True
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, mask=~known)], [*part.schema.names, "__node"])
 
-    from pyspark.sql.types import LongType, StructType
-
-    named = docs.mapInArrow(name, StructType(docs.schema.fields).add("__node", LongType()))
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("__node", LongType())]))
     stay = groups.where("first AND node IS NOT NULL").groupBy(F.col("id").alias("__id"), F.col("node").alias("__own")).agg(F.count("*").alias("__rows"))
     kept = named.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")))
     once = kept.where("__rows = 1").select(names)

@@ -108,7 +108,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before, step = mark, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low-{step}a")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = scratch.save(large, f"{name}-large-{step}")
         low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{step}b")
         joined = large.join(low, "u")
