@@ -161,7 +161,7 @@ class Words:
         return (np.concatenate([x for _, x in out]) if out else np.zeros(0, U)), np.cumsum(sizes)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch whose ``column`` holds about ``limit`` bytes (one row at least)."""
     at = batch.schema.get_field_index(column)
     if not batch.num_rows:
