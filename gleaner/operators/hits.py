@@ -110,9 +110,10 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     """Rows to follow: no junk, first of each address, then one a query in turn, at most ``cap`` a site.
 
     ``ranked`` carries ``place``, its rank.  Everything is taken, without a cap, if
-    it fits.  The greedy turns are sequential; a query can use up at most ``cap``
-    rows of each site, and none after its ``most``-th, so each query sends only
-    those rows to the one task that takes turns.
+    it fits.  The greedy turns are sequential, so one task takes them, over rows
+    that can matter.  Of each site a query can use its best ``cap`` rows.  Before
+    any pick of a query come at most ``most`` rows already taken and ``cap`` rows
+    of each of at most ``most`` / ``cap`` full sites.
     """
     if most <= 0:
         return ranked.limit(0)
@@ -123,8 +124,8 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     if clean.limit(most + 1).count() <= most:
         return clean.withColumn("turn", F.row_number().over(Window.orderBy("place")))
     sited = clean.withColumn("__site", F.coalesce(U.registered_domain(url), F.lit("")))
-    bounded = sited.withColumn("__nth", F.row_number().over(Window.partitionBy("query", "__site").orderBy("place"))).where(F.col("__nth") <= most)
-    bounded = bounded.withColumn("__of_query", F.row_number().over(Window.partitionBy("query").orderBy("__nth", "place"))).where(F.col("__of_query") <= most * (most + 1))
+    bounded = sited.withColumn("__nth", F.row_number().over(Window.partitionBy("query", "__site").orderBy("place"))).where(F.col("__nth") <= cap)
+    bounded = bounded.withColumn("__of_query", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("__of_query") <= cap * (most // cap) + most)
     firsts = bounded.groupBy("query").agg(F.min("place").alias("__first"))
     first_queries = firsts.orderBy("__first").limit(most * (most + 1))
     bounded = bounded.join(first_queries, "query")

@@ -43,6 +43,36 @@ def test_selection(spark):
     assert hits.select_candidates(one_site, 6).count() == 6 and hits.select_candidates(one_site, 0).count() == 0
 
 
+def turns(rows, most, cap=2):
+    """(turn, place) of the greedy selection over all rows (place, query, site), by brute force."""
+    by_query, sites, taken, picked = {}, {}, [], True
+    for place, query, site in sorted(rows):
+        by_query.setdefault(query, []).append((place, site))
+    while picked and len(taken) < most:
+        picked = False
+        for mine in by_query.values():
+            at = next((x for x in mine if sites.get(x[1], 0) < cap), None)
+            if at is not None and len(taken) < most:
+                mine.remove(at)
+                sites[at[1]] = sites.get(at[1], 0) + 1
+                taken.append(at[0])
+                picked = True
+    return list(enumerate(taken, 1))
+
+
+def selects(spark, rows, most):
+    """Whether the operator takes the rows (place, query, site) of the brute force."""
+    ranked = spark.createDataFrame([(p, q, f"t{p}", f"https://{s}.com/{p}") for p, q, s in rows], "place long, query string, title string, url string")
+    picked = hits.select_candidates(ranked, most).orderBy("turn").collect()
+    return [(r.turn, r.place) for r in picked] == turns(rows, most)
+
+
+def test_selection_takes_a_query_of_many_sites_by_rank(spark):
+    assert turns(rows := [(1, "q", "a"), (2, "q", "a"), *((i, "q", f"s{i}") for i in range(3, 90))], 8)[:2] == [(1, 1), (2, 2)]
+    assert selects(spark, rows, 8)
+    assert selects(spark, [(i, "q", "abc"[i % 3] if i < 60 else f"s{i}") for i in range(150)], 9)
+
+
 def test_map_and_warnings(spark):
     mapped = hits.map_hits(make(spark, [("q", "  A  b ", "https://arxiv.org/abs/1", " s ", 0.0), ("q", "Café", "https://e.com/", "s", 0.0), ("q", "C", "https://e.com/c", "s", 0.0)])).orderBy("position").collect()
     assert [(r.title, r.position, r.score, r.source_type) for r in mapped] == [("A b", 1, 1.0, "paper"), ("C", 2, 0.5, "web")]
