@@ -113,7 +113,11 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     it fits.  The greedy turns are sequential, so one task takes them, over rows
     that can matter.  Of each site a query can use its best ``cap`` rows.  Before
     any pick of a query come at most ``most`` rows already taken and ``cap`` rows
-    of each of at most ``most`` / ``cap`` full sites.
+    of each of at most ``most`` / ``cap`` full sites.  As long as a site isn't full,
+    each query with a row of it takes one in its turn, so only the first ``most``
+    of its queries, in order, can use it: its first ``cap`` * ``most`` rows.  Of the
+    queries left, those whose sites are all full in the first turn are at most
+    ``most`` * ``most``, and ``most`` others end it.
     """
     if most <= 0:
         return ranked.limit(0)
@@ -127,24 +131,27 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     bounded = sited.withColumn("__nth", F.row_number().over(Window.partitionBy("query", "__site").orderBy("place"))).where(F.col("__nth") <= cap)
     bounded = bounded.withColumn("__of_query", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("__of_query") <= cap * (most // cap) + most)
     firsts = bounded.groupBy("query").agg(F.min("place").alias("__first"))
-    first_queries = firsts.orderBy("__first").limit(most * (most + 1))
-    bounded = bounded.join(first_queries, "query")
+    bounded = bounded.join(firsts, "query")
+    bounded = bounded.withColumn("__of_site", F.row_number().over(Window.partitionBy("__site").orderBy("__first", "place"))).where(F.col("__of_site") <= cap * most)
+    if most * (most + 1) < 1 << 31:  # as many as limit() takes
+        first_queries = bounded.groupBy("query").agg(F.first("__first").alias("__order")).orderBy("__order").limit(most * (most + 1))
+        bounded = bounded.join(first_queries.select("query"), "query", "left_semi")
 
     def greedy(rows):
         rows = rows.sort_values(["__first", "place"], kind="stable")
-        waiting = {q: list(g.index) for q, g in rows.groupby("__first", sort=True)}
-        taken, sites, picked = [], {}, True
-        while picked and len(taken) < most:
-            picked = False
-            for mine in waiting.values():
+        site_of, waiting = rows["__site"].to_dict(), [iter(list(g.index)) for _, g in rows.groupby("__first", sort=True)]
+        taken, sites = [], {}
+        while waiting and len(taken) < most:
+            left = []
+            for mine in waiting:
                 if len(taken) >= most:
                     break
-                at = next((i for i in mine if sites.get(rows.at[i, "__site"], 0) < cap), None)
+                at = next((i for i in mine if sites.get(site_of[i], 0) < cap), None)  # a full site stays full
                 if at is not None:
-                    mine.remove(at)
-                    sites[rows.at[at, "__site"]] = sites.get(rows.at[at, "__site"], 0) + 1
+                    sites[site_of[at]] = sites.get(site_of[at], 0) + 1
                     taken.append(at)
-                    picked = True
+                    left.append(mine)
+            waiting = left
         out = rows.loc[taken, columns].copy()
         out["turn"] = range(1, len(taken) + 1)
         return out

@@ -1,6 +1,7 @@
 """Hits, state, pages, trees, jobs and streams on small inputs."""
 
 import json
+import random
 import time
 
 import pytest
@@ -73,6 +74,21 @@ def test_selection_takes_a_query_of_many_sites_by_rank(spark):
     assert selects(spark, [(i, "q", "abc"[i % 3] if i < 60 else f"s{i}") for i in range(150)], 9)
 
 
+def test_selection_passes_queries_of_full_sites(spark):
+    hot = [(i, f"h{i}", "a") for i in range(1, 101)]
+    assert len(turns(rows := [*hot, *((i, f"q{i}", f"s{i}") for i in range(101, 120))], 8)) == 8
+    assert selects(spark, rows, 8)
+    draw = random.Random(3)
+    rows = [(i, f"q{draw.randrange(300)}", f"s{min(draw.randrange(40), draw.randrange(40)) // 4}") for i in range(700)]
+    assert selects(spark, rows, 5) and selects(spark, rows, 19)
+
+
+def test_selection_of_more_than_limit_can_hold(spark):
+    most = 50_000
+    ranked = spark.range(1, most + 2).select(F.col("id").alias("place"), F.lit("q").alias("query"), F.lit("t").alias("title"), F.concat(F.lit("https://s.com/"), "id").alias("url"))
+    assert [r.place for r in hits.select_candidates(ranked, most).orderBy("turn").collect()] == [1, 2]
+
+
 def test_map_and_warnings(spark):
     mapped = hits.map_hits(make(spark, [("q", "  A  b ", "https://arxiv.org/abs/1", " s ", 0.0), ("q", "Café", "https://e.com/", "s", 0.0), ("q", "C", "https://e.com/c", "s", 0.0)])).orderBy("position").collect()
     assert [(r.title, r.position, r.score, r.source_type) for r in mapped] == [("A b", 1, 1.0, "paper"), ("C", 2, 0.5, "web")]
