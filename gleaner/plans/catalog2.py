@@ -183,7 +183,7 @@ TAGGED = "regexp_replace(html, '<[A-Za-z/!?][^>\\n]{0,1022}>', '', 'g')"
 register("txt2_strip_tags", f"SELECT page_id, md5({TAGGED.replace('0,1022', '0,999')}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.strip_tags(F.col("html")).cast("binary")).alias("text")))
 register("txt1_decode_entities", f"SELECT page_id, md5({O.entities('html', tuple(T.ENTITIES))}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("text")))
 register("txt8_clean_snippet", f"WITH {I.HITS} SELECT ord, CASE ord % 3 WHEN 0 THEN {O.trim('snippet')} WHEN 1 THEN {O.trim('snippet')} ELSE snippet END AS snippet FROM hits WHERE snippet NOT LIKE '%Read more'")(
-    lambda s, d: I.hits(s, d).where("snippet NOT LIKE '%Read more'").select("ord", T.clean_snippet(F.concat("snippet", F.when(F.col("ord") % 3 == 0, "...Read more").when(F.col("ord") % 3 == 1, "Read more").otherwise(""))).alias("snippet"))
+    lambda s, d: I.hits(s, d).select("ord", T.clean_snippet(F.concat("snippet", F.when(F.col("ord") % 3 == 0, "...Read more").when(F.col("ord") % 3 == 1, "Read more").otherwise(""))).alias("snippet"))
 )
 register("txt9_clean_title")(lambda s, d: I.hits(s, d).select("ord", T.clean_title(F.concat("title", F.when(F.col("ord") % 2 == 0, "Example.com").otherwise(" https://x.y"))).alias("title")))
 register("txt15_round_score", "SELECT l_orderkey, l_linenumber, round(l_tax * l_discount * 100) / 100 AS score FROM lineitem")(lambda s, d: I.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.round_score(F.col("l_tax") * F.col("l_discount")).alias("score")))
@@ -206,9 +206,9 @@ REWRITES = [
 register("qrw4_rewrite", I.values([(i, e, w) for i, (_, e, w) in enumerate(REWRITES)], "id, engine, rewritten"))(
     lambda s, d: s.createDataFrame([(i, q, e) for i, (q, e, _) in enumerate(REWRITES)], "id int, q string, engine string").select("id", "engine", F.coalesce(*[F.when(F.col("engine") == e, R.rewrite(F.col("q"), e)) for e in R.SUPPORTED]).alias("rewritten"))
 )
-register("qrw1_tokens", "SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:3][-1] AS third, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS INTEGER) AS n FROM benchmark WHERE NOT contains(text, '\"')")(lambda s, d: I.table(s, d, "benchmark").where("NOT contains(text, '\"')").select("item_id", F.element_at(F.slice(R.tokenize(F.col("text")), 1, 3), -1).alias("third"), F.size(R.tokenize(F.col("text"))).alias("n")))
+register("qrw1_tokens", "SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:3][-1] AS third, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS INTEGER) AS n FROM benchmark WHERE NOT contains(text, '\"')")(lambda s, d: I.table(s, d, "benchmark").select("item_id", F.element_at(F.slice(R.tokenize(F.col("text")), 1, 3), -1).alias("third"), F.size(R.tokenize(F.col("text"))).alias("n")))
 register("qrw2_classify", "SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS t FROM benchmark WHERE NOT contains(text, '\"')), LATERAL (SELECT CASE WHEN regexp_matches(t, '^-.') THEN 'exclusion' WHEN lower(regexp_extract(t, '^([^:]+):', 1)) IN " + O.listing(R.KEYWORDS) + " THEN 'keyvalue' WHEN contains(t, '..') THEN 'range' WHEN lower(t) IN ('or', 'and') THEN 'boolean' WHEN regexp_matches(t, '[()]') THEN 'paren' WHEN contains(t, '*') THEN 'wildcard' ELSE 'plain' END AS kind) GROUP BY kind")(
-    lambda s, d: I.table(s, d, "benchmark").where("NOT contains(text, '\"')").select(F.explode(R.tokenize(F.col("text"))).alias("t")).groupBy(R.classify(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+    lambda s, d: I.table(s, d, "benchmark").select(F.explode(R.tokenize(F.col("text"))).alias("t")).groupBy(R.classify(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
 )
 register("qrw3_support", " UNION ALL ".join(f"SELECT '{e}' AS engine, '{k}' AS keyword, {str(k in v).lower()} AS supported" for e, v in R.SUPPORTED.items() for k in R.KEYWORDS))(lambda s, d: s.createDataFrame([(k,) for k in R.KEYWORDS], "keyword string").select(F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), R.keyword_supported(e, F.col("keyword")).alias("supported")) for e in R.SUPPORTED])).alias("x"), "keyword").select("x.engine", "keyword", "x.supported"))
 

@@ -35,3 +35,13 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["ord", "query", "url", "site", "score"] and df.count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_quotes_and_read_more_stay(spark, tmp_path):
+    spark.createDataFrame([(1, 'find "a b" c'), (2, "plain words"), (3, '"open end')], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    page = "<title>T</title><p>{}</p>"
+    spark.createDataFrame([(2, "https://e.com/en/2", page.format("Some text...Read more")), (5, "https://e.com/en/5", page.format("Buy now Read more"))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.item_id: (r.third, r.n) for r in rows("qrw1_tokens")} == {1: ("c", 3), 2: ("words", 2), 3: ('"open end', 1)}
+    assert {r.kind: r["n"] for r in rows("qrw2_classify")} == {"quoted": 2, "plain": 4}
+    assert {r.ord: r.snippet for r in rows("txt8_clean_snippet") if r.ord < 10} == {2: "Some text", 5: "Buy now"}
