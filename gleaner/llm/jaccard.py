@@ -319,7 +319,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and blank texts have no shingles and link with nothing, each other included.
     A row with a null id links like any other and takes its group's id (null if
     none has one).  Repeated rows share a group.  An empty table gives an empty
-    table.  Only the two named columns are read, so others may have any name.
+    table.  Groups only: pairs that are connected already aren't verified, so links
+    are neither listed nor counted.  Only the two named columns are read, so others may have any name.
     """
     return _Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, percent).run()
 
