@@ -62,8 +62,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.mixing import mix_sources
+    from gleaner.llm.tables import Scratch
 
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), seed=1)
+    # whole documents are copied, shuffled and written; the result tells which and in what order
+    mixed = Scratch(spark).save(mix_sources(table(spark, sf_dir, "documents"), seed=1), "mixed")
+    return mixed.select("doc_id", "source", "copies", "copy", "order_key").orderBy("order_key")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

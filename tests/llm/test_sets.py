@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard, mixing, repeats, shards, urls, vectors
+from gleaner.llm import jaccard, mixing, queries, repeats, shards, tables, urls, vectors
 
 
 def frame(spark, rows, kind="doc_id long, text string"):
@@ -257,3 +257,15 @@ def test_url_rules(spark):
     for r in rows:
         assert (r.host, r.path, r.rule, r.verdict) == cases[r.url]
     assert urls.judge_urls(frame(spark, [], "url string"), rules).count() == 0
+
+
+def test_op5_mixes_whole_documents(spark, sf, monkeypatch):
+    saved, save = {}, tables.Scratch.save
+    monkeypatch.setattr(tables.Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    told = queries.op5_mixing(spark, sf).collect()
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.doc_id: r for r in documents.collect()}
+    mixed = saved["mixed"].collect()
+    assert sorted((r.doc_id, r["copy"], r.order_key) for r in mixed) == sorted((r.doc_id, r["copy"], r.order_key) for r in told)
+    assert all(r[c] == whole[r.doc_id][c] for r in mixed for c in documents.columns)
+    assert [r.order_key for r in told] == sorted(r.order_key for r in told) and len(told) > 100
