@@ -1,22 +1,26 @@
 """Exact Jaccard self-join on word shingles, as connected groups.
 
 T-occurrence search.  Two sets of sizes m and n with Jaccard p % or more share
-at least T = ceil(p (m + n) / (100 + p)) shingles.  Shingles are put in one
-global order, rare ones first.  The lists of a document's rarest n - T + l
-shingles are the short ones: they are merged (here by one sorted exchange), and
-a pair must meet there l times.  The other, long lists are never written out;
-DivideSkip probes them by binary search for the candidates that are left.
+at least T(m, n) = ceil(p (m + n) / (100 + p)) shingles.  Shingles have one global
+order, rare ones first.  With the T - 1 longest lists set aside, a pair must meet
+on one of the others: the lists of a document's rarest n - ceil(p n / 100) + 1
+shingles are short and merged by one sorted exchange; the long ones are never
+written out, DivideSkip probes them for the candidates that are left.
 
 * A counter of fixed size, filled from every document, gives the order.  It may
   confuse shingles, which costs time but never a pair: any fixed order is right.
 * Texts with equal shingle sets are one node, so exact copies are never compared.
-* Each node is first searched against a few hubs: of some nodes of its lists those
-  that look most alike.  Verified links make components; only pairs in different
-  components are then enumerated, so a group of N near copies costs N searches
-  and not N * N.  Links between different texts are lost nowhere: every pair that
-  meets l times is verified, already connected, or ruled out for certain.
-* What rules out is a bitmap filter: the parity of a set's elements in ``BITS``
-  cells.  Two bitmaps never differ in more cells than the sets in elements.
+* Where a node first meets a partner at place i of its order, they share at most
+  n - i shingles, so an entry bounds its partner's size: T(n, m) <= n - i, that is
+  m <= f.  Lists are split by ranges of sizes, and a node asks only the ranges
+  that it may meet.  Nodes with shingles of their own bring these before the
+  frequent ones, so a passage that many documents share joins nobody by itself.
+* Each node is first searched against a few hubs: in each range of a list the node
+  with the fewest rare shingles for its size, and one drawn by hash.  Verified links
+  make components; then only pairs across components are listed, the smaller ones
+  of a list asking.  A group of N near copies costs N searches, not N * N.  No link
+  between different texts is lost: every pair that can meet is verified, connected
+  already, or ruled out by its sizes.
 * Lists that the counter calls long are salted, so no task holds such a list.
 """
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 from heapq import merge
 from itertools import groupby
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,10 @@ from gleaner.llm.tables import Scratch, components, maybe_in, value_filter
 from gleaner.llm.words import U, Words, mix, pieces
 
 COUNTER_BITS, SLICES, FILTER_BITS = 19, 32, 26
-#: Meetings asked of a pair on the merged lists: so many and one for every ``STEP`` shingles more.
-MEETINGS, STEP = 8, 20
-#: Lists of more documents are salted; bytes of sets in one search.
-LONG_LIST, SEARCH_BYTES = 1 << 14, 8 << 20
-#: Cells of a set's bitmap; hubs of each list, and hubs that a node is searched against.
-BITS, DRAWS, HUBS = 512, 2, 4
+#: Lists of more documents are salted; bytes and members of sets in one search.
+LONG_LIST, SEARCH_BYTES, SEARCH_MEMBERS = 1 << 12, 8 << 20, 128
+#: Hubs that a node is searched against; ranges of sizes per factor 100 / percent.
+HUBS, RANGES = 4, 2
 
 
 def _sets(part: pa.RecordBatch, k: int):
@@ -111,113 +113,111 @@ class _Join:
         self.scratch = Scratch(self.spark)
 
     def count(self) -> tuple[DataFrame, np.ndarray]:
-        """Facts of each row (id, node, n) and the counter, in one pass."""
+        """Facts of each row (id, text_hash, node, n) and the counter, in one pass."""
         k = self.k
+        names = ["id", "text_hash", "node", "n", "slice", "part", "counts"]
 
         def scan(batches):
             counter = np.zeros(1 << COUNTER_BITS, np.uint32)
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    node, size = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-                    cells = np.zeros((part.num_rows, BITS // 64), np.int64)
+                    rows = part.num_rows
+                    node, size = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
                     for i, name, shingles in _sets(part, k):
                         node[i], size[i] = name, len(shingles)
-                        parity = np.bincount((mix(shingles) % U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
-                        cells[i] = np.packbits(parity).view(np.int64)
                         np.add.at(counter, (shingles >> U(64 - COUNTER_BITS)).astype(np.int64), 1)
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(node, mask=size == 0), pa.array(size), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), BITS // 64).cast(pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "node", "n", "bits", "slice", "part", "counts"])
+                    facts = [part.column("id"), part.column("text_hash"), pa.array(node, mask=size == 0), pa.array(size)]
+                    yield pa.RecordBatch.from_arrays([*facts, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
             task = TaskContext.get().partitionId() % 512
-            rows = [x.tobytes() for x in np.split(counter, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(rows, pa.binary())], ["id", "node", "n", "bits", "slice", "part", "counts"])
+            counts = pa.array([x.tobytes() for x in np.split(counter, SLICES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 4, pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), counts], names)
 
-        both = self.scratch.save(self.docs.mapInArrow(scan, "id long, node long, n long, bits array<long>, slice int, part int, counts binary"), "facts")
+        kind = "id long, text_hash long, node long, n long, slice int, part int, counts binary"
+        both = self.scratch.save(self.docs.mapInArrow(scan, kind), "facts")
 
         def add(group: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in group.column("counts"))
-            return pa.table({"slice": group.column("slice")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+            counts = pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())
+            return pa.table({"slice": group.column("slice")[:1], "part": pa.array([0], pa.int32()), "counts": counts})
 
         slices = both.where("slice IS NOT NULL").select("slice", "part", "counts")
         for keys in (["slice", "part"], ["slice"]):
             slices = slices.groupBy(*keys).applyInArrow(add, "slice int, part int, counts binary")
         found = {r["slice"]: r["counts"] for r in slices.toArrow().to_pylist()}
-        empty = bytes(4 << COUNTER_BITS >> 5)
-        return both.where("slice IS NULL").select("id", "node", "n", "bits"), np.concatenate([np.frombuffer(found.get(i, empty), np.uint32) for i in range(SLICES)])
+        empty = bytes((4 << COUNTER_BITS) // SLICES)
+        counter = np.concatenate([np.frombuffer(found.get(i, empty), np.uint32) for i in range(SLICES)])
+        return both.where("slice IS NULL").select("id", "text_hash", "node", "n"), counter
 
     def lists(self, counter: np.ndarray) -> DataFrame:
-        """Merged short lists with two nodes or more: (token, node, n, head), the head a node of about that size."""
+        """Merged short lists with two nodes or more: (token, share, node, n, f).
+
+        ``f`` is the largest size that a node met here for the first time can have
+        to link; ``share`` is the number of salts of the list.
+        """
         k, percent = self.k, self.percent
         shared = self.spark.sparkContext.broadcast(counter)
         long_list = max(LONG_LIST, 8 * int(counter.mean()))
+        names = ["token", "lane", "size", "node"]
 
         def prefixes(batches):
             seen: set[int] = set()
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    rows, nodes, sizes, salts = [], [], [], []
+                    rows = []
                     for _, node, shingles in _sets(part, k):
                         if node in seen:
                             continue
                         seen.add(node)
                         weight = shared.value[(shingles >> U(64 - COUNTER_BITS)).astype(np.int64)]
-                        n, least = len(shingles), -(-percent * len(shingles) // 100)
-                        take = np.lexsort((shingles, weight))[: n - least + min(MEETINGS + n // STEP, least)]
+                        n = len(shingles)
+                        short = n - -(-percent * n // 100) + 1
+                        take = np.lexsort((shingles, weight))[:short]
+                        most = (n - np.arange(short, dtype=np.int64)) * (100 + percent) // percent - n
                         share = -(-weight[take].astype(np.int64) // long_list)
-                        rows.append(shingles[take].view(np.int64))
-                        salts.append(np.where(share > 1, 1 + node % share, 0).astype(np.int32))
-                        nodes.append(node)
-                        sizes.append(n)
-                    ends = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
-                    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-                    salt = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(salts) if rows else np.zeros(0, np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), tokens, salt], ["node", "n", "tokens", "salts"])
+                        salt = np.where(share > 1, 1 + node % np.maximum(share, 1), 0)
+                        rows.append((shingles[take].view(np.int64), share << 32 | salt, n << 32 | most, np.full(short, node)))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
 
         def runs(batches):
-            """Rows sorted by token, salt and size; the state is one row, whatever a list's length."""
-            last = None  # token, salt, node, n, head, head_n, told
+            """Rows sorted by token, lane, size and node, without repeated ones and lists of one; the state is one row."""
+            last = None  # token, lane, size, node, told
             for batch in batches:
-                if not batch.num_rows:
+                table = np.stack([batch.column(c).to_numpy() for c in names])
+                fresh = np.ones(table.shape[1], bool)
+                fresh[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
+                if last is not None and len(fresh):
+                    fresh[0] = (table[:, 0] != last[0]).any()
+                table = table[:, fresh]
+                if not table.shape[1]:
                     continue
-                token, salt, node, n = (batch.column(c).to_numpy() for c in ("token", "salt", "node", "n"))
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-                if last is not None:
-                    new[0] = (token[0], salt[0]) != last[:2]
-                starts = np.flatnonzero(new)
-                head = np.zeros(len(token), np.int64)
-                head[starts] = starts
-                np.maximum.accumulate(head, out=head)
-                heads, head_n = node[head], n[head]
-                if not new[0]:
-                    to = starts[0] if len(starts) else len(token)
-                    heads[:to], head_n[:to] = last[4], last[5]
-                bounds = np.append(starts, len(token))
-                bounds = np.unique(np.concatenate([[0], bounds]))
-                wide = np.flatnonzero(n[bounds[1:] - 1] * percent > 100 * head_n[bounds[1:] - 1])
-                for lo, hi in zip(bounds[wide], bounds[wide + 1], strict=True):
-                    while lo < hi:  # sizes that can't match the head start a head of their own
-                        lo += int(np.searchsorted(n[lo:hi], 100 * head_n[lo] // percent, side="right"))
-                        if lo < hi:
-                            heads[lo:hi], head_n[lo:hi] = node[lo], n[lo]
-                tell = salt > 0
-                tell[1:] |= ~new[1:]
-                tell[:-1] |= ~new[1:]
-                tell[0] |= not new[0]
-                extra = last is not None and not new[0] and not last[6]
-                out = [token[tell], node[tell], n[tell], heads[tell]]
-                if extra:
-                    out = [np.concatenate([np.array([v], np.int64), x]) for v, x in zip((last[0], last[2], last[3], last[4]), out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["token", "node", "n", "head"])
-                last = (token[-1], salt[-1], node[-1], n[-1], heads[-1], head_n[-1], bool(tell[-1]))
-
-        own = self.docs.mapInArrow(prefixes, "node long, n long, tokens array<long>, salts array<int>").dropDuplicates(["node"])
-        single = own.select("node", "n", F.explode(F.arrays_zip("tokens", "salts")).alias("x")).select("node", "n", F.col("x.tokens").alias("token"), F.col("x.salts").alias("salt"))
-        ordered = single.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-        return self.scratch.save(ordered.mapInArrow(runs, "token long, node long, n long, head long"), "lists")
-
-    def meetings(self, *sizes: str) -> Column:
-        """Meetings that a set, or a pair of sets, of these sizes must have."""
-        return F.least(*(F.least(MEETINGS + F.floor(F.col(c) / STEP), F.ceil(F.col(c) * self.percent / F.lit(100.0))) for c in sizes), F.lit(1 << 40))
+                same = (table[:2, 1:] == table[:2, :-1]).all(axis=0)
+                tell = table[1] & 0xFFFFFFFF > 0
+                tell[1:] |= same
+                tell[:-1] |= same
+                out = table[:, tell]
+                if last is not None and (table[:2, 0] == last[0][:2]).all():
+                    if not tell[0]:
+                        out = np.concatenate([table[:, :1], out], axis=1)
+                        tell[0] = True
+                    if not last[1]:
+                        out = np.concatenate([last[0][:, None], out], axis=1)
+                token, lane, size, node = out
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, lane >> 32, node, size >> 32, size & 0xFFFFFFFF)], ["token", "share", "node", "n", "f"])
+                last = table[:, -1].copy(), bool(tell[-1])
+
+        single = self.docs.select("text").mapInArrow(prefixes, "token long, lane long, size long, node long")
+        ordered = single.repartition("token", "lane").sortWithinPartitions(*names)
+        return self.scratch.save(ordered.mapInArrow(runs, "token long, share long, node long, n long, f long"), "lists")
+
+    def range_of(self, size: Column) -> Column:
+        """The range of sizes that a size falls in."""
+        return F.floor(F.log(size) * (RANGES / log(100 / self.percent))) if self.percent < 100 else size
+
+    def asking(self, lists: DataFrame) -> DataFrame:
+        """Entries once for each range of sizes that they may meet: with low, high and range."""
+        bounds = lists.withColumn("low", F.ceil(F.col("n") * self.percent / F.lit(100.0))).withColumn("high", F.least("f", F.floor(F.col("n") * 100.0 / F.lit(self.percent))))
+        return bounds.where("low <= high").withColumn("range", F.explode(F.sequence(self.range_of(F.col("low")), self.range_of(F.col("high")))))
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, hub, n) that link, as edges (a, b)."""
@@ -234,7 +234,8 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["node", "elements"])
 
         found = scratch.save(self.docs.mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), f"{name}-sets")
-        parts = scratch.save(pairs.groupBy("hub").agg(F.ceil(F.sum("n") * 8 / SEARCH_BYTES).cast("int").alias("parts")), f"{name}-hubs")
+        fill = F.ceil(F.greatest(F.sum("n") * 8 / SEARCH_BYTES, F.count("*") / SEARCH_MEMBERS)).cast("int")
+        parts = scratch.save(pairs.groupBy("hub").agg(fill.alias("parts")), f"{name}-hubs")
         members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node")).join(found, "node")
         hubs = parts.join(found, parts["hub"] == found["node"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "elements")
 
@@ -252,61 +253,63 @@ class _Join:
         scratch.drop(f"{name}-sets", f"{name}-hubs")
         return edges
 
-    def possible(self) -> Column:
-        """Whether sizes and bitmaps of two sides (n, bits; m, bits2) leave the pair a chance."""
-        sizes = F.col("n") + F.col("m")
-        least = F.ceil(self.percent * sizes / F.lit(float(100 + self.percent)))
-        return (self.percent * F.greatest("n", "m") <= 100 * F.least("n", "m")) & (differing() <= sizes - 2 * least)
-
-    def hubs(self, named: DataFrame) -> DataFrame:
-        """Pairs (a, hub, n): for each node the likest few of the hubs that its lists offer."""
-        drawn = named.groupBy("token").agg(*[F.max_by(F.struct("node", "n", "bits"), F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(DRAWS)])
-        drawn = drawn.select("token", F.explode(F.array(*[f"x{i}" for i in range(DRAWS)])).alias("x")).select("token", F.col("x.node").alias("hub"), F.col("x.n").alias("m"), F.col("x.bits").alias("bits2"))
-        heads = named.where("node = head").select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
-        offers = self.scratch.save(drawn.unionByName(heads).distinct(), "offers")
-        pairs = named.join(offers, "token").where("node != hub").where(self.possible())
-        pairs = pairs.select("node", "n", F.struct(differing().alias("differing"), "hub").alias("x")).distinct()
-        best = pairs.groupBy("node").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list("x")), 1, HUBS).alias("best"))
+    def hubs(self, lists: DataFrame) -> DataFrame:
+        """Pairs (a, hub, n): for each node the few hubs that most of its lists offer.
+
+        A range of a list offers two hubs at most, whatever its length.
+        """
+        entry, drawn = F.struct(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("f").alias("g"), "share"), F.xxhash64("node")
+        offers = lists.groupBy("token", self.range_of(F.col("n")).alias("range")).agg(F.max_by(entry, F.struct(F.col("f") / F.col("n"), drawn)).alias("x"), F.max_by(entry, drawn).alias("y"))
+        offers = offers.select("token", "range", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("token", "range", "x.hub", "x.m", "x.g", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("x.share", F.lit(1)) - 1)).alias("salt"))
+        asks = self.asking(lists).withColumn("salt", salt_of("node"))
+        pairs = asks.join(offers, ["token", "range", "salt"]).where("node != hub AND m BETWEEN low AND high AND n <= g")
+        pairs = pairs.groupBy("node", "hub").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+        best = pairs.groupBy("node").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("met")).alias("met"), "hub"))), 1, HUBS).alias("best"))
         return best.select(F.col("node").alias("a"), F.explode("best").alias("x"), "n").select("a", "x.hub", "n")
 
+    def across(self, lists: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs (a, hub, n) of different components that a list brings together.
+
+        In each list the entries outside its most frequent component ask; the
+        entries in it are only asked.
+        """
+        rooted = self.scratch.save(lists.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        mains = rooted.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("share").alias("share"))
+        mains = mains.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("root").alias("least"), F.max("root").alias("most"), F.max("share").alias("share"))
+        mains = self.scratch.save(mains.where("least != most").select("token", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("share", F.lit(1)) - 1)).alias("salt")), "mains")
+        listed = self.scratch.save(rooted.withColumn("salt", salt_of("node")).join(mains, ["token", "salt"]), "listed")
+        few = self.asking(listed.where("root != main").drop("salt")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("share", F.lit(1)) - 1)))
+        asked = listed.select("token", "salt", self.range_of(F.col("n")).alias("range"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("f").alias("g"), F.col("root").alias("root2"))
+        meet = "root != root2 AND (root2 = main OR node < a) AND m BETWEEN low AND high AND n <= g"
+        pairs = few.join(asked, ["token", "range", "salt"]).where(meet).groupBy("a", F.col("node").alias("hub")).agg(F.first("m").alias("n"))
+        pairs = self.scratch.save(pairs, "pairs")
+        self.scratch.drop("rooted", "mains", "listed")
+        return pairs
+
     def run(self) -> DataFrame:
         scratch = self.scratch
         facts, counter = self.count()
         lists = self.lists(counter)
-        # a node on fewer lists than a pair must share has no partner
-        live = lists.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= self.meetings("n")).select("node")
-        cells = facts.where("node IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"))
-        cells = scratch.save(cells.join(scratch.save(live, "live"), "node"), "cells")
-        named = scratch.save(lists.join(cells, "node"), "named")
-        scratch.drop("lists", "live", "cells")
-        edges = self.verify(scratch.save(self.hubs(named), "hubs"), "hub")
-        groups = scratch.save(components(edges, scratch, "group"), "groups")
-
-        rooted = scratch.save(named.join(groups, "node", "left").select("token", "node", "n", "bits", F.coalesce("root", "node").alias("root")), "rooted")
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.xxhash64("node")).alias("main"))
-        mixed = scratch.save(mixed.where("low != high").select("token", "main"), "mixed")
-        listed = scratch.save(rooted.join(mixed, "token"), "listed")
-        few = listed.where("root != main")
-        other = listed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("root").alias("root2"), F.col("main").alias("main2"))
-        pairs = few.join(other, "token").where("root != root2 AND (root2 = main2 OR node < node2)").where(self.possible())
-        pairs = pairs.groupBy(F.least("node", "node2").alias("hub"), F.greatest("node", "node2").alias("a")).agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m"))
-        pairs = scratch.save(pairs.where(F.col("met") >= self.meetings("n", "m")).select("a", "hub", F.greatest("n", "m").alias("n")), "pairs")
-        scratch.drop("named", "rooted", "mixed", "listed")
+        edges = self.verify(scratch.save(self.hubs(lists), "hubs"), "hub")
+        groups = components(edges, scratch, "group")
+        pairs = self.across(lists, groups)
         if not pairs.isEmpty():
             more = self.verify(pairs, "pair")
-            groups = scratch.save(components(edges.unionByName(more), scratch, "all"), "all-groups")
-        owned = facts.drop("bits").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        owned = scratch.save(owned, "owned")
-        least = scratch.save(owned.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("least"), F.min("id").alias("low")), "least")
-        return owned.join(least, "root", "left").select("id", "node", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), (F.col("node").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("node") == F.col("least.node")))).alias("first"))
+            if not more.isEmpty():
+                groups = components(edges.unionByName(more), scratch, "all")
+        owned = scratch.save(facts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
+        own = F.struct(F.isnull("id").alias("none"), "id", "node", "text_hash")
+        least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("least"), F.min("id").alias("low"))
+        first = F.col("node").isNull() | own.eqNullSafe(F.col("least"))
+        done = owned.join(least, "root", "left").select("id", "node", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), first.alias("first"), "text_hash")
+        done = scratch.save(done, "done")
+        scratch.drop("facts", "lists", "hubs", "hub-edges", "group", "pairs", "pair-edges", "all", "owned")
+        return done
 
 
-def differing() -> Column:
-    """Cells in which the bitmaps of two sides differ."""
-    out = F.lit(0)
-    for i in range(BITS // 64):
-        out = out + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i]))
-    return out
+def salt_of(node: str) -> Column:
+    """The salt of a node's entry in a list of ``share`` salts."""
+    return F.pmod(F.xxhash64(node), F.greatest("share", F.lit(1)))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -315,33 +318,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are those of the text with A-Z lower-cased.  Returns one row per input
     row: ``id``, ``node`` (name of its shingle set; null without words),
     ``n_shingles``, ``component_id`` (smallest id reachable by links, its own
-    included) and ``first`` (whether the row stands for its group).  Null, empty
+    included), ``first`` (whether the row stands for its group) and ``text_hash``.  Null, empty
     and blank texts have no shingles and link with nothing, each other included.
     A row with a null id links like any other and takes its group's id (null if
     none has one).  Repeated rows share a group.  An empty table gives an empty
     table.  Groups only: pairs that are connected already aren't verified, so links
     are neither listed nor counted.  Only the two named columns are read, so others may have any name.
     """
-    return _Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, percent).run()
+    text = F.col(text_col)
+    return _Join(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), shingle, percent).run()
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one row of each group: that of the smallest doc_id.  Rows without words all stay."""
-    groups = jaccard_groups(docs, shingle=shingle, percent=percent)
-    names = docs.columns
-
-    def name(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                node = np.zeros(part.num_rows, np.int64)
-                known = np.zeros(part.num_rows, bool)
-                for i, x, _ in _sets(part, shingle):
-                    node[i], known[i] = x, True
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, mask=~known)], [*part.schema.names, "__node"])
-
-    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("__node", LongType())]))
-    stay = groups.where("first AND node IS NOT NULL").groupBy(F.col("id").alias("__id"), F.col("node").alias("__own")).agg(F.count("*").alias("__rows"))
-    kept = named.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")))
-    once = kept.where("__rows = 1").select(names)
-    repeated = kept.where("__rows > 1").select(names).dropDuplicates(["doc_id", "text"])
-    return named.where("__node IS NULL").select(names).unionByName(once).unionByName(repeated)
+    """``documents`` with one row of each group: that of the smallest doc_id.  Rows without words all stay.
+
+    A row is known by its doc_id and the 64-bit hash of its text.  Only rows that
+    go, and repeated ones of which one stays, are joined back.
+    """
+    rows = jaccard_groups(docs, shingle=shingle, percent=percent).where("node IS NOT NULL")
+    marks = rows.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or("first").alias("__stays"), F.count("*").alias("__rows")).where("NOT __stays OR __rows > 1")
+    known, names = docs.withColumn("__text_hash", F.xxhash64("text")), docs.columns
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    repeated = known.join(marks.where("__stays"), same).dropDuplicates(["__id", "__hash"])
+    return known.join(marks, same, "left_anti").select(names).unionByName(repeated.select(names))

@@ -60,6 +60,22 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u, min(v) AS low FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.mixing import mix_sources
     from gleaner.llm.tables import Scratch
@@ -152,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from gleaner.llm.mixing import mix_oracle
 
-    return {"op3_url_rules": OP3_SQL, "op5_mixing": mix_oracle(1), "op8_top_k": OP8_SQL, "op10_repeats": OP10_SQL}
+    return {"op3_url_rules": OP3_SQL, "op4_jaccard": OP4_SQL, "op5_mixing": mix_oracle(1), "op8_top_k": OP8_SQL, "op10_repeats": OP10_SQL}

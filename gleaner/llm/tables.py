@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import U, mix
 
-_OWN: dict[str, str] = {}
+_LOCAL: dict[str, str] = {}
+_MADE: list[Scratch] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Unset, it is an error on a cluster, whose machines share no temporary folder;
+    a local session (tests, bench) gets a folder of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    return _OWN[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: scratch tables need a folder that all machines share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    return _LOCAL[context.applicationId]
 
 
 class Scratch:
@@ -32,6 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/gleaner-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -39,10 +47,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> int:
+    """How many scratch folders there are so far; a mark for :func:`drop_since`."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, keep: Scratch | None = None) -> None:
+    """Delete the scratch folders made since the mark, once what was read from them is written or no longer needed."""
+    for scratch in _MADE[mark:]:
+        if scratch is not keep:
+            scratch._delete(scratch.root)
+    _MADE[mark:] = [keep] if keep in _MADE[mark:] else []
 
 
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -116,4 +139,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         kept = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}", f"{name}-low-{step}a", f"{name}-low-{step}b", f"{name}-large-{step}")
         now = kept
-    return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    done = scratch.save(now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), name)
+    scratch.drop(f"{name}-{step}")
+    return done
