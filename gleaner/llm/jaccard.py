@@ -2,17 +2,17 @@
 
 T-occurrence search.  Two sets of sizes m and n with Jaccard p % or more share
 at least T(m, n) = ceil(p (m + n) / (100 + p)) shingles.  Shingles have one global
-order, rare ones first.  With the T - 1 longest lists set aside, a pair must meet
-on one of the others: the lists of a document's rarest n - ceil(p n / 100) + 1
+order, rare ones first.  With the T - l longest lists set aside, a pair must meet
+l times on the others: the lists of a document's rarest n - ceil(p n / 100) + l
 shingles are short and merged by one sorted exchange; the long ones are never
 written out, DivideSkip probes them for the candidates that are left.
 
 * A counter of fixed size, filled from every document, gives the order.  It may
   confuse shingles, which costs time but never a pair: any fixed order is right.
 * Texts with equal shingle sets are one node, so exact copies are never compared.
-* Where a node first meets a partner at place i of its order, they share at most
-  n - i shingles, so an entry bounds its partner's size: T(n, m) <= n - i, that is
-  m <= f.  Lists are split by ranges of sizes, and a node asks only the ranges
+* Where a node meets a partner for the l-th time or earlier, at place i of its order,
+  they share at most n - i + l - 1 shingles, so an entry bounds its partner's size
+  to m <= f.  Lists are split by ranges of sizes, and a node asks only the ranges
   that it may meet.  Nodes with shingles of their own bring these before the
   frequent ones, so a passage that many documents share joins nobody by itself.
 * Each node is first searched against a few hubs: in each range of a list the node
@@ -43,8 +43,10 @@ from gleaner.llm.words import U, Words, mix, pieces
 COUNTER_BITS, SLICES, FILTER_BITS = 19, 32, 26
 #: Lists of more documents are salted; bytes and members of sets in one search.
 LONG_LIST, SEARCH_BYTES, SEARCH_MEMBERS = 1 << 12, 8 << 20, 128
+#: Meetings asked of a pair on the short lists (fewer of sets too small for so many), and of a hub.
+MEETINGS, HUB_MEETINGS = 2, 2
 #: Hubs that a node is searched against; ranges of sizes per factor 100 / percent.
-HUBS, RANGES = 4, 2
+HUBS, RANGES = 2, 1
 
 
 def _sets(part: pa.RecordBatch, k: int):
@@ -151,8 +153,8 @@ class _Join:
     def lists(self, counter: np.ndarray) -> DataFrame:
         """Merged short lists with two nodes or more: (token, share, node, n, f).
 
-        ``f`` is the largest size that a node met here for the first time can have
-        to link; ``share`` is the number of salts of the list.
+        ``f`` is the largest size that a node met here, in one of the first meetings,
+        can have to link; ``share`` is the number of salts of the list.
         """
         k, percent = self.k, self.percent
         shared = self.spark.sparkContext.broadcast(counter)
@@ -170,9 +172,11 @@ class _Join:
                         seen.add(node)
                         weight = shared.value[(shingles >> U(64 - COUNTER_BITS)).astype(np.int64)]
                         n = len(shingles)
-                        short = n - -(-percent * n // 100) + 1
+                        least = -(-percent * n // 100)
+                        meetings = min(MEETINGS, least)
+                        short = n - least + meetings
                         take = np.lexsort((shingles, weight))[:short]
-                        most = (n - np.arange(short, dtype=np.int64)) * (100 + percent) // percent - n
+                        most = (n + meetings - 1 - np.arange(short, dtype=np.int64)) * (100 + percent) // percent - n
                         share = -(-weight[take].astype(np.int64) // long_list)
                         salt = np.where(share > 1, 1 + node % np.maximum(share, 1), 0)
                         rows.append((shingles[take].view(np.int64), share << 32 | salt, n << 32 | most, np.full(short, node)))
@@ -214,6 +218,10 @@ class _Join:
         """The range of sizes that a size falls in."""
         return F.floor(F.log(size) * (RANGES / log(100 / self.percent))) if self.percent < 100 else size
 
+    def needed(self, meetings: int) -> Column:
+        """Meetings that a pair of sets of sizes n and m must have, of ``meetings`` asked."""
+        return F.least(F.lit(meetings), *[F.ceil(F.col(c) * self.percent / F.lit(100.0)) for c in ("n", "m")])
+
     def asking(self, lists: DataFrame) -> DataFrame:
         """Entries once for each range of sizes that they may meet: with low, high and range."""
         bounds = lists.withColumn("low", F.ceil(F.col("n") * self.percent / F.lit(100.0))).withColumn("high", F.least("f", F.floor(F.col("n") * 100.0 / F.lit(self.percent))))
@@ -233,11 +241,12 @@ class _Join:
                     rows = [x for x, good in zip(rows, ok, strict=True) if good and not (x[0] in seen or seen.add(x[0]))]
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["node", "elements"])
 
-        found = scratch.save(self.docs.mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), f"{name}-sets")
+        found = self.docs.select("text").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"])
         fill = F.ceil(F.greatest(F.sum("n") * 8 / SEARCH_BYTES, F.count("*") / SEARCH_MEMBERS)).cast("int")
-        parts = scratch.save(pairs.groupBy("hub").agg(fill.alias("parts")), f"{name}-hubs")
-        members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node")).join(found, "node")
-        hubs = parts.join(found, parts["hub"] == found["node"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "elements")
+        parts = scratch.save(pairs.groupBy("hub").agg(fill.alias("parts")), f"{name}-parts")
+        members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"))
+        hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
+        asked = scratch.save(members.unionByName(hubs), f"{name}-asked")
 
         def search(group: pa.Table) -> pa.Table:
             hub = group.column("hub")[0].as_py()
@@ -248,9 +257,9 @@ class _Join:
             hits = [nodes[rest[i]] for i in divide_skip(query, [elements[i] for i in rest], percent)] if rest else []
             return pa.table({"a": pa.array(hits, pa.int64()), "b": pa.array([hub] * len(hits), pa.int64())})
 
-        grouped = members.select("hub", "part", "node", "elements").unionByName(hubs).groupBy("hub", "part")
+        grouped = asked.join(found, "node").select("hub", "part", "node", "elements").groupBy("hub", "part")
         edges = scratch.save(grouped.applyInArrow(search, "a long, b long"), f"{name}-edges")
-        scratch.drop(f"{name}-sets", f"{name}-hubs")
+        scratch.drop(f"{name}-parts", f"{name}-asked")
         return edges
 
     def hubs(self, lists: DataFrame) -> DataFrame:
@@ -263,7 +272,8 @@ class _Join:
         offers = offers.select("token", "range", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("token", "range", "x.hub", "x.m", "x.g", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("x.share", F.lit(1)) - 1)).alias("salt"))
         asks = self.asking(lists).withColumn("salt", salt_of("node"))
         pairs = asks.join(offers, ["token", "range", "salt"]).where("node != hub AND m BETWEEN low AND high AND n <= g")
-        pairs = pairs.groupBy("node", "hub").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+        pairs = pairs.groupBy("node", "hub").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m"))
+        pairs = pairs.where(F.col("met") >= self.needed(HUB_MEETINGS))
         best = pairs.groupBy("node").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("met")).alias("met"), "hub"))), 1, HUBS).alias("best"))
         return best.select(F.col("node").alias("a"), F.explode("best").alias("x"), "n").select("a", "x.hub", "n")
 
@@ -281,7 +291,9 @@ class _Join:
         few = self.asking(listed.where("root != main").drop("salt")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("share", F.lit(1)) - 1)))
         asked = listed.select("token", "salt", self.range_of(F.col("n")).alias("range"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("f").alias("g"), F.col("root").alias("root2"))
         meet = "root != root2 AND (root2 = main OR node < a) AND m BETWEEN low AND high AND n <= g"
-        pairs = few.join(asked, ["token", "range", "salt"]).where(meet).groupBy("a", F.col("node").alias("hub")).agg(F.first("m").alias("n"))
+        pairs = few.join(asked, ["token", "range", "salt"]).where(meet)
+        pairs = pairs.groupBy(F.least("a", "node").alias("hub"), F.greatest("a", "node").alias("a")).agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("m").alias("m"))
+        pairs = pairs.where(F.col("met") >= self.needed(MEETINGS)).select("a", "hub", F.greatest("n", "m").alias("n"))
         pairs = self.scratch.save(pairs, "pairs")
         self.scratch.drop("rooted", "mains", "listed")
         return pairs
