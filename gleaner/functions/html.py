@@ -6,9 +6,7 @@ import json
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from gleaner.functions.arrow import row_udf
 
 # Regions without content, for page text and for followed text; tags that end a line.
 SKIPPED = {"nav", "header", "footer", "aside", "form", "script", "style"}
@@ -94,19 +92,15 @@ def parse(html: str) -> Node:
 def body_text(root: Node) -> str:
     """Text nodes outside skipped regions, each trimmed, joined by a space."""
     parts: list[str] = []
-
-    def visit(node: Node) -> None:
-        if node.tag in SKIPPED:
-            return
-        for child in node.children:
-            if isinstance(child, str):
-                if child.strip(SPACES):
-                    parts.append(child.strip(SPACES))
-            else:
-                visit(child)
-
     bodies = root.find("body")
-    visit(bodies[0] if bodies else root)
+    stack: list[Node | str] = [bodies[0] if bodies else root]
+    while stack:  # a stack, since pages may nest deeper than calls can
+        node = stack.pop()
+        if isinstance(node, str):
+            if node.strip(SPACES):
+                parts.append(node.strip(SPACES))
+        elif node.tag not in SKIPPED:
+            stack.extend(reversed(node.children))
     return " ".join(parts)
 
 
@@ -240,20 +234,18 @@ def follow(html: str, offset: int = 0, end: int = 40_000) -> dict:
     out: list[str] = []
     plain: list[str] = []
 
-    def visit(node) -> None:
-        if isinstance(node, str):
+    stack: list[Node | str | None] = list(reversed(start.children))
+    while stack:
+        node = stack.pop()
+        if node is None:  # the end of a block
+            out.append("\n")
+        elif isinstance(node, str):
             out.append(node)
             plain.append(node)
-            return
-        if node.tag in FOLLOW_SKIPPED or node.tag in ("h1", "h2") and title and node.text().strip(SPACES).lower() == title.strip(SPACES).lower():
-            return
-        for child in node.children:
-            visit(child)
-        if node.tag in BLOCKS:
-            out.append("\n")
-
-    for child in start.children:
-        visit(child)
+        elif node.tag not in FOLLOW_SKIPPED and not (node.tag in ("h1", "h2") and title and node.text().strip(SPACES).lower() == title.strip(SPACES).lower()):
+            if node.tag in BLOCKS:
+                stack.append(None)
+            stack.extend(reversed(node.children))
     tidy = lambda x: re.sub(r"\n{2,}", "\n", re.sub(r"[ \t]+", " ", x)).strip(SPACES)
     text = tidy("".join(out))
     if len(text) < 80:
@@ -267,35 +259,22 @@ def follow(html: str, offset: int = 0, end: int = 40_000) -> dict:
 FOLLOW_SCHEMA = "title string, content string, error string"
 
 
-def _arrow_udf(schema: str, fn):
-    names = [f.name for f in StructType.fromDDL(schema).fields]
-
-    @F.pandas_udf(schema)
-    def run(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fn(x or "") for x in column], columns=names)
-
-    return run
-
-
 def page_udf():
-    return _arrow_udf(PAGE_SCHEMA, page)
+    return row_udf(PAGE_SCHEMA, lambda html: page(html or ""))
 
 
 def follow_udf():
-    return _arrow_udf(FOLLOW_SCHEMA, follow)
+    return row_udf(FOLLOW_SCHEMA, lambda html: follow(html or ""))
 
 
 def sections_udf():
-    @F.pandas_udf(SECTION_SCHEMA)
-    def run(headings: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([sections([(h["depth"], h["text"]) for h in hs], t or "") for hs, t in zip(headings, text, strict=True)])
-
-    return run
+    return row_udf(SECTION_SCHEMA, lambda headings, text: sections([(h["depth"], h["text"]) for h in headings or []], text or ""))
 
 
 def plain_sections_udf():
-    @F.pandas_udf(SECTION_SCHEMA)
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([plain_sections(t or "") for t in text])
+    return row_udf(SECTION_SCHEMA, lambda text: plain_sections(text or ""))
+
 
-    return run
+def jsonld_udf():
+    """Author and date of an array of JSON-LD chunks."""
+    return row_udf("author string, published string", lambda chunks: dict(zip(("author", "published"), jsonld(chunks or []), strict=True)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrow import row_udf
+
 MAX_BYTES = 50 << 20
 
 
@@ -99,10 +100,4 @@ def record(data: bytes) -> dict:
 
 
 def record_udf():
-    names = [p.split()[0] for p in RECORD.split(", ")]
-
-    @F.pandas_udf(RECORD)
-    def run(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([record(bytes(c)) for c in contents], columns=names)
-
-    return run
+    return row_udf(RECORD, lambda content: record(content or b""))

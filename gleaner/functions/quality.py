@@ -6,7 +6,7 @@ count as letters in every regex dialect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -97,6 +97,20 @@ def is_blocking(flag_array: Column) -> Column:
     return F.arrays_overlap(flag_array, F.array(*map(F.lit, BLOCKING_FLAGS)))
 
 
+def flag_union(a: Column, b: Column) -> Column:
+    """Flags of either, those of the first first."""
+    return F.array_union(a, b)
+
+
+def flag_difference(a: Column, b: Column) -> Column:
+    return F.array_except(a, b)
+
+
+def record(score: Column, is_ok: Column, reason_array: Column, entropy: Column) -> Column:
+    """A quality record: score, is_ok, reasons by name, and bits of entropy a character."""
+    return F.struct(score.alias("score"), is_ok.alias("is_ok"), reason_array.alias("reasons"), entropy.cast("float").alias("entropy_bits_per_char"))
+
+
 def error_reasons(x: Column) -> Column:
     found = F.array(
         F.when(x.rlike("(?i)This site can't be reached"), "browser_error_page"),
@@ -106,9 +120,13 @@ def error_reasons(x: Column) -> Column:
     return F.filter(found, lambda r: r.isNotNull())
 
 
-def reasons(x: Column) -> Column:
-    """What speaks against a text, in order; judged on its first bytes."""
-    s = T.preview(x, PREVIEW_BYTES)
+def head_of(x: Column) -> Column:
+    """The first bytes of a text, which alone are judged."""
+    return T.preview(x, PREVIEW_BYTES)
+
+
+def reasons(x: Column, s: Column) -> Column:
+    """What speaks against a text, in order; ``s`` is its :func:`head_of`, as a column."""
     size = F.octet_length(s)
     chrome = ((size < 100) & ~s.contains('"')) | ((size >= 100) & is_nav_link_dense(s)) | is_tab_bar(s)
     found = F.filter(
@@ -133,26 +151,38 @@ def penalty(reason: Column) -> Column:
     return F.coalesce(table[reason], F.lit(0.0))
 
 
-def score(x: Column, reason_array: Column) -> Column:
+def score(x: Column, s: Column, reason_array: Column) -> Column:
     """1 less the penalties, in order, plus the bonuses; 0 to 1, two places."""
-    s = T.preview(x, PREVIEW_BYTES)
     left = F.aggregate(reason_array, F.lit(1.0), lambda acc, r: acc - penalty(r))
     left = left + F.when(has_punctuation(s), 0.05).otherwise(0.0)
     left = left + F.when(has_long_words(s), 0.05).otherwise(0.0)
     return F.when(x == "", 0.0).otherwise(T.round_score(F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))))
 
 
+def validate(df: DataFrame, text: str, out: str = "") -> DataFrame:
+    """Adds ``reasons`` and ``score`` (with ``out`` before their names) of a text column.
+
+    The head and the reasons are columns of projections of their own, so that no
+    expression repeats them.
+    """
+    x, s, r = F.col(text), "__head", f"{out}reasons"
+    judged = df.withColumn(s, head_of(x)).withColumn(r, reasons(x, F.col(s)))
+    return judged.withColumn(f"{out}score", score(x, F.col(s), F.col(r))).drop(s)
+
+
 def page_score(base: Column, root_sections: Column) -> tuple[Column, Column]:
     """A web page's score and whether it lacks headings: 0.1 off with fewer than two root sections."""
     bare = root_sections < 2
     return F.when(bare, T.round_score(F.greatest(F.lit(0.0), base - 0.1))).otherwise(base), bare
 
 
-def body_quality(x: Column, flag_array: Column, skip_length: bool = False) -> Column:
-    """(score, is_ok, reasons) of a followed page's text, given its flags; the score isn't rounded."""
-    base = reasons(x)
-    heavy = is_nav_heavy(x)
-    rules: list[tuple[Column, str, float]] = [(F.array_contains(flag_array, f), name, p) for f, (name, p) in FLAG_PENALTIES.items()]
+def judge_body(df: DataFrame, text: str, flags_column: str, skip_length: bool = False) -> DataFrame:
+    """Adds ``q``, (score, is_ok, reasons) of a followed page's text, given its flags; the score isn't rounded."""
+    x, found_flags = F.col(text), F.col(flags_column)
+    facts = df.withColumn("__head", head_of(x)).withColumn("__entropy", T.entropy(x)).withColumn("__heavy", is_nav_heavy(x))
+    facts = facts.withColumn("__base", reasons(x, F.col("__head")))
+    base, heavy = F.col("__base"), F.col("__heavy")
+    rules: list[tuple[Column, str, float]] = [(F.array_contains(found_flags, f), name, p) for f, (name, p) in FLAG_PENALTIES.items()]
     if not skip_length:
         rules += [
             (F.array_contains(base, "too_short"), "too_short", 0.2),
@@ -160,15 +190,17 @@ def body_quality(x: Column, flag_array: Column, skip_length: bool = False) -> Co
             (F.array_contains(base, "boilerplate") & heavy, "boilerplate", 0.1),
             (F.array_contains(base, "navigation_chrome") & heavy, "nav_chrome", 0.6),
         ]
-    rules.append((T.entropy(x) < 1.5, "low_entropy", 0.1))
+    rules.append((F.col("__entropy") < 1.5, "low_entropy", 0.1))
     left = F.lit(1.0)
     for when, _, p in rules:
         left = left - F.when(when, p).otherwise(0.0)
-    left = F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))
-    found = F.filter(F.array(*[F.when(when, name) for when, name, _ in rules]), lambda r: r.isNotNull())
+    facts = facts.withColumn("__left", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)))
+    facts = facts.withColumn("__found", F.filter(F.array(*[F.when(when, name) for when, name, _ in rules]), lambda r: r.isNotNull()))
+    left, found = F.col("__left"), F.col("__found")
     found = F.when((F.size(found) == 0) & (left < 0.5), F.array(F.lit("low_quality"))).otherwise(found)
     empty = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("is_ok"), F.array(F.lit("empty_content")).alias("reasons"))
-    return F.when(x == "", empty).otherwise(F.struct(left.alias("score"), (left >= 0.5).alias("is_ok"), found.alias("reasons")))
+    judged = F.when(x == "", empty).otherwise(F.struct(left.alias("score"), (left >= 0.5).alias("is_ok"), found.alias("reasons")))
+    return facts.withColumn("q", judged).drop("__head", "__entropy", "__heavy", "__base", "__left", "__found")
 
 
 def body_status(content: Column, error: Column, is_ok: Column, reason_array: Column) -> Column:

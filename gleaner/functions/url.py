@@ -181,16 +181,41 @@ def search_url(engine: str, query: Column, count: int = 5) -> Column:
     """Address of an engine's results for a query."""
     q = F.url_encode(query)
     if engine == "bing":
-        return F.concat(F.lit("https://www.bing.com/search?format=rss&q="), q)
+        return F.concat(F.lit("https://www.bing.com/search?format=rss&q="), q, F.lit("&setlang=en&mkt=en-US"))
     if engine == "brave":
-        return F.concat(F.lit("https://search.brave.com/search?q="), q)
+        return F.concat(F.lit("https://search.brave.com/search?q="), q, F.lit("&source=web&hl=en"))
     if engine == "google":
-        return F.concat(F.lit("https://www.google.com/search?q="), q, F.lit(f"&num={min(max(2 * count, 10), 100)}"))
+        return F.concat(F.lit("https://www.google.com/search?q="), q, F.lit(f"&num={min(max(2 * count, 10), 100)}&hl=en"))
     if engine == "brave_api":
-        return F.concat(F.lit("https://api.search.brave.com/res/v1/web/search?q="), q, F.lit(f"&count={min(count, 20)}&country=us&search_lang=en"))
+        return F.concat(F.lit("https://api.search.brave.com/res/v1/web/search?q="), q, F.lit(f"&count={count}&country=us&search_lang=en"))
     raise ValueError(f"no search address for {engine}")
 
 
+# What a challenge's address or title holds, by engine.
+CAPTCHA_URLS = {"brave": ["search.brave.com/verify", "search.brave.com/captcha"], "google": ["/sorry/", "google.com/sorry"]}
+CAPTCHA_TITLES = {"brave": ["Verify you are human", "Just a moment"], "google": ["Accessibility", "Learn more"]}
+
+
+def _holds(text: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | text.contains(part)
+    return out
+
+
+def is_captcha_url(engine: str, url: Column) -> Column:
+    """Whether an engine has sent a challenge instead of its results."""
+    return _holds(url, CAPTCHA_URLS[engine])
+
+
+def is_captcha_title(engine: str, title: Column) -> Column:
+    return _holds(title, CAPTCHA_TITLES[engine])
+
+
+def is_http_url(url: Column) -> Column:
+    return url.rlike("^https?://")
+
+
 # --- predicates on hits -------------------------------------------------------
 
 
@@ -200,7 +225,7 @@ def is_translate_wrapper(url: Column) -> Column:
     return F.coalesce((h == "translate.google.com") | h.endswith(".translate.goog") | wrapped, F.lit(False))
 
 
-#: Scripts taken as foreign to English queries, Latin letters with marks included.
+# Scripts taken as foreign to English queries, Latin letters with marks included.
 NON_LATIN = r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{1E00}-\x{1EFF}\x{00C0}-\x{00FF}\x{0400}-\x{04FF}\x{0370}-\x{03FF}\x{0600}-\x{06FF}\x{0E00}-\x{0E7F}\x{0900}-\x{097F}]"
 
 
@@ -217,7 +242,7 @@ def is_fragment_url(url: Column) -> Column:
     return url.contains("#:~:text=")
 
 
-#: Addresses and phrases of pages that are not worth following.
+# Addresses and phrases of pages that are not worth following.
 JUNK_URL = r"^https://(accounts|support|policies)\.google\.com/|/track\?|doubleclick\.net|googlesyndication\.com|/signin|/sign-in|/login|/log-in|/auth/|/auth\?|/auth$"
 JUNK_TITLE = r"sign in to continue|log in to continue|sign in to read|log in to read|please sign in|please log in|sign in required|log in required"
 
@@ -230,9 +255,14 @@ def is_junk_title(title: Column) -> Column:
     return F.lower(title).rlike(JUNK_TITLE)
 
 
+# Beginnings of the paths of Google's own pages.
+GOOGLE_PATHS = "search url maps images news videos shopping books finance account preferences intl services about support policies howsearchworks advanced_search settings webhp complete sorry local travel flights hotels translate docs drive gmail calendar contacts photos meet tasks forms sites myaccount signin logout".split()
+
+
 def is_google_nav_path(url: Column) -> Column:
-    """Google's own pages among its results."""
-    return host_is(host(url), ["google.com"]) & path(url).rlike(r"^/(search|preferences|advanced_search|imgres|maps|url|setprefs|intl)(/|$|\?)")
+    """Google's own pages among its results; also what is no address at all."""
+    own = F.regexp_replace(host(url), r"^www\.", "") == "google.com"
+    return ~is_url(url) | (F.coalesce(own, F.lit(False)) & path(url).rlike("^/(?:" + "|".join(GOOGLE_PATHS) + ")"))
 
 
 def unwrap_bing_redirect(url: Column) -> Column:

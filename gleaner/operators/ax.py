@@ -28,6 +28,11 @@ def keep_self(role: Column, name: Column) -> Column:
     return ~role.isin(LEAF) & kept
 
 
+def ready(has_root: Column, n_nodes: Column) -> Column:
+    """Whether a snapshot is a tree worth comparing: a root and something below."""
+    return has_root & (n_nodes >= 2)
+
+
 def nodes_array(json_text: Column) -> Column:
     """The node array of a raw answer, as JSON: result.nodes, nodes, or the array itself."""
     whole = F.try_parse_json(json_text)

@@ -81,13 +81,15 @@ def rank_serp(hits: DataFrame) -> DataFrame:
 
 
 def rank_composite(hits: DataFrame) -> DataFrame:
-    """``rank_score``: half authority, three tenths snippet bytes over the longest, two tenths over the address's count."""
+    """``rank_score``: half authority, three tenths snippet bytes over the longest, two tenths over the address's count.
+
+    Hits without an address count as one address; without a snippet, as an empty one.
+    """
     longest = hits.agg(F.max(F.octet_length("snippet")).alias("longest"))
-    counts = hits.groupBy(U.dedup_key(F.col("url")).alias("__key")).agg(F.count("*").alias("times"))
-    keyed = hits.withColumn("__key", U.dedup_key(F.col("url"))).join(counts, "__key").crossJoin(F.broadcast(longest))  # one row
-    share = F.when(F.col("longest") > 0, F.octet_length("snippet") / F.col("longest")).otherwise(0.0)
+    keyed = address_counts(hits).crossJoin(F.broadcast(longest))  # one row
+    share = F.when(F.col("longest") > 0, F.coalesce(F.octet_length("snippet"), F.lit(0)) / F.col("longest")).otherwise(0.0)
     score = F.lit(0.5) * F.col("domain_authority") + F.lit(0.3) * share + F.lit(0.2) * (F.lit(1.0) / F.col("times"))
-    return keyed.withColumn("rank_score", score).drop("__key", "times", "longest")
+    return keyed.withColumn("rank_score", score).drop("times", "longest")
 
 
 def rank(hits: DataFrame, strategy: str) -> DataFrame:
@@ -160,6 +162,36 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     return bounded.withColumn("__run", F.lit(0)).groupBy("__run").applyInPandas(lambda rows: greedy(rows), schema)
 
 
+def take(hits: DataFrame, count: int) -> DataFrame:
+    """The first hits of each query, ``count`` at most; Spark cuts each partition before the exchange."""
+    return hits.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy("ord"))).where(F.col("__n") <= count).drop("__n")
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    """All hits of several searches, repeated ones included."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def address_counts(hits: DataFrame) -> DataFrame:
+    """Hits with ``times``, how many share their address; counted before they move, so a hot address is no task's load."""
+    key = U.dedup_key(F.col("url"))
+    counts = hits.groupBy(key.alias("__counted")).agg(F.count("*").alias("times"))
+    return hits.withColumn("__key", key).join(counts, F.col("__key").eqNullSafe(F.col("__counted"))).drop("__key", "__counted")
+
+
+def longest_snippet(hits: DataFrame) -> DataFrame:
+    """Bytes of the longest snippet, one row; 1 where there is none."""
+    return hits.agg(F.coalesce(F.max(F.octet_length("snippet")), F.lit(1)).cast("long").alias("longest"))
+
+
+def char_histogram(texts: DataFrame, column: str = "text") -> DataFrame:
+    """How often each character occurs in a column: (letter, n)."""
+    return texts.select(F.explode(F.filter(F.split(column, ""), lambda c: c != "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+
+
 # --- coverage -----------------------------------------------------------------
 
 

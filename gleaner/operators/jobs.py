@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -79,4 +79,4 @@ def admit(jobs: DataFrame, spend: int = 0, limit: int = 2000, capacity: int = 25
 
 def unique_traces(jobs: DataFrame) -> DataFrame:
     """First job of each trace id."""
-    return jobs.withColumn("n", F.row_number().over(Window.partitionBy("trace_id").orderBy("job"))).where("n = 1").drop("n")
+    return jobs.groupBy("trace_id").agg(F.min_by(F.struct(*jobs.columns), "job").alias("x")).select("x.*")

@@ -16,12 +16,11 @@ def extract_pages(pages: DataFrame, offset: int = 0, max_chars: int = 40_000) ->
     """Articles of (page_id, url, html); pages under 100 bytes or without text get the error Empty."""
     parsed = pages.withColumn("p", X.page_udf()(F.col("html"))).withColumn("s", X.sections_udf()(F.col("p.headings"), F.col("p.full_text")))
     text = F.col("p.full_text")
-    part = T.slice_text(text, offset, max_chars)
+    parsed = Q.validate(parsed.withColumn("__part", T.slice_text(text, offset, max_chars)), "__part", "__")
+    part, reasons = F.col("__part"), F.col("__reasons")
     empty = (F.octet_length("html") < 100) | T.is_blank(text)
-    reasons = Q.reasons(part)
-    base = Q.score(part, reasons)
     roots = F.size(F.filter("s", lambda s: s["parent"] == -1))
-    score, bare = Q.page_score(base, roots)
+    score, bare = Q.page_score(F.col("__score"), roots)
     return parsed.select(
         "page_id", "url", F.col("p.title").alias("title"), F.when(empty, "Empty").alias("error"),
         F.struct(F.col("p.author").alias("author"), F.col("p.published").alias("published"), F.col("p.site_name").alias("site_name"), U.url_authority(F.col("url")).alias("domain_authority"), F.col("p.language").alias("language")).alias("source"),
@@ -63,7 +62,7 @@ def harvest(hits: DataFrame, pages: DataFrame, most: int = 8, strategy: str = "c
     wanted = chosen.where(~unread).select("url_canonical").distinct()
     captured = pages.withColumn("url_canonical", U.dedup_key(F.col("url"))).join(F.broadcast(wanted), "url_canonical")  # ``most`` rows at most
     bodies = follow_pages(captured.groupBy("url_canonical").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("x")).select("x.*"))
-    bodies = bodies.withColumn("url_canonical", U.dedup_key(F.col("url"))).withColumn("q", Q.body_quality(F.col("content"), F.col("flags")))
+    bodies = Q.judge_body(bodies.withColumn("url_canonical", U.dedup_key(F.col("url"))), "content", "flags")
     bodies = bodies.withColumn("sections", X.plain_sections_udf()(F.col("content")))
     joined = chosen.join(bodies.drop("url", "title", "page_id"), "url_canonical", "left")
     status = F.when(unread, "PdfUnextracted").when(F.col("content").isNull(), "SnippetOnly").otherwise(Q.body_status(F.col("content"), F.col("error"), F.col("q.is_ok"), F.col("q.reasons")))

@@ -14,7 +14,7 @@ FREE, PAID = ["google", "brave", "bing"], ["brave_api", "tavily"]
 PRIORITY = {"free": FREE, "api": PAID, "hybrid": FREE + PAID}
 INTERVAL_MS = {"brave": 5000, "bing": 1000, "google": 6000, "brave_api": 1000, "tavily": 1000}
 COOLDOWN_MS = {"RateLimited": 300_000, "Captcha": 1_800_000}
-QUOTA, TTL_S = 2000, 86_400
+QUOTA, TTL_S, DAY_MS = 2000, 86_400, 86_400_000
 BLOCKING = ["BotWall", "Paywall"]
 #: Browser engines can't do without a session.
 BROWSER_ONLY = ["brave", "google"]
@@ -46,18 +46,32 @@ def reputation(log: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     return out.select("domain", "seq", "hits", held.alias("flags"), ((F.col("hits") >= 2) & (F.col("has_BotWall") | F.col("has_Paywall"))).alias("blocked"))
 
 
+def _by_day(calls: DataFrame, carried: Column, name: str) -> DataFrame:
+    """Calls with their day, and ``name``: a maximum over all earlier days of the engine.
+
+    Engines are few, so a log by engine would be a few tasks; days are summed up
+    first, and each day's calls then stand alone.
+    """
+    dated = calls.withColumn("__day", F.floor(F.col("ts_ms") / DAY_MS))
+    days = dated.groupBy("engine", "__day").agg(F.max(carried).alias("__of_day"))
+    before = F.max("__of_day").over(Window.partitionBy("engine").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    return dated.join(days.select(F.col("engine"), "__day", before.alias(name)), ["engine", "__day"])
+
+
 def pacing(calls: DataFrame, interval_ms: Column) -> DataFrame:
-    """What each call of (engine, seq, ts_ms) would have had to wait since the one before; null if nothing."""
-    before = F.lag("ts_ms").over(Window.partitionBy("engine").orderBy("ts_ms", "seq"))
-    elapsed = F.greatest(F.col("ts_ms") - before, F.lit(0))
-    return calls.select("*", F.when(elapsed < interval_ms, interval_ms - elapsed).alias("remaining_ms"))
+    """What each call of (engine, seq, ts_ms) would have had to wait since the one before (``before_ms``); null if nothing."""
+    dated = _by_day(calls, F.col("ts_ms"), "__last")
+    own = F.lag("ts_ms").over(Window.partitionBy("engine", "__day").orderBy("ts_ms", "seq"))
+    paced = dated.withColumn("before_ms", F.coalesce(own, "__last"))
+    elapsed = F.greatest(F.col("ts_ms") - F.col("before_ms"), F.lit(0))
+    return paced.select(*calls.columns, "before_ms", F.when(F.col("before_ms").isNotNull() & (elapsed < interval_ms), interval_ms - elapsed).alias("remaining_ms"))
 
 
 def cooldowns(calls: DataFrame) -> DataFrame:
     """End of the cooldown that holds after each call, by its outcome; null without one so far."""
     ends = F.col("ts_ms") + lookup(COOLDOWN_MS, F.col("outcome"))
-    frame = Window.partitionBy("engine").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return calls.select("*", F.max(ends).over(frame).alias("cooldown_until_ms"))
+    frame = Window.partitionBy("engine", "__day").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return _by_day(calls, ends, "__until").select(*calls.columns, F.greatest(F.max(ends).over(frame), "__until").alias("cooldown_until_ms"))
 
 
 def quota(calls: DataFrame, limit: int = QUOTA) -> DataFrame:
@@ -66,7 +80,7 @@ def quota(calls: DataFrame, limit: int = QUOTA) -> DataFrame:
     A running total over all paid calls: days are summed first, then the running
     total within each day starts from the days before, so no task holds the log.
     """
-    paid = calls.where(F.col("engine").isin(PAID)).withColumn("day", F.floor(F.col("ts_ms") / 86_400_000))
+    paid = calls.where(F.col("engine").isin(PAID)).withColumn("day", F.floor(F.col("ts_ms") / DAY_MS))
     days = paid.groupBy("day").agg(F.count("*").alias("n"))
     before = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("day").orderBy("ts_ms", "seq"))
@@ -84,6 +98,19 @@ def snapshot(calls: DataFrame, now_ms: int) -> DataFrame:
     return last.select("engine", "last_call_ms", cooling.alias("cooldown_until_ms"), wait.alias("retry_after_ms"))
 
 
+def health(states: DataFrame, queue_depth: int = 0) -> DataFrame:
+    """A row an engine, in order of priority, whether it was ever called or not: pacing state and the queue's depth."""
+    engines = states.sparkSession.createDataFrame(list(enumerate(PRIORITY["hybrid"])), "place int, engine string")
+    told = engines.join(states, "engine", "left")
+    return told.select("place", "engine", F.coalesce("retry_after_ms", F.lit(0)).cast("long").alias("retry_after_ms"), "cooldown_until_ms", "last_call_ms", F.lit(queue_depth).alias("queue_depth"))
+
+
+def expired(log: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """Entries of (domain, seq, ts) that come after their domain's record has run out."""
+    before = F.lag("ts").over(Window.partitionBy("domain").orderBy("seq"))
+    return log.withColumn("__before", before).where(F.unix_timestamp("ts") - F.unix_timestamp("__before") > ttl_s).drop("__before")
+
+
 def earliest_available(states: DataFrame) -> DataFrame:
     return states.agg(F.min("retry_after_ms").alias("wait_ms"))
 
@@ -113,13 +140,13 @@ def fallback(attempts: DataFrame) -> DataFrame:
     return out.select("request", "engine", F.when(F.col("served"), "Served").when(F.col("failed"), "AllEnginesFailed").otherwise("Empty").alias("result"))
 
 
-def dispatch_events(calls: DataFrame) -> DataFrame:
-    """Events that a call's outcome gives rise to, in order."""
+def dispatch_events(calls: DataFrame, *keep: str) -> DataFrame:
+    """Events that a call's outcome gives rise to, in order: (keep..., seq, engine, step, event)."""
     kinds = (
         F.when(F.col("outcome") == "RateLimited", F.array(F.lit("RateLimited"), F.lit("Cooldown"))).when(F.col("outcome") == "Captcha", F.array(F.lit("Captcha"), F.lit("Cooldown")))
         .when((F.col("outcome") == "Ok") & (F.col("hits") > 0), F.array(F.lit("Served"))).otherwise(F.array(F.lit("Fallback")))
     )
-    return calls.select("seq", "engine", F.posexplode(kinds).alias("step", "event"))
+    return calls.select(*keep, "seq", "engine", F.posexplode(kinds).alias("step", "event"))
 
 
 class Router:

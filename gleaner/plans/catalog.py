@@ -55,21 +55,22 @@ url_query("url15_websocket", {
     "port": (lambda c: U.ws_port(F.regexp_replace(c, "^https?://[^/?#]*", "ws://h:81")), "CASE WHEN regexp_matches(url, '^https?://') THEN 81 END"),
 })
 url_query("url16_search_urls", {e: (lambda c, e=e: U.search_url(e, c), f"'{a}' || {O.encoded(u)} || '{b}'") for e, a, b in (
-    ("bing", "https://www.bing.com/search?format=rss&q=", ""), ("brave", "https://search.brave.com/search?q=", ""),
-    ("google", "https://www.google.com/search?q=", "&num=10"), ("brave_api", "https://api.search.brave.com/res/v1/web/search?q=", "&count=5&country=us&search_lang=en"),
+    ("bing", "https://www.bing.com/search?format=rss&q=", "&setlang=en&mkt=en-US"), ("brave", "https://search.brave.com/search?q=", "&source=web&hl=en"),
+    ("google", "https://www.google.com/search?q=", "&num=10&hl=en"), ("brave_api", "https://api.search.brave.com/res/v1/web/search?q=", "&count=5&country=us&search_lang=en"),
 )})
 url_query("flt1_translate_wrapper", {"wrapper": (U.is_translate_wrapper, O.translate_wrapper(u))})
 url_query("flt4_fragment", {"highlight": (U.is_fragment_url, "contains(url, '#:~:text=')")})
 url_query("flt6_junk_url", {"junk": (U.is_junk_url, O.junk_url(u))})
 url_query("flt10_captcha_page", {
-    "brave": (lambda c: c.contains("search.brave.com/verify") | c.contains("search.brave.com/captcha"), "contains(url, 'search.brave.com/verify') OR contains(url, 'search.brave.com/captcha')"),
-    "google": (lambda c: c.contains("/sorry/") | c.contains("google.com/sorry"), "contains(url, '/sorry/') OR contains(url, 'google.com/sorry')"),
+    "brave": (lambda c: U.is_captcha_url("brave", c), "contains(url, 'search.brave.com/verify') OR contains(url, 'search.brave.com/captcha')"),
+    "google": (lambda c: U.is_captcha_url("google", c), "contains(url, '/sorry/') OR contains(url, 'google.com/sorry')"),
 })
 url_query("flt18_http_url_and_date", {
-    "is_http": (lambda c: c.rlike("^https?://"), "regexp_matches(url, '^https?://')"),
-    "is_date": (lambda c: F.regexp_extract(c, "([0-9-]+)", 1).rlike("^[0-9]+-[0-9]+-[0-9]+$"), "regexp_matches(regexp_extract(url, '([0-9-]+)', 1), '^[0-9]+-[0-9]+-[0-9]+$')"),
+    "is_http": (U.is_http_url, "regexp_matches(url, '^https?://')"),
+    "is_date": (lambda c: T.is_date(F.regexp_extract(c, "([0-9-]+)", 1)), "regexp_matches(regexp_extract(url, '([0-9-]+)', 1), '^[0-9]+-[0-9]+-[0-9]+$')"),
 })
-url_query("flt19_google_nav", {"nav": (U.is_google_nav_path, f"{O.host_is(O.host(u), ['google.com'])} AND regexp_matches({O.piece(u, 3)}, '^/(search|preferences|advanced_search|imgres|maps|url|setprefs|intl)(/|$|\\?)')")})
+NAV_PATHS = "search|url|maps|images|news|videos|shopping|books|finance|account|preferences|intl|services|about|support|policies|howsearchworks|advanced_search|settings|webhp|complete|sorry|local|travel|flights|hotels|translate|docs|drive|gmail|calendar|contacts|photos|meet|tasks|forms|sites|myaccount|signin|logout"
+url_query("flt19_google_nav", {"nav": (U.is_google_nav_path, f"NOT regexp_matches(url, {O.lit(O.RE)}) OR (coalesce(regexp_replace({O.host(u)}, '^www\\.', '') = 'google.com', false) AND regexp_matches({O.piece(u, 3)}, '^/({NAV_PATHS})'))")})
 
 
 def hit_query(name: str, build: Callable[[], dict], sql: dict[str, str]) -> None:
@@ -94,7 +95,9 @@ MAPPED = f"""{I.HITS}, keyed AS (SELECT *, {O.canonical('url', False)} AS key, l
     round({O.authority(O.host('url'))} * 100) / 100 AS domain_authority, {O.source_type('url')} AS source_type FROM b)"""
 register("map1_map_hits", f"WITH {MAPPED} SELECT ord, query, title, url, snippet, position, engine, CASE WHEN score <= 0 THEN 1.0 / position ELSE CAST(score AS DOUBLE) END AS score, domain_authority, source_type, 'hybrid' AS mode FROM mapped")(lambda s, d: H.map_hits(I.hits(s, d)))
 hit_query("map2_project", lambda: {"title": T.collapse(F.col("title")), "authority": T.round_score(U.domain_authority(U.host(F.col("url")))), "source_type": U.source_type(F.col("url"))}, {"title": O.collapse("title"), "authority": f"round({O.authority(O.host('url'))} * 100) / 100", "source_type": O.source_type("url")})
-register("map3_post_process")(lambda s, d: H.post_process(I.hits(s, d)))
+register("map3_post_process", f"""WITH {I.HITS}, k AS (SELECT *, {O.canonical('url', False)} AS key FROM hits WHERE NOT (contains(url, '#:~:text=') OR {O.translate_wrapper('url')} OR {O.junk_url('url')} OR {O.trim('snippet')} = '')),
+  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY ord) AS n FROM k) WHERE n = 1)
+  SELECT ord, query, {O.clean_title('title')} AS title, url, {O.clean_snippet('snippet')} AS snippet, CAST(row_number() OVER (PARTITION BY query ORDER BY ord) AS INTEGER) AS position FROM a""")(lambda s, d: H.post_process(I.hits(s, d)))
 
 DEDUPED = f"{KEYED}, first AS (SELECT *, {O.authority(O.host('url'))} AS domain_authority FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS n FROM keyed) WHERE n = 1)"
 
@@ -111,7 +114,7 @@ register("rnk4_composite_before_dedup", f"WITH {KEYED}, x AS (SELECT *, {O.autho
 register("url_dedup_rank", f"WITH {DEDUPED}, s AS (SELECT ord, query, url, {O.registered('url')} AS site, round({COMPOSITE}, 9) AS score FROM first) SELECT * FROM s ORDER BY score DESC, ord LIMIT 20")(
     lambda s, d: H.rank_composite(deduped(s, d)).select("ord", "query", "url", U.registered_domain(F.col("url")).alias("site"), F.round("rank_score", 9).alias("score")).orderBy(F.desc("score"), "ord").limit(20)
 )
-register("lim1_take", f"WITH {I.HITS} SELECT ord, query FROM (SELECT ord, query, row_number() OVER (PARTITION BY query ORDER BY ord) AS n FROM hits) WHERE n <= 3")(lambda s, d: I.hits(s, d).withColumn("n", F.row_number().over(H.Window.partitionBy("query").orderBy("ord"))).where("n <= 3").select("ord", "query"))
+register("lim1_take", f"WITH {I.HITS} SELECT ord, query FROM (SELECT ord, query, row_number() OVER (PARTITION BY query ORDER BY ord) AS n FROM hits) WHERE n <= 3")(lambda s, d: H.take(I.hits(s, d), 3).select("ord", "query"))
 register("lim2_follow_budget", f"WITH {DEDUPED} SELECT ord, url FROM first ORDER BY domain_authority DESC, ord LIMIT 8")(lambda s, d: H.rank(deduped(s, d), "authority").limit(8).select("ord", "url"))
 
 
@@ -122,30 +125,31 @@ def selected(spark: SparkSession, sf: str, most: int = 8) -> DataFrame:
 
 
 register("sel1_candidates")(lambda s, d: selected(s, d).select("turn", "ord", "query", "url"))
-register("sel2_all_fit")(lambda s, d: selected(s, d, 1 << 20).select("ord", "query", "url"))
+register("sel2_all_fit", f"WITH {DEDUPED} SELECT ord, query, url FROM first WHERE NOT {O.junk_url('url')} AND NOT {O.junk_title('title')}")(lambda s, d: selected(s, d, 1 << 20).select("ord", "query", "url"))
 register("set1_union", f"WITH {I.HITS} SELECT engine, count(*) AS n, min(ord) AS first FROM (SELECT * FROM hits WHERE engine = 'bing' UNION ALL SELECT * FROM hits WHERE engine = 'brave') GROUP BY engine")(
-    lambda s, d: I.hits(s, d).where("engine = 'bing'").unionByName(I.hits(s, d).where("engine = 'brave'")).groupBy("engine").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    lambda s, d: H.union(I.hits(s, d).where("engine = 'bing'"), I.hits(s, d).where("engine = 'brave'")).groupBy("engine").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 )
-FOLLOWED = f"{I.HITS}, followed AS (SELECT query, url AS url_canonical, CASE ord % 4 WHEN 0 THEN 'Ok' WHEN 1 THEN 'ExtractFailed' WHEN 2 THEN 'ChromeOrEmpty' ELSE 'PdfUnextracted' END AS body_status FROM hits WHERE query <> 'again' OR ord % 4 <> 0)"
+FOLLOWED = f"{I.HITS}, followed AS (SELECT query, url AS url_canonical, CASE WHEN query = 'again' THEN 'ExtractFailed' WHEN ord % 4 = 0 THEN 'Ok' WHEN ord % 4 = 1 THEN 'ExtractFailed' WHEN ord % 4 = 2 THEN 'ChromeOrEmpty' ELSE 'PdfUnextracted' END AS body_status FROM hits)"
 
 
 def followed(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("Ok", "ExtractFailed", "ChromeOrEmpty", "PdfUnextracted"))), (F.col("ord") % 4 + 1).cast("int"))
-    return I.hits(spark, sf).where("query <> 'again' OR ord % 4 <> 0").select("query", F.col("url").alias("url_canonical"), kind.alias("body_status"))
+    kind = F.when(F.col("query") == "again", "ExtractFailed").otherwise(kind)
+    return I.hits(spark, sf).select("query", F.col("url").alias("url_canonical"), kind.alias("body_status"))
 
 
 register("agg1_coverage", f"WITH {FOLLOWED} SELECT query, count(*) AS total_hits, count(*) FILTER (WHERE body_status = 'Ok') AS followed_ok, count(*) FILTER (WHERE body_status <> 'Ok') AS followed_failed FROM followed GROUP BY query")(lambda s, d: H.coverage(followed(s, d)))
 register("agg2_unique_sources", f"WITH {FOLLOWED} SELECT count(DISTINCT {O.registered('url_canonical')}) AS unique_sources FROM followed")(lambda s, d: H.unique_sources(followed(s, d)))
-register("agg3_summary", f"WITH {FOLLOWED} SELECT CAST(5 AS BIGINT) AS total_queries, count(*) AS total_results, count(DISTINCT {O.registered('url_canonical')}) AS unique_sources_followed FROM followed WHERE query = 'en'")(lambda s, d: H.run_summary(followed(s, d).where("query = 'en'"), 5))
+register("agg3_summary", f"WITH {FOLLOWED} SELECT CAST(5 AS BIGINT) AS total_queries, count(*) AS total_results, count(DISTINCT {O.registered('url_canonical')}) AS unique_sources_followed FROM followed")(lambda s, d: H.run_summary(followed(s, d), 5))
 register("agg3_summary_of_nothing", "SELECT CAST(5 AS BIGINT) AS total_queries, CAST(0 AS BIGINT) AS total_results, CAST(0 AS BIGINT) AS unique_sources_followed")(lambda s, d: H.run_summary(followed(s, d).where("false"), 5))
 register("agg4_warnings", f"""WITH {FOLLOWED},
   c AS (SELECT query, count(*) AS n, count(*) FILTER (WHERE body_status = 'Ok') AS ok FROM followed GROUP BY query),
   t AS (SELECT count(*) FILTER (WHERE body_status <> 'PdfUnextracted') AS non_pdf, count(*) FILTER (WHERE body_status <> 'Ok') AS not_ok, count(*) FILTER (WHERE body_status = 'Ok') AS ok, count(*) AS n, count(DISTINCT {O.registered('url_canonical')}) AS sites FROM followed)
   SELECT 'no_body_for_query' AS kind, query FROM c WHERE ok = 0 AND n > 0 UNION ALL SELECT 'collapsed_to_one_site', NULL FROM t WHERE sites <= 1 AND n > 1
   UNION ALL SELECT 'all_snippet_only', NULL FROM t WHERE non_pdf > 0 AND not_ok = non_pdf UNION ALL SELECT 'all_snippet_only_strict', NULL FROM t WHERE non_pdf > 0 AND ok = 0""")(lambda s, d: H.warnings(followed(s, d)))
-register("agg6_longest_snippet", f"WITH {I.HITS} SELECT coalesce(max(strlen(snippet)), 1) AS longest FROM hits")(lambda s, d: I.hits(s, d).agg(F.coalesce(F.max(F.octet_length("snippet")), F.lit(1)).cast("long").alias("longest")))
+register("agg6_longest_snippet", f"WITH {I.HITS} SELECT coalesce(max(strlen(snippet)), 1) AS longest FROM hits")(lambda s, d: H.longest_snippet(I.hits(s, d)))
 register("agg8_winning_engine", f"WITH {I.HITS} SELECT query, CASE WHEN min(engine) = max(engine) THEN min(engine) END AS engine FROM hits GROUP BY query")(lambda s, d: H.winning_engine(I.hits(s, d)))
-register("jn2_address_counts", f"WITH {KEYED} SELECT ord, count(*) OVER (PARTITION BY key) AS times FROM keyed")(lambda s, d: I.hits(s, d).select("ord", F.count("*").over(H.Window.partitionBy(U.dedup_key(F.col("url")))).alias("times")))
+register("jn2_address_counts", f"WITH {KEYED} SELECT ord, count(*) OVER (PARTITION BY key) AS times FROM keyed")(lambda s, d: H.address_counts(I.hits(s, d)).select("ord", "times"))
 register("jn3_without_blocked", f"WITH {I.HITS}, b AS (SELECT {O.host('url')} AS host FROM hits GROUP BY 1 HAVING count(*) > 4) SELECT ord FROM hits WHERE {O.host('url')} NOT IN (SELECT host FROM b WHERE host IS NOT NULL) OR {O.host('url')} IS NULL")(
     lambda s, d: H.without_blocked(I.hits(s, d), I.hits(s, d).groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")).where("n > 4").select("host")).select("ord")
 )
@@ -171,14 +175,17 @@ text_query("flt17_blocking", {"blocking": (lambda c: Q.is_blocking(Q.flags(c)),
 text_query("txt3_collapse", {"collapsed": (lambda c: F.md5(T.collapse(c).cast("binary")), f"md5({O.collapse(t)})")})
 text_query("txt4_collapse_lines", {"collapsed": (lambda c: F.md5(T.collapse_lines(c).cast("binary")), f"md5({O.trim("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')")})")})
 text_query("txt5_strip_boilerplate", {"stripped": (lambda c: F.md5(T.strip_boilerplate(c).cast("binary")), f"md5({O.trim("regexp_replace(regexp_replace(regexp_replace(text, '(?i)press enter or click to view (the )?image in full size', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')")})")})
-text_query("txt6_strip_leading_title", {"rest": (lambda c: F.md5(T.strip_leading_title(c, F.lower(F.substring(c, 1, 9))).cast("binary")), f"md5(CASE WHEN length(text) > 0 AND length(lower(text[1:9])) = length(text[1:9]) THEN regexp_replace(text[10:], '^{O.WS}+', '') ELSE text END)")})
+TITLED = "CASE WHEN ord % 2 = 0 THEN concat(upper(title), '  ', snippet) ELSE snippet END"
+register("txt6_strip_leading_title", f"WITH {I.HITS} SELECT ord, CASE WHEN length(title) > 0 AND starts_with(lower(c), lower(title)) THEN regexp_replace(c[length(title) + 1:], '^{O.WS}+', '') ELSE c END AS rest FROM (SELECT *, {TITLED} AS c FROM hits)")(
+    lambda s, d: I.hits(s, d).select("ord", T.strip_leading_title(F.expr(TITLED), F.col("title")).alias("rest"))
+)
 text_query("txt7_find_ci", {"place": (lambda c: T.find_ci(c, F.lit("THE")), "nullif(strpos(lower(text), 'the'), 0) - 1")})
 text_query("txt10_strip_suffix", {"n": (lambda c: F.length(T.strip_suffix(c, ".")), f"CAST(length({O.trim("CASE WHEN ends_with(text, '.') THEN text[1:length(text) - 1] ELSE text END")}) AS INTEGER)")})
 text_query("txt11_slice", {"part": (lambda c: T.slice_text(c, 5, 20), "text[6:25]")})
 text_query("txt12_pagination", {"truncated": (lambda c: T.is_truncated(F.octet_length(c), 100, 1000), "1100 < strlen(text)")})
 text_query("txt13_entropy", {"entropy": (lambda c: F.round(T.entropy(c), 6), f"round({O.entropy(t)}, 6)")})
 text_query("txt14_word_count", {"words": (T.word_count, f"CAST({O.words(t)} AS INTEGER)")})
-text_query("txt22_normalize_title", {"title": (lambda c: F.md5(T.normalize_title(F.substring(c, 1, 60)).cast("binary")), f"md5(lower({O.collapse('text[1:60]')}))")})
+text_query("txt22_normalize_title", {"title": (lambda c: F.md5(T.normalize_title(c).cast("binary")), f"md5(lower({O.collapse(t)}))")})
 text_query("txt23_preview", {"bytes": (lambda c: F.octet_length(T.preview(c, 101)), f"CAST(strlen({O.preview(t, 101)}) AS INTEGER)"), "head": (lambda c: T.preview(c, 40), O.preview(t, 40))})
 text_query("qlt1_flags", {"flags": (lambda c: F.array_join(Q.flags(c), ","), f"array_to_string({O.flags(t)}, ',')")})
 text_query("qlt2_error_pages", {"reasons": (lambda c: F.array_join(Q.error_reasons(c), ","), "array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)This site can''t be reached') THEN 'browser_error_page' END, CASE WHEN contains(text, 'ERR_CONNECTION') THEN 'connection_error' END, CASE WHEN contains(text, '404 Not Found') THEN 'not_found' END], lambda r: r IS NOT NULL), ',')")})
@@ -187,13 +194,15 @@ VALID = f"{I.TEXTS}, sliced AS (SELECT doc_id, text, {O.preview(t)} AS s FROM te
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
-    judged = I.texts(spark, sf).withColumn("r", Q.reasons(F.col("text")))
-    return judged.withColumn("score", Q.score(F.col("text"), F.col("r")))
+    return Q.validate(I.texts(spark, sf), "text").withColumnRenamed("reasons", "r")
 
 
 register("qlt3_validate", f"WITH {VALID} SELECT doc_id, array_to_string(r, ',') AS reasons, {O.score('s', 'text', 'r')} AS score, {O.score('s', 'text', 'r')} >= 0.5 AS is_ok, CAST(strlen(text) AS INTEGER) AS length FROM judged")(
     lambda s, d: validated(s, d).select("doc_id", F.array_join("r", ",").alias("reasons"), "score", (F.col("score") >= 0.5).alias("is_ok"), F.octet_length("text").alias("length"))
 )
+register("qlt5_record", f"WITH {VALID} SELECT doc_id, {O.score('s', 'text', 'r')} AS score, {O.score('s', 'text', 'r')} >= 0.5 AS is_ok, array_to_string(r, ',') AS reasons, round({O.entropy(t)}, 4) AS entropy FROM judged")(
+    lambda s, d: validated(s, d).select("doc_id", Q.record(F.col("score"), F.col("score") >= 0.5, F.col("r"), T.entropy(F.col("text"))).alias("q")).select("doc_id", "q.score", "q.is_ok", F.array_join("q.reasons", ",").alias("reasons"), F.round(F.col("q.entropy_bits_per_char").cast("double"), 4).alias("entropy"))
+)
 register("qlt4_penalties", f"WITH {VALID}, x AS (SELECT doc_id, unnest(r) AS reason FROM judged) SELECT reason, count(*) AS n, CAST(CASE reason " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in Q.PENALTIES.items()) + " ELSE 0 END AS DOUBLE) AS penalty FROM x GROUP BY reason")(
     lambda s, d: validated(s, d).select(F.explode("r").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).withColumn("penalty", Q.penalty(F.col("reason")))
 )
@@ -211,7 +220,7 @@ BODY = f"""{VALID}, flagged AS (SELECT *, {O.flags(t)} AS f FROM judged),
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return I.texts(spark, sf).withColumn("q", Q.body_quality(F.col("text"), Q.flags(F.col("text"))))
+    return Q.judge_body(I.texts(spark, sf).withColumn("flags", Q.flags(F.col("text"))), "text", "flags")
 
 
 register("qlt7_body_quality", f"WITH {BODY} SELECT doc_id, round(score, 9) AS score, is_ok, array_to_string(reasons, ',') AS reasons FROM body")(lambda s, d: bodies(s, d).select("doc_id", F.round("q.score", 9).alias("score"), "q.is_ok", F.array_join("q.reasons", ",").alias("reasons")))
@@ -222,5 +231,5 @@ register("qlt8_body_status", f"""WITH {BODY} SELECT doc_id, CASE WHEN text = ''
     lambda s, d: bodies(s, d).select("doc_id", Q.body_status(F.col("text"), F.when(F.col("doc_id") % 11 == 0, "timeout").otherwise(""), F.col("q.is_ok"), F.col("q.reasons")).alias("body_status"))
 )
 register("agg5_char_histogram", "SELECT c AS letter, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) GROUP BY c")(
-    lambda s, d: I.table(s, d, "documents").select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    lambda s, d: H.char_histogram(I.table(s, d, "documents"))
 )

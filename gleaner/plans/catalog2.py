@@ -51,7 +51,7 @@ snap = lambda s, d: S.snapshot(calls(s, d), NOW)
 
 register("pac1_intervals", f"WITH {CALLS} SELECT engine, CAST({REAL} AS INTEGER) AS interval_ms, count(*) AS n FROM calls GROUP BY engine")(lambda s, d: calls(s, d).groupBy("engine").agg(F.count("*").alias("n")).select("engine", S.lookup(S.INTERVAL_MS, F.col("engine")).alias("interval_ms"), "n"))
 register("pac2_remaining", f"WITH {CALLS}, g AS (SELECT seq, engine, {INTERVALS} AS i, greatest(ts_ms - lag(ts_ms) OVER (PARTITION BY engine ORDER BY ts_ms, seq), 0) AS e, lag(ts_ms) OVER (PARTITION BY engine ORDER BY ts_ms, seq) AS b FROM calls) SELECT seq, engine, CASE WHEN b IS NOT NULL AND e < i THEN i - e END AS remaining_ms FROM g")(
-    lambda s, d: S.pacing(calls(s, d), S.lookup({e: m * 60000 for e, m in MINUTES.items()}, F.col("engine")).cast("long")).select("seq", "engine", F.when(F.lag("ts_ms").over(Window.partitionBy("engine").orderBy("ts_ms", "seq")).isNotNull(), F.col("remaining_ms")).alias("remaining_ms"))
+    lambda s, d: S.pacing(calls(s, d), S.lookup({e: m * 60000 for e, m in MINUTES.items()}, F.col("engine")).cast("long")).select("seq", "engine", "remaining_ms")
 )
 register("pac4_quota", f"WITH {CALLS}, p AS (SELECT engine, seq, row_number() OVER (ORDER BY ts_ms, seq) AS spend FROM calls WHERE engine IN ('brave_api', 'tavily')) SELECT engine, seq, spend, spend - 1 >= 2000 AS exceeded FROM p")(lambda s, d: S.quota(calls(s, d)).select("engine", "seq", "spend", "exceeded"))
 register("pac5_snapshot", f"WITH {CALLS}, {SNAP} SELECT engine, last_call_ms, cooldown_until_ms, retry_after_ms FROM snap")(snap)
@@ -97,19 +97,19 @@ REP = f"""WITH log AS ({LOG_SQL}),
   SELECT domain, seq, hits, array_to_string(list_filter([CASE WHEN bot THEN 'BotWall' END, CASE WHEN cap THEN 'Captcha' END, CASE WHEN pay THEN 'Paywall' END], lambda f: f IS NOT NULL), ',') AS flags, hits >= 2 AND (bot OR pay) AS blocked FROM e"""
 register("rep3_blocked", REP)(lambda s, d: S.reputation(reputation_log(s, d)).select("domain", "seq", "hits", F.array_join("flags", ",").alias("flags"), "blocked"))
 register("rep4_time_to_live", f"SELECT domain, seq FROM (SELECT *, lag(ts) OVER (PARTITION BY domain ORDER BY seq) AS b FROM ({LOG_SQL})) WHERE epoch_us(ts) // 1000000 - epoch_us(b) // 1000000 > 3600")(
-    lambda s, d: reputation_log(s, d).withColumn("b", F.lag("ts").over(Window.partitionBy("domain").orderBy("seq"))).where(F.unix_timestamp("ts") - F.unix_timestamp("b") > 3600).select("domain", "seq")
+    lambda s, d: S.expired(reputation_log(s, d), 3600).select("domain", "seq")
 )
 FLAG_SETS = "SELECT user_id, list_sort(list_distinct(list(event_type))) AS f FROM events GROUP BY user_id"
 flag_sets = lambda s, d: I.table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
-register("set2_flag_union", f"SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(f, ['Captcha', 'view']))), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(F.array_union("f", F.array(F.lit("Captcha"), F.lit("view")))), ",").alias("flags")))
-register("set3_flag_difference", f"SELECT user_id, array_to_string(list_filter(f, lambda x: x NOT IN ('error', 'view')), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(F.array_except("f", F.array(F.lit("error"), F.lit("view")))), ",").alias("flags")))
+register("set2_flag_union", f"SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(f, ['Captcha', 'view']))), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(Q.flag_union(F.col("f"), F.array(F.lit("Captcha"), F.lit("view")))), ",").alias("flags")))
+register("set3_flag_difference", f"SELECT user_id, array_to_string(list_filter(f, lambda x: x NOT IN ('error', 'view')), ',') AS flags FROM ({FLAG_SETS})")(lambda s, d: flag_sets(s, d).select("user_id", F.array_join(F.array_sort(Q.flag_difference(F.col("f"), F.array(F.lit("error"), F.lit("view")))), ",").alias("flags")))
 
 # --- sources ---------------------------------------------------------------------
 # Each page's hit is wrapped into an engine's answer and read back.
 
 
 def answers(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    hits = I.hits(spark, sf).withColumn("answer", (F.col("ord") % 40).cast("long"))
+    hits = I.hits(spark, sf).withColumn("answer", F.expr("ord div 10"))
     listed = hits.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "url", "snippet", "score"))).alias("x"))
     if kind == "rss":
         item = lambda x: F.concat(F.lit("<item><title>"), x["title"], F.lit("</title><link> "), x["url"], F.lit(" </link><description>&lt;b&gt;"), x["snippet"], F.lit("</description></item>"))
@@ -119,14 +119,14 @@ def answers(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return listed.select("answer", F.to_json(F.struct(F.struct(items.alias("results")).alias("web")) if kind == "brave" else F.struct(items.alias("results"))).alias("body"))
 
 
-ORGANIC = f"WITH {I.HITS}, n AS (SELECT ord % 40 AS answer, row_number() OVER (PARTITION BY ord % 40 ORDER BY ord) AS position, {O.trim('title')} AS title, {O.trim('url')} AS url, {O.trim('snippet')} AS snippet, score FROM hits), k AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY position) AS m FROM n WHERE title <> '' AND url <> '') SELECT answer, CAST(position AS INTEGER) AS position, title, url, snippet, CAST(score AS DOUBLE) AS score FROM k WHERE m <= 5"
+ORGANIC = f"WITH {I.HITS}, n AS (SELECT ord // 10 AS answer, row_number() OVER (PARTITION BY ord // 10 ORDER BY ord) AS position, {O.trim('title')} AS title, {O.trim('url')} AS url, {O.trim('snippet')} AS snippet, score FROM hits), k AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY position) AS m FROM n WHERE title <> '' AND url <> '') SELECT answer, CAST(position AS INTEGER) AS position, title, url, snippet, CAST(score AS DOUBLE) AS score FROM k WHERE m <= 5"
 for _name, _kind, _read in (("src17_brave_api", "brave", SP.brave_api), ("src18_tavily", "tavily", SP.tavily), ("src19_organic", "brave", SP.brave_api)):
     register(_name, ORGANIC)(lambda s, d, k=_kind, r=_read: r(answers(s, d, k), 5).drop("published_date"))
 def untagged(x: str) -> str:
     return f"regexp_replace({x}, '<[A-Za-z/!?][^>\\n]{{0,999}}>', '', 'g')"
 
 
-register("src11_bing_rss", f"WITH {I.HITS}, n AS (SELECT ord % 40 AS answer, row_number() OVER (PARTITION BY ord % 40 ORDER BY ord) AS position, title, url, snippet FROM hits) SELECT answer, CAST(position AS INTEGER) AS position, {O.collapse(untagged(O.entities('title')))} AS title, {O.trim('url')} AS url, {O.collapse(untagged(O.entities('snippet')))} AS snippet FROM n WHERE position <= 5")(lambda s, d: SP.bing_rss(answers(s, d, "rss"), 5))
+register("src11_bing_rss", f"WITH {I.HITS}, n AS (SELECT ord // 10 AS answer, row_number() OVER (PARTITION BY ord // 10 ORDER BY ord) AS position, title, url, snippet FROM hits) SELECT answer, CAST(position AS INTEGER) AS position, {O.collapse(untagged(O.entities('title')))} AS title, {O.trim('url')} AS url, {O.collapse(untagged(O.entities('snippet')))} AS snippet FROM n WHERE position <= 5")(lambda s, d: SP.bing_rss(answers(s, d, "rss"), 5))
 STATUS = "CASE page_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END"
 RETRY = "CASE page_id % 3 WHEN 0 THEN ' 30 ' WHEN 1 THEN 'soon' END"
 statuses = lambda s, d: I.table(s, d, "pages").select("page_id", F.expr(STATUS).alias("status"), F.expr(RETRY).alias("retry"))
@@ -167,9 +167,6 @@ register("src16_empty_retry", "SELECT CAST(seq AS BIGINT) AS query, CASE WHEN ev
 register("src3_web_pages")(lambda s, d: PG.extract_pages(I.table(s, d, "pages")).select("page_id", "title", "error", "source.domain_authority", "source.language", "total_length", "score", "is_ok", F.size("sections").alias("n_sections"), F.array_join("reasons", ",").alias("reasons")))
 
 # --- pages ------------------------------------------------------------------------
-register("htm3_title_and_heading", r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html[^>]*\blang=.?([a-z]+)', 1) AS lang FROM pages")(
-    lambda s, d: I.table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r"<html[^>]*\blang=.?([a-z]+)", 1).alias("lang"))
-)
 register("htm1_extract")(lambda s, d: I.table(s, d, "pages").select("page_id", X.page_udf()(F.col("html")).alias("p")).select("page_id", "p.title", "p.language", "p.full_text", F.size("p.headings").alias("n_headings")))
 register("htm5_follow")(lambda s, d: PG.follow_pages(I.table(s, d, "pages")).select("page_id", "title", "content", "error", F.array_join("flags", ",").alias("flags")))
 register("htm6_follow_json", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, '' AS content, '' AS error FROM pages")(
@@ -182,10 +179,10 @@ register("src22_page_signals", f"SELECT doc_id, array_to_string(list_filter({O.f
 TAGGED = "regexp_replace(html, '<[A-Za-z/!?][^>\\n]{0,1022}>', '', 'g')"
 register("txt2_strip_tags", f"SELECT page_id, md5({TAGGED.replace('0,1022', '0,999')}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.strip_tags(F.col("html")).cast("binary")).alias("text")))
 register("txt1_decode_entities", f"SELECT page_id, md5({O.entities('html', tuple(T.ENTITIES))}) AS text FROM pages")(lambda s, d: I.table(s, d, "pages").select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("text")))
-register("txt8_clean_snippet", f"WITH {I.HITS} SELECT ord, CASE ord % 3 WHEN 0 THEN {O.trim('snippet')} WHEN 1 THEN {O.trim('snippet')} ELSE snippet END AS snippet FROM hits WHERE snippet NOT LIKE '%Read more'")(
+register("txt8_clean_snippet", f"WITH {I.HITS} SELECT ord, {O.clean_snippet('s')} AS snippet FROM (SELECT ord, concat(snippet, CASE ord % 3 WHEN 0 THEN '...Read more' WHEN 1 THEN 'Read more' ELSE '' END) AS s FROM hits)")(
     lambda s, d: I.hits(s, d).select("ord", T.clean_snippet(F.concat("snippet", F.when(F.col("ord") % 3 == 0, "...Read more").when(F.col("ord") % 3 == 1, "Read more").otherwise(""))).alias("snippet"))
 )
-register("txt9_clean_title")(lambda s, d: I.hits(s, d).select("ord", T.clean_title(F.concat("title", F.when(F.col("ord") % 2 == 0, "Example.com").otherwise(" https://x.y"))).alias("title")))
+register("txt9_clean_title", f"WITH {I.HITS} SELECT ord, {O.clean_title('t')} AS title FROM (SELECT ord, concat(title, CASE WHEN ord % 2 = 0 THEN 'Example.com' ELSE ' https://x.y' END) AS t FROM hits)")(lambda s, d: I.hits(s, d).select("ord", T.clean_title(F.concat("title", F.when(F.col("ord") % 2 == 0, "Example.com").otherwise(" https://x.y"))).alias("title")))
 register("txt15_round_score", "SELECT l_orderkey, l_linenumber, round(l_tax * l_discount * 100) / 100 AS score FROM lineitem")(lambda s, d: I.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.round_score(F.col("l_tax") * F.col("l_discount")).alias("score")))
 register("txt16_pdf_date", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN 1 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00+00:00' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30' END AS date FROM events")(
     lambda s, d: I.table(s, d, "events").select("event_id", T.pdf_date(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMdd"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+05'30'"))).otherwise("yesterday")).alias("date"))
@@ -206,11 +203,16 @@ REWRITES = [
 register("qrw4_rewrite", I.values([(i, e, w) for i, (_, e, w) in enumerate(REWRITES)], "id, engine, rewritten"))(
     lambda s, d: s.createDataFrame([(i, q, e) for i, (q, e, _) in enumerate(REWRITES)], "id int, q string, engine string").select("id", "engine", F.coalesce(*[F.when(F.col("engine") == e, R.rewrite(F.col("q"), e)) for e in R.SUPPORTED]).alias("rewritten"))
 )
-register("qrw1_tokens", "SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1:3][-1] AS third, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS INTEGER) AS n FROM benchmark WHERE NOT contains(text, '\"')")(lambda s, d: I.table(s, d, "benchmark").select("item_id", F.element_at(F.slice(R.tokenize(F.col("text")), 1, 3), -1).alias("third"), F.size(R.tokenize(F.col("text"))).alias("n")))
-register("qrw2_classify", "SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS t FROM benchmark WHERE NOT contains(text, '\"')), LATERAL (SELECT CASE WHEN regexp_matches(t, '^-.') THEN 'exclusion' WHEN lower(regexp_extract(t, '^([^:]+):', 1)) IN " + O.listing(R.KEYWORDS) + " THEN 'keyvalue' WHEN contains(t, '..') THEN 'range' WHEN lower(t) IN ('or', 'and') THEN 'boolean' WHEN regexp_matches(t, '[()]') THEN 'paren' WHEN contains(t, '*') THEN 'wildcard' ELSE 'plain' END AS kind) GROUP BY kind")(
+TOKENS = r"""regexp_extract_all(text, '(?:[^ \t\n\r"]|"[^"]*"|"[^"]*$)+')"""
+register("qrw1_tokens", f"SELECT item_id, {TOKENS}[1:3][-1] AS third, CAST(len({TOKENS}) AS INTEGER) AS n FROM benchmark")(lambda s, d: I.table(s, d, "benchmark").select("item_id", F.element_at(F.slice(R.tokenize(F.col("text")), 1, 3), -1).alias("third"), F.size(R.tokenize(F.col("text"))).alias("n")))
+KEYS = "('site', 'filetype', 'intitle', 'allintitle', 'inurl', 'allinurl', 'intext', 'related', 'cache', 'define', 'before', 'after', 'near', 'inanchor', 'inbody', 'loc', 'language')"
+register("qrw2_classify", f"""SELECT kind, count(*) AS n FROM (SELECT unnest({TOKENS}) AS t FROM benchmark), LATERAL (SELECT CASE WHEN regexp_matches(t, '^-.') THEN 'exclusion' WHEN contains(t, '"') THEN 'quoted'
+  WHEN lower(regexp_extract(t, '^([^:]+):', 1)) IN {KEYS} THEN 'keyvalue' WHEN regexp_matches(t, '^(?i)AROUND\\([0-9]+\\)$') THEN 'around' WHEN contains(t, '..') THEN 'range' WHEN lower(t) IN ('or', 'and') THEN 'boolean'
+  WHEN regexp_matches(t, '[()]') THEN 'paren' WHEN contains(t, '*') THEN 'wildcard' ELSE 'plain' END AS kind) GROUP BY kind""")(
     lambda s, d: I.table(s, d, "benchmark").select(F.explode(R.tokenize(F.col("text"))).alias("t")).groupBy(R.classify(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
 )
-register("qrw3_support", " UNION ALL ".join(f"SELECT '{e}' AS engine, '{k}' AS keyword, {str(k in v).lower()} AS supported" for e, v in R.SUPPORTED.items() for k in R.KEYWORDS))(lambda s, d: s.createDataFrame([(k,) for k in R.KEYWORDS], "keyword string").select(F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), R.keyword_supported(e, F.col("keyword")).alias("supported")) for e in R.SUPPORTED])).alias("x"), "keyword").select("x.engine", "keyword", "x.supported"))
+register("qrw3_support", f"""SELECT engine, keyword, CASE engine WHEN 'google' THEN keyword NOT IN ('cache', 'define') WHEN 'brave' THEN keyword IN ('site', 'filetype', 'intitle', 'inurl', 'intext', 'before', 'after') WHEN 'bing' THEN false ELSE true END AS supported
+  FROM (SELECT unnest(['google', 'brave', 'bing', 'brave_api', 'tavily']) AS engine), (SELECT unnest({KEYS.replace('(', '[').replace(')', ']')}) AS keyword)""")(lambda s, d: s.createDataFrame([(k,) for k in R.KEYWORDS], "keyword string").select(F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), R.keyword_supported(e, F.col("keyword")).alias("supported")) for e in R.SUPPORTED])).alias("x"), "keyword").select("x.engine", "keyword", "x.supported"))
 
 # --- conversations as job streams ---------------------------------------------------
 CONV_JSON = "CAST(to_json({'role': role, 'text': text}) AS VARCHAR)"
@@ -219,8 +221,8 @@ register("snk1_envelope", f"SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THE
     lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", F.md5(F.when(F.col("turn") % 3 == 0, FR.error_envelope(F.lit("captcha"), F.col("role"))).otherwise(FR.ok_envelope(data())).cast("binary")).alias("envelope"))
 )
 register("snk3_json_lines", f"SELECT md5({CONV_JSON}) AS line, count(*) AS n FROM conversations GROUP BY 1")(lambda s, d: FR.json_lines(I.table(s, d, "conversations").select("role", "text")).groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n")))
-register("snk2_pretty_json")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.pretty(F.struct("role", "text")).alias("json")))
-register("snk4_text")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.text_udf()(data()).alias("text")))
+register("snk2_pretty_json", "SELECT conv_id, turn, '{' || chr(10) || '  \"role\" : ' || CAST(to_json(role) AS VARCHAR) || ',' || chr(10) || '  \"text\" : ' || CAST(to_json(text) AS VARCHAR) || chr(10) || '}' AS json FROM conversations")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.pretty(F.struct("role", "text")).alias("json")))
+register("snk4_text", f"SELECT conv_id, turn, 'role: ' || role || chr(10) || 'text: ' || CASE WHEN strlen(text) <= 200 THEN text ELSE {O.preview('text', 200)} || '...' END AS text FROM conversations")(lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", FR.text_udf()(data()).alias("text")))
 register("snk5_sse_frames", f"SELECT conv_id, turn, md5('event:' || CASE role WHEN 'system' THEN 'job-started' WHEN 'user' THEN 'engine-event' ELSE 'result' END || chr(10) || 'data:' || {CONV_JSON} || chr(10) || chr(10)) AS frame FROM conversations")(
     lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", F.md5(FR.sse_frame(FR.event_name(F.when(F.col("role") == "system", "JobStarted").when(F.col("role") == "user", "EngineEvent").otherwise("Result")), data()).cast("binary")).alias("frame"))
 )
@@ -269,7 +271,9 @@ def admitted(spark: SparkSession, sf: str) -> DataFrame:
 
 register("job5_admission", f"WITH {ADMITTED} SELECT job, trace_id, status, code FROM x")(admitted)
 register("agg7_job_counters", f"WITH {ADMITTED} SELECT code, count(*) AS n FROM x GROUP BY code")(lambda s, d: admitted(s, d).groupBy("code").agg(F.count("*").alias("n")))
-register("snk9_metrics")(lambda s, d: FR.metrics_text(admitted(s, d)))
+register("snk9_metrics", f"""WITH {ADMITTED}, n AS (SELECT count(*) FILTER (WHERE status = 202) AS a, count(*) FILTER (WHERE code = 'quota-exceeded') AS b, count(*) FILTER (WHERE code = 'duplicate_trace_id') AS c FROM x)
+  SELECT '# HELP gleaner_jobs_submitted Jobs admitted.\n# TYPE gleaner_jobs_submitted counter\ngleaner_jobs_submitted ' || a || '\n# HELP gleaner_jobs_over_quota Jobs rejected over quota.\n# TYPE gleaner_jobs_over_quota counter\ngleaner_jobs_over_quota ' || b
+    || '\n# HELP gleaner_jobs_duplicate Jobs rejected for a used trace id.\n# TYPE gleaner_jobs_duplicate counter\ngleaner_jobs_duplicate ' || c || '\n# HELP gleaner_queue_depth Jobs waiting.\n# TYPE gleaner_queue_depth gauge\ngleaner_queue_depth 0\n' AS value FROM n""")(lambda s, d: FR.metrics_text(admitted(s, d)))
 register("jn5_unique_traces", f"SELECT min(job) AS job, 'trace-' || (o_custkey % 400) AS trace_id FROM ({JOBS_SQL}) GROUP BY o_custkey % 400")(lambda s, d: JB.unique_traces(jobs(s, d).select("job", F.concat(F.lit("trace-"), F.col("o_custkey") % 400).alias("trace_id"))))
 register("job_needs_connection", f"SELECT op, count(*) AS n, op = 'ax' AS needs FROM ({JOBS_SQL}) GROUP BY op")(lambda s, d: jobs(s, d).groupBy("op").agg(F.count("*").alias("n"), F.max(JB.needs_connection(F.col("op"), F.col("a.engine"))).alias("needs")))
 
@@ -302,7 +306,7 @@ SNAPS = "SELECT user_id AS page_id, event_id AS poll, event_type AS fingerprint,
 register("ax8_settled", f"WITH p AS ({SNAPS}), l AS (SELECT *, lag(fingerprint) OVER (PARTITION BY page_id ORDER BY poll) AS b FROM p) SELECT page_id, min(poll) FILTER (WHERE b = fingerprint AND n_nodes >= 2 AND has_root) AS settled_at, max(poll) AS last_poll FROM l GROUP BY page_id")(
     lambda s, d: A.settled(s.sql(SNAPS.replace("FROM events", "FROM {events}"), events=I.table(s, d, "events")))
 )
-register("src21_ax_ready", f"WITH p AS ({SNAPS}) SELECT page_id, count(*) FILTER (WHERE has_root AND n_nodes >= 2) AS ready FROM p GROUP BY page_id")(lambda s, d: s.sql(SNAPS.replace("FROM events", "FROM {events}"), events=I.table(s, d, "events")).groupBy("page_id").agg(F.count_if(F.col("has_root") & (F.col("n_nodes") >= 2)).alias("ready")))
+register("src21_ax_ready", f"WITH p AS ({SNAPS}) SELECT page_id, count(*) FILTER (WHERE has_root AND n_nodes >= 2) AS ready FROM p GROUP BY page_id")(lambda s, d: s.sql(SNAPS.replace("FROM events", "FROM {events}"), events=I.table(s, d, "events")).groupBy("page_id").agg(F.count_if(A.ready(F.col("has_root"), F.col("n_nodes"))).alias("ready")))
 
 PDF_HEAD = "%PDF-1.4\n1 0 obj << /Type /Catalog >> endobj\n2 0 obj << /Type /Page >> endobj\n3 0 obj << /Author (A \\(b\\)) /Title <FEFF00E9> /CreationDate (D:20240102030405Z) >> endobj\n4 0 obj << /Length 1 >> stream\nBT (Hello ) Tj (PDF) Tj ET\nendstream endobj\ntrailer << /Info 3 0 R >>"
 register("pdf5_record", "SELECT r_regionkey, true AS is_pdf, 1 AS pages, 'A (b)' AS author, 'é' AS title, 'Hello PDF' AS text FROM region")(

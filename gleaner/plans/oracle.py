@@ -105,6 +105,17 @@ def collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"
 
 
+def clean_snippet(x: str) -> str:
+    return f"CASE WHEN ends_with({x}, 'Read more') THEN {trim(f"regexp_replace({x}, '([.][.][.])?Read more$', '')")} ELSE {x} END"
+
+
+def clean_title(x: str) -> str:
+    for prefix in ("https://", "http://"):
+        x = f"CASE WHEN contains({x}, '{prefix}') THEN {trim(f"split_part({x}, '{prefix}', 1)")} ELSE {x} END"
+    endings = "com|org|net|io|edu|gov|co|uk|us|ca|de|fr|jp|au|info|biz|me|tv|xyz|dev|app|ai|ru|cn|in|br|it|es|nl|se|pl|ch|at|be|dk|fi|no|pt|gr|cz|hu|ro|ua|tr|il|kr|tw|hk|sg|my|th|vn|ph|id|nz|za|mx|ar|cl|pe|ve"
+    return trim(f"regexp_replace({x}, '(?s)^(.*[\\p{{Ll}})])\\p{{Lu}}.*\\.(?i:{endings})$', '\\1')")
+
+
 def keep_hit() -> str:
     return f"NOT (contains(url, '#:~:text=') OR {translate_wrapper('url')} OR {non_latin('title')} OR {non_latin('snippet')} OR {dictionary('url', 'title', 'snippet')} OR {junk_url('url')} OR {trim('title')} = '' OR {trim('snippet')} = '')"
 

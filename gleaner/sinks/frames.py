@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrow import row_udf
+
 # Error kinds and their wire codes; kinds of engine events and stream events.
 ERROR_CODES = {"RateLimited": "rate-limited", "Captcha": "captcha", "QuotaExceeded": "quota-exceeded", "Network": "engine-failed", "Parse": "engine-failed", "Unavailable": "engine-failed", "AllEnginesFailed": "engine-failed", "Timeout": "timeout", "Http": "extract-failed", "Empty": "extract-failed", "Unsupported": "extract-failed", "BotBlocked": "extract-failed", "ConnectionFailed": "connection-failed", "BrowserNotFound": "browser-not-found", "InvalidInput": "invalid-input"}
 EVENT_NAMES = {"JobStarted": "job-started", "Result": "result", "EngineEvent": "engine-event", "Done": "done", "Error": "error"}
@@ -48,8 +49,11 @@ def _summary(x) -> str:
 
 
 def as_text(document: str) -> str:
-    """Readable text of JSON: scalars as they are, a line for each element or field."""
-    x = json.loads(document)
+    """Readable text of JSON: scalars as they are, a line for each element or field; what is no JSON stays as it is."""
+    try:
+        x = json.loads(document)
+    except (ValueError, RecursionError):
+        return document
     if isinstance(x, list):
         return "\n".join(f"[{i}] {_summary(v)}" for i, v in enumerate(x, 1))
     if isinstance(x, dict):
@@ -58,11 +62,7 @@ def as_text(document: str) -> str:
 
 
 def text_udf():
-    @F.pandas_udf("string")
-    def run(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: None if d is None else as_text(d))
-
-    return run
+    return row_udf("string", lambda document: None if document is None else as_text(document))
 
 
 def event_name(kind: Column) -> Column:

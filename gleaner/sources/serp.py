@@ -113,7 +113,12 @@ def code_article(url: Column, text: Column, offset: int = 0, most: int = 40_000)
 
 
 def arxiv_pdf_url(url: Column) -> Column:
-    return F.regexp_replace(url, "/abs/", "/pdf/")
+    """Where a paper's PDF is: its abstract's address with another path, or the address with one more part."""
+    return F.when(url.contains("/abs/"), F.replace(url, F.lit("/abs/"), F.lit("/pdf/"))).when(url.contains("/pdf/"), url).otherwise(F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/pdf")))
+
+
+def arxiv_abstract_url(pdf_url: Column) -> Column:
+    return F.regexp_replace(F.replace(pdf_url, F.lit("/pdf/"), F.lit("/abs/")), r"(\.pdf)+$", "")
 
 
 def backfill(primary: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:

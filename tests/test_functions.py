@@ -70,8 +70,8 @@ def test_quality(spark):
     prose = "The river runs past the old town, and every spring the people come down to watch the water rise. Nobody minds the cold. They stay until dark."
     nav = "About us Contact us Pricing Blog Careers FAQ Help center Log in Sign in Get started Privacy policy Terms of service"
     texts = ["", "Hi", prose, "🙂" * 7500, "a" * 15001, nav, "Featured articles of the week. " + prose]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").withColumn("r", Q.reasons(F.col("x")))
-    rows = df.select("r", Q.score(F.col("x"), F.col("r")).alias("s"), F.octet_length("x").alias("n")).orderBy("i").collect()
+    df = Q.validate(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x")
+    rows = df.select(F.col("reasons").alias("r"), F.col("score").alias("s"), F.octet_length("x").alias("n")).orderBy("i").collect()
     assert rows[0].r == ["empty_content"] and rows[0].s == 0
     assert "too_short" in rows[1].r and rows[1].s < 0.5
     assert rows[2].r == [] and rows[2].s == 1.0
@@ -80,5 +80,19 @@ def test_quality(spark):
     assert "navigation_chrome" in rows[5].r and "boilerplate" in rows[6].r
     flags = run(spark, Q.flags, ["Checking your browser " + prose, "Subscribe to read. " + prose, prose, "", "solve the captcha. " + prose])
     assert flags == [["BotWall"], ["Paywall"], [], ["EmptyShell"], ["Captcha"]]
-    body = df.select(Q.body_quality(F.col("x"), Q.flags(F.col("x"))).alias("q")).collect()
+    body = Q.judge_body(df.withColumn("flags", Q.flags(F.col("x"))), "x", "flags").orderBy("i").collect()
     assert body[2].q.is_ok and not body[5].q.is_ok and body[0].q.reasons == ["empty_content"]
+
+
+def test_deep_pages_and_broken_json():
+    from gleaner.functions import html as X
+    from gleaner.sinks import frames as FR
+
+    deep = "<html><title>T</title><body>" + "<div>" * 5000 + "<p>" + "Some words in the middle of it. " * 5 + "</p>" + "</div>" * 5000 + "</body></html>"
+    assert X.page(deep)["full_text"].startswith("Some words") and X.follow(deep)["content"].startswith("Some words")
+    assert FR.as_text('{"a":') == '{"a":' and FR.as_text("[" * 100000) == "[" * 100000 and FR.as_text('{"a":[1]}') == "a: [1 items]"
+
+
+def test_entropy_of_odd_texts(spark):
+    texts = [None, "   ", "x", "éé", "éa", "🙂🙂ab", "a" * 200000 + "b" * 200000]
+    assert [round(x, 6) for x in run(spark, T.entropy, texts)] == [0, 0, 0, 0, 1, 1.5, 1]
