@@ -3,7 +3,9 @@
 A source's documents repeat at the mean rate that brings it to its target share.
 Each document's number of copies is the Poisson quantile, at that rate, of a
 uniform number hashed from the seed and its id; copies are exploded and all rows
-are put in the order of a second hash, one global shuffle.
+are put in the order of a second hash, one global shuffle.  Cumulative
+probabilities are made once a source; a document finds its count in them by
+binary search, a step a projection, all in generated code.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from gleaner.llm.tables import Scratch
 
 #: Rates above this are drawn as sums of draws at most this large, so that exp(-rate) stays far from 0.
 _PIECE = 32.0
-#: Copies a single draw can give; the chance of more at a rate of 32 is below 1e-16.
-_MOST = 100
+#: Copies a single draw can give, a power of 2; the chance of more at a rate of 32 is below 1e-30.
+_MOST = 128
+#: Sources whose probabilities are broadcast (1 KB each); more are joined by an exchange.
+BROADCAST_SOURCES = 1 << 14
 
 
 def hashed(*parts: Column) -> Column:
@@ -24,22 +28,33 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def poisson(rate: Column, uniform: Column) -> Column:
-    """Smallest count whose cumulative probability at ``rate`` exceeds ``uniform``."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+def cumulative(rate: Column) -> Column:
+    """Poisson probabilities of at most 0, 1, 2, ... at ``rate``, as an array."""
+    first = F.exp(-rate)
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * rate / i
-        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["k"] + F.when(s["c"] <= uniform, 1).otherwise(0)).alias("k"))
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.array_append(s["all"], s["c"] + p).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST - 1)), start, step, lambda s: s["all"])
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def with_quantile(df: DataFrame, chances: str, uniform: str, out: str) -> DataFrame:
+    """Adds the smallest count whose cumulative probability exceeds a uniform number: as many entries as aren't above it."""
+    step = _MOST // 2
+    df = df.withColumn(out, F.lit(0))
+    while step:
+        df = df.withColumn(out, F.col(out) + F.when(F.col(chances)[F.col(out) + (step - 1)] <= F.col(uniform), step).otherwise(0))
+        step //= 2
+    return df
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | DataFrame | None = None, size: float = 1.0, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Replicate documents so that sources have their target shares, in a global random order.
 
-    ``weights``: target share of each source (any scale; a source left out gets
-    none; None: equal shares).  ``size``: expected output rows as a share of the
+    ``weights``: target share of each source, a dict or a table (name, weight), on
+    any scale; a source left out gets none; None: equal shares.  ``size``: expected output rows as a share of the
     input's.  Returns the input's columns plus ``copies`` and ``copy`` (int; the
     copy's number from 1) and ``order_key`` (long, ascending in the output), which
     replace input columns of these names.  A document drawn 0 times is left out:
@@ -54,28 +69,35 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     if weights is None:
         found = found.withColumn("weight", F.lit(1.0))
     else:
-        wanted = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
-        found = found.join(F.broadcast(wanted), F.col("__source").cast("string").eqNullSafe(F.col("name")), "left").select("__source", "rows", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        if isinstance(weights, dict):
+            weights = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
+        wanted = weights.select(F.col("name").cast("string").alias("name"), F.col("weight").cast("double").alias("weight"))
+        found = found.join(wanted, F.col("__source").cast("string").eqNullSafe(F.col("name")), "left").select("__source", "rows", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     found = scratch.save(found, "sources")
-    whole = found.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
+    whole = found.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count("*").alias("n")).first()
     if whole.weight is not None and not whole.weight > 0:
         raise ValueError("no source of the table has a positive weight")
-    rates = scratch.save(found.select("__source", (F.lit(float(whole.rows or 0) * size) * F.col("weight") / F.lit(whole.weight or 1.0) / F.col("rows")).alias("__rate")), "rates")
+    rates = found.select("__source", (F.lit(float(whole.rows or 0) * size) * F.col("weight") / F.lit(whole.weight or 1.0) / F.col("rows")).alias("rate"))
+    rates = rates.withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / _PIECE)).cast("int"))
+    rates = scratch.save(rates.select("__source", "__draws", cumulative(F.col("rate") / F.col("__draws")).alias("__chances")), "rates")
+    if whole.n <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     rated = docs.select(*columns).join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    draws = F.greatest(F.lit(1), F.ceil(F.col("__rate") / _PIECE)).cast("int")
-    one = lambda i: poisson(F.col("__rate") / draws, hashed(F.lit(seed), F.col(id_col), i) / F.lit(float(1 << 52)))
-    drawn = rated.withColumn("copies", F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda s, i: s + one(i)))
+    uniform = lambda i: hashed(F.lit(seed), F.col(id_col), i) / F.lit(float(1 << 52))
+    drawn = with_quantile(rated.withColumn("__uniform", uniform(F.lit(1))), "__chances", "__uniform", "__first")
+    # further draws, for rates above ``_PIECE`` alone
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), F.lit(0), lambda s, i: s + F.size(F.filter("__chances", lambda c: c <= uniform(i))))
+    drawn = drawn.withColumn("copies", F.col("__first") + F.when(F.col("__draws") > 1, more).otherwise(0))
     copied = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copied.withColumn("order_key", hashed(F.lit(f"{seed} order"), F.col(id_col), F.col("copy"))).select(*columns, *names).orderBy("order_key")
 
 
-def mix_oracle(seed: int) -> str:
-    """DuckDB SQL of ``mix_sources`` with equal shares, for rates up to ``_PIECE``."""
+def mix_oracle(seed: int, weight: str = "1") -> str:
+    """DuckDB SQL of ``mix_sources`` with an SQL expression of ``source`` as its weight, for rates up to ``_PIECE``."""
     bits = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
     return f"""
-    WITH rates AS (
-      SELECT source, (SELECT count(*) FROM documents) / CAST((SELECT count(DISTINCT source) FROM documents) AS DOUBLE) / count(*) AS rate
-      FROM documents GROUP BY source),
+    WITH weighed AS (SELECT source, count(*) AS n, CAST({weight} AS DOUBLE) AS weight FROM documents GROUP BY source),
+    rates AS (SELECT source, (SELECT count(*) FROM documents) * weight / (SELECT sum(weight) FROM weighed) / n AS rate FROM weighed),
     steps AS (SELECT source, rate, i, exp(-rate + i * ln(rate) - lgamma(i + 1)) AS p FROM rates, range(0, {_MOST}) r(i)),
     cdf AS (SELECT source, i, sum(p) OVER (PARTITION BY source ORDER BY i) AS c FROM steps),
     drawn AS (

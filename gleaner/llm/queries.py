@@ -76,12 +76,19 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id"""
 
 
+#: Target weights by a rule that holds for any sources: one to four, from the first digit of the name's md5.
+OP5_WEIGHT = "CAST({} AS INTEGER) % 4 + 1"
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.mixing import mix_sources
     from gleaner.llm.tables import Scratch
 
+    docs = table(spark, sf_dir, "documents")
+    weight = OP5_WEIGHT.format("conv(substr(md5(CAST(source AS BINARY)), 1, 1), 16, 10)")
+    weights = docs.select("source").distinct().select(F.col("source").alias("name"), F.expr(weight).alias("weight"))
     # whole documents are copied, shuffled and written; the result tells which and in what order
-    mixed = Scratch(spark).save(mix_sources(table(spark, sf_dir, "documents"), seed=1), "mixed")
+    mixed = Scratch(spark).save(mix_sources(docs, weights, seed=1), "mixed")
     return mixed.select("doc_id", "source", "copies", "copy", "order_key").orderBy("order_key")
 
 
@@ -168,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from gleaner.llm.mixing import mix_oracle
 
-    return {"op3_url_rules": OP3_SQL, "op4_jaccard": OP4_SQL, "op5_mixing": mix_oracle(1), "op8_top_k": OP8_SQL, "op10_repeats": OP10_SQL}
+    return {"op3_url_rules": OP3_SQL, "op4_jaccard": OP4_SQL, "op5_mixing": mix_oracle(1, OP5_WEIGHT.format("('0x' || substr(md5(source), 1, 1))")), "op8_top_k": OP8_SQL, "op10_repeats": OP10_SQL}

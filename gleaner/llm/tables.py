@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if at:
         return at
     context = spark.sparkContext
-    if not context.master.startswith("local["):
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: scratch tables need a folder that all machines share")
     if context.applicationId not in _LOCAL:
         _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gleaner-")
