@@ -16,13 +16,20 @@ from gleaner.llm.mixing import mix_sources
 from gleaner.llm.quality import score_quality
 from gleaner.llm.queries import quality_model
 from gleaner.llm.repeats import remove_repeats
-from gleaner.llm.tables import Scratch
+from gleaner.llm.tables import Scratch, drop_since, made
+
+
+def _own(docs: DataFrame, *clashing: str) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with columns that an operator would replace put aside under names of their own, and those names."""
+    aside = {c: f"__own_{c}" for c in clashing if c in docs.columns}
+    return docs.withColumnsRenamed(aside), aside
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.3 or more."""
-    scored = score_quality(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, quality_model(spark, docs, sf_dir))
-    return scored.where("score >= 0.3").select(*docs.columns)
+    own, aside = _own(docs, "score")
+    scored = score_quality(own, quality_model(spark, docs, sf_dir)).where("score >= 0.3")
+    return scored.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +39,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word passages that an earlier document holds; other texts stay as they are."""
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    cut = remove_repeats(docs).withColumn("text", text)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own, aside = _own(docs, "n_words", "n_removed", "kept")
+    lost = F.col("n_removed") > 0
+    text = F.when(lost, F.col("kept")).otherwise(F.col("text"))
+    cut = remove_repeats(own).withColumn("text", text)
+    cut = cut.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal shares of all sources, as many rows as before on average, in a global random order."""
-    return mix_sources(docs).select(*docs.columns)
+    own, aside = _own(docs, "copies", "copy", "order_key")
+    return mix_sources(own).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written and read again."""
+    """Apply the stages to ``documents``, each written and read again; scratch tables of a stage go once it is written."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        mark = made()
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
+        drop_since(mark)
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
