@@ -22,8 +22,12 @@ ENTITIES = {
 TITLE_TLDS = "com org net io edu gov co uk us ca de fr jp au info biz me tv xyz dev app ai ru cn in br it es nl se pl ch at be dk fi no pt gr cz hu ro ua tr il kr tw hk sg my th vn ph id nz za mx ar cl pe ve".split()
 
 
+#: The same characters one by one, for functions that take a set.
+_SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(_SPACES))
 
 
 def is_blank(x: Column) -> Column:

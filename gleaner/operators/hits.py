@@ -92,17 +92,28 @@ def rank_composite(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("rank_score", score).drop("times", "longest")
 
 
-def rank(hits: DataFrame, strategy: str) -> DataFrame:
-    """All hits in a strategy's order: serp, authority, snippet or composite."""
+def place(hits: DataFrame, strategy: str) -> DataFrame:
+    """Hits with ``place``, a struct whose order is the strategy's: serp, authority, snippet or composite.
+
+    A key computed row by row, so it is the same wherever it is computed again; a
+    rank would need a sort of everything.
+    """
     if strategy == "serp":
-        return rank_serp(hits).orderBy("turn", "first_ord").drop("turn", "first_ord")
-    if strategy == "authority":
-        return hits.orderBy(F.desc("domain_authority"), "ord")
-    if strategy == "snippet":
-        return hits.orderBy(F.desc(F.octet_length("snippet")), "ord")
-    if strategy == "composite":
-        return rank_composite(hits).orderBy(F.desc("rank_score"), "ord")
-    raise ValueError(f"unknown strategy {strategy!r}")
+        keyed, keys = rank_serp(hits), ["turn", "first_ord"]
+    elif strategy == "authority":
+        keyed, keys = hits, [(-F.col("domain_authority")).alias("key"), "ord"]
+    elif strategy == "snippet":
+        keyed, keys = hits, [(-F.coalesce(F.octet_length("snippet"), F.lit(0))).alias("key"), "ord"]
+    elif strategy == "composite":
+        keyed, keys = rank_composite(hits), [(-F.col("rank_score")).alias("key"), "ord"]
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return keyed.withColumn("place", F.struct(*keys)).select(*hits.columns, "place")
+
+
+def rank(hits: DataFrame, strategy: str) -> DataFrame:
+    """All hits in a strategy's order."""
+    return place(hits, strategy).orderBy("place").drop("place")
 
 
 # --- selection ----------------------------------------------------------------
@@ -111,7 +122,7 @@ def rank(hits: DataFrame, strategy: str) -> DataFrame:
 def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     """Rows to follow: no junk, first of each address, then one a query in turn, at most ``cap`` a site.
 
-    ``ranked`` carries ``place``, its rank.  Everything is taken, without a cap, if
+    ``ranked`` carries ``place``, its rank or a key that orders like it.  Everything is taken, without a cap, if
     it fits.  The greedy turns are sequential, so one task takes them, over rows
     that can matter.  Of each site a query can use its best ``cap`` rows.  Before
     any pick of a query come at most ``most`` rows already taken and ``cap`` rows
@@ -132,15 +143,15 @@ def select_candidates(ranked: DataFrame, most: int, cap: int = 2) -> DataFrame:
     sited = clean.withColumn("__site", F.coalesce(U.registered_domain(url), F.lit("")))
     bounded = sited.withColumn("__nth", F.row_number().over(Window.partitionBy("query", "__site").orderBy("place"))).where(F.col("__nth") <= cap)
     bounded = bounded.withColumn("__of_query", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("__of_query") <= cap * (most // cap) + most)
-    firsts = bounded.groupBy("query").agg(F.min("place").alias("__first"))
-    bounded = bounded.join(firsts, "query")
+    bounded = bounded.withColumn("__first", F.min("place").over(Window.partitionBy("query")))
     bounded = bounded.withColumn("__of_site", F.row_number().over(Window.partitionBy("__site").orderBy("__first", "place"))).where(F.col("__of_site") <= cap * most)
-    if most * (most + 1) < 1 << 31:  # as many as limit() takes
-        first_queries = bounded.groupBy("query").agg(F.first("__first").alias("__order")).orderBy("__order").limit(most * (most + 1))
-        bounded = bounded.join(first_queries.select("query"), "query", "left_semi")
+    rows = most * (most + 1) * (cap * (most // cap) + most)  # of the queries that matter, which come first
+    if rows < 1 << 31:  # as many as limit() takes
+        bounded = bounded.orderBy("__first", "place").limit(rows)
 
     def greedy(rows):
-        rows = rows.sort_values(["__first", "place"], kind="stable")
+        plain = lambda x: tuple(x.values()) if isinstance(x, dict) else tuple(x) if isinstance(x, (tuple, list)) else x
+        rows = rows.assign(__first=rows["__first"].map(plain), __place=rows["place"].map(plain)).sort_values(["__first", "__place"], kind="stable")
         site_of, waiting = rows["__site"].to_dict(), [iter(list(g.index)) for _, g in rows.groupby("__first", sort=True)]
         taken, sites = [], {}
         while waiting and len(taken) < most:

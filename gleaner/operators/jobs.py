@@ -64,9 +64,11 @@ def admit(jobs: DataFrame, spend: int = 0, limit: int = 2000, capacity: int = 25
     202.  The queue's room is counted over the first ``capacity`` jobs that pass.
     """
     passed = F.col("problem").isNull() & F.lit(accepting) & ~((F.col("engine") == "auto") & F.lit(spend >= limit))
-    firsts = jobs.where(passed & F.col("trace_id").isNotNull()).groupBy("trace_id").agg(F.min("job").alias("first"))
+    # conditions stay inside the aggregates: a filter would be pushed into the parsing and repeat it for every argument
+    firsts = jobs.groupBy("trace_id").agg(F.min(F.when(passed, F.col("job"))).alias("first"))
     marked = jobs.join(firsts, "trace_id", "left").withColumn("twice", passed & (F.col("job") > F.coalesce("first", "job")))
-    room = marked.where(passed & ~F.col("twice")).select("job").orderBy("job").limit(capacity).agg(F.max("job").alias("last"), F.count("*").alias("n"))
+    waiting = marked.select(F.when(passed & ~F.col("twice"), F.col("job")).alias("job"))
+    room = waiting.orderBy(F.asc_nulls_last("job")).limit(capacity).agg(F.max("job").alias("last"), F.count("job").alias("n"))
     full = passed & (F.coalesce(F.col("n"), F.lit(0)) >= capacity) & (F.col("job") > F.col("last"))
     code = (
         F.when(F.col("problem").isNotNull(), F.struct(F.lit(400).alias("status"), F.lit("invalid-input").alias("code")))

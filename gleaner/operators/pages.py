@@ -12,6 +12,10 @@ from gleaner.functions import url as U
 from gleaner.operators import hits as H
 
 
+#: Selected rows that may pass the driver.
+LOCAL_ROWS = 1000
+
+
 def extract_pages(pages: DataFrame, offset: int = 0, max_chars: int = 40_000) -> DataFrame:
     """Articles of (page_id, url, html); pages under 100 bytes or without text get the error Empty."""
     parsed = pages.withColumn("p", X.page_udf()(F.col("html"))).withColumn("s", X.sections_udf()(F.col("p.headings"), F.col("p.full_text")))
@@ -56,11 +60,14 @@ def harvest(hits: DataFrame, pages: DataFrame, most: int = 8, strategy: str = "c
     first = H.dedup_by_key(hits)
     if "domain_authority" not in first.columns:
         first = first.withColumn("domain_authority", U.domain_authority(U.host(F.col("url"))))
-    ranked = H.rank(first, strategy).withColumn("place", F.monotonically_increasing_id())
-    chosen = H.select_candidates(ranked, most).withColumn("url_canonical", U.dedup_key(F.col("url")))
+    picked = H.select_candidates(H.place(first, strategy), most).drop("place")
+    if most <= LOCAL_ROWS:  # so few rows that they are taken once and planned as they are
+        picked = hits.sparkSession.createDataFrame(picked.collect(), picked.schema)
+    chosen = picked.withColumn("url_canonical", U.dedup_key(F.col("url")))
     unread = U.is_pdf_url(F.col("url")) | U.is_arxiv_url(F.col("url"))
     wanted = chosen.where(~unread).select("url_canonical").distinct()
-    captured = pages.withColumn("url_canonical", U.dedup_key(F.col("url"))).join(F.broadcast(wanted), "url_canonical")  # ``most`` rows at most
+    wanted = F.broadcast(wanted) if most <= LOCAL_ROWS else wanted
+    captured = pages.withColumn("url_canonical", U.dedup_key(F.col("url"))).join(wanted, "url_canonical")
     bodies = follow_pages(captured.groupBy("url_canonical").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("x")).select("x.*"))
     bodies = Q.judge_body(bodies.withColumn("url_canonical", U.dedup_key(F.col("url"))), "content", "flags")
     bodies = bodies.withColumn("sections", X.plain_sections_udf()(F.col("content")))

@@ -72,11 +72,21 @@ def result_pages(spark: SparkSession, sf: str, engine: str) -> DataFrame:
 JS_SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 squeezed = lambda x: f"trim(regexp_replace({x}, '{JS_SPACE}+', ' ', 'g'))"
 bared = lambda x: f"regexp_replace({x}, '^{JS_SPACE}+|{JS_SPACE}+$', '', 'g')"
-RESULT_ROWS = "WITH {hits}, b AS (SELECT ord, ord // 10 AS answer, {title} AS title, url, {snippet} AS snippet FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY ord) AS position FROM b WHERE length(title) >= 2 AND snippet <> '' AND NOT {left_out}) SELECT answer, CAST(position AS INTEGER) AS position, title, url, snippet FROM n WHERE position <= 6"
-register("src12_brave_page", RESULT_ROWS.format(hits=I.HITS, title=squeezed("title"), snippet=squeezed("snippet"), left_out="false"))(lambda s, d: RP.read(result_pages(s, d, "brave"), "brave", 3))
+RESULT_ROWS = """WITH {hits}, b AS (SELECT ord, ord // 10 AS answer, {title} AS title, url, {snippet} AS snippet
+    FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY ord) AS position FROM b
+    WHERE length(title) >= 2 AND snippet <> '' AND NOT {left_out})
+    SELECT answer, CAST(position AS INTEGER) AS position, title, url, snippet FROM n WHERE position <= 6"""
+register("src12_brave_page", RESULT_ROWS.format(hits=I.HITS, title=squeezed("title"), snippet=squeezed("snippet"), left_out="false"))(
+    lambda s, d: RP.read(result_pages(s, d, "brave"), "brave", 3)
+)
 OWN_GOOGLE = f"({O.host('url')} = 'www.google.com')"
-register("src13_google_page", RESULT_ROWS.format(hits=I.HITS, title=bared("title"), snippet=squeezed("snippet"), left_out=f"coalesce({OWN_GOOGLE}, false)"))(lambda s, d: RP.read(result_pages(s, d, "google"), "google", 3))
-register("flt10_captcha_titles", f"WITH {I.HITS} SELECT ord, contains(title, 'Verify you are human') OR contains(title, 'Just a moment') AS brave, contains(t, 'Accessibility') OR contains(t, 'Learn more') AS google FROM (SELECT ord, title, concat(title, CASE WHEN ord % 4 = 0 THEN ' - Learn more' ELSE '' END) AS t FROM hits)")(
+register("src13_google_page", RESULT_ROWS.format(hits=I.HITS, title=bared("title"), snippet=squeezed("snippet"), left_out=f"coalesce({OWN_GOOGLE}, false)"))(
+    lambda s, d: RP.read(result_pages(s, d, "google"), "google", 3)
+)
+register("flt10_captcha_titles", f"""WITH {I.HITS}
+    SELECT ord, contains(title, 'Verify you are human') OR contains(title, 'Just a moment') AS brave, contains(t, 'Accessibility') OR contains(t, 'Learn more') AS google
+    FROM (SELECT ord, title, concat(title, CASE WHEN ord % 4 = 0 THEN ' - Learn more' ELSE '' END) AS t
+    FROM hits)""")(
     lambda s, d: I.hits(s, d).select("ord", U.is_captcha_title("brave", F.col("title")).alias("brave"), U.is_captcha_title("google", F.concat("title", F.when(F.col("ord") % 4 == 0, " - Learn more").otherwise(""))).alias("google"))
 )
 
@@ -104,11 +114,17 @@ def pdf_bodies(spark: SparkSession, sf: str) -> DataFrame:
 register("src4_pdf_records", f"SELECT page_id, {PDF_FIELDS} FROM pages")(
     lambda s, d: pdf_bodies(s, d).select("page_id", P.record_udf()(F.col("content")).alias("r")).select("page_id", "r.author", "r.title", "r.creation_date", "r.text", "r.pages", "r.has_toc", "r.error")
 )
-register("pdf1_is_pdf", "SELECT page_id, page_id % 2 = 0 AS is_pdf FROM pages")(lambda s, d: pdf_bodies(s, d).select("page_id", P.is_pdf(F.when(F.col("page_id") % 2 == 0, F.col("content")).otherwise(F.encode(F.lit(" %PDF-"), "UTF-8"))).alias("is_pdf")))
+register("pdf1_is_pdf", "SELECT page_id, page_id % 2 = 0 AS is_pdf FROM pages")(
+    lambda s, d: pdf_bodies(s, d).select("page_id", P.is_pdf(F.when(F.col("page_id") % 2 == 0, F.col("content")).otherwise(F.encode(F.lit(" %PDF-"), "UTF-8"))).alias("is_pdf"))
+)
 
 # --- dispatch ------------------------------------------------------------------------
 
-ADDRESS = "CASE page_id % 6 WHEN 0 THEN concat('https://arxiv.org/abs/2301.', page_id) WHEN 1 THEN concat('https://github.com/o/r/blob/main/f', page_id, '.rs') WHEN 2 THEN concat('https://e.com/d', page_id, '.pdf') WHEN 3 THEN concat('https://github.com/o', page_id, '/r') WHEN 4 THEN concat('https://github.com/o/r/issues/', page_id) ELSE url END"
+ADDRESS = """CASE page_id % 6 WHEN 0 THEN concat('https://arxiv.org/abs/2301.', page_id)
+    WHEN 1 THEN concat('https://github.com/o/r/blob/main/f', page_id, '.rs')
+    WHEN 2 THEN concat('https://e.com/d', page_id, '.pdf')
+    WHEN 3 THEN concat('https://github.com/o', page_id, '/r')
+    WHEN 4 THEN concat('https://github.com/o/r/issues/', page_id) ELSE url END"""
 
 
 def captured(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +145,10 @@ SELECT k.page_id, url, extractor, CASE WHEN extractor = 'arxiv' THEN 'ArxivOai'
 FROM k JOIN f USING (page_id)""")(
     lambda s, d: E.extract(captured(s, d)).select("page_id", "url", "extractor", "method", "language", "author", "error", F.when((F.col("extractor") == "pdf") | (F.col("method") == "Raw"), F.md5(F.col("content").cast("binary"))).alias("content"))
 )
-register("src6_pdf_addresses", f"SELECT id, CASE WHEN contains(url, '/abs/') THEN replace(url, '/abs/', '/pdf/') WHEN contains(url, '/pdf/') THEN url ELSE rtrim(url, '/') || '/pdf' END AS pdf_url FROM (WITH {I.URLS} SELECT * FROM urls)")(
+register("src6_pdf_addresses", f"""SELECT id, CASE
+    WHEN contains(url, '/abs/') THEN replace(url, '/abs/', '/pdf/') WHEN contains(url, '/pdf/') THEN url
+    ELSE rtrim(url, '/') || '/pdf' END AS pdf_url FROM (WITH {I.URLS}
+    SELECT * FROM urls)""")(
     lambda s, d: I.urls(s, d).select("id", SP.arxiv_pdf_url(F.col("url")).alias("pdf_url"))
 )
 

@@ -50,7 +50,9 @@ def canonical(u: str, fragment: bool = True) -> str:
     pairs = f"list_sort(list_filter({pairs}, lambda p: p.k NOT IN {listing(U.TRACKING_KEYS)}))"
     q = f"array_to_string(list_transform({pairs}, lambda p: {encoded('p.k')} || '=' || {encoded('p.v')}), '&')"
     f = f"CASE WHEN contains({u}, '#') THEN '#' || {piece(u, 5)} ELSE '' END" if fragment else "''"
-    return f"CASE WHEN regexp_matches({u}, {lit(RE)}) THEN {s} || '://' || {a} || '/' || {p} || CASE WHEN len({pairs}) > 0 THEN '?' || {q} ELSE '' END || {f} ELSE {u} END"
+    return f"""CASE WHEN regexp_matches({u}, {lit(RE)}) THEN {s} || '://' || {a} || '/' || {p} || CASE WHEN len({pairs}) > 0 THEN '?' || {q}
+    ELSE '' END || {f}
+    ELSE {u} END"""
 
 
 def registered(u: str) -> str:
@@ -67,7 +69,7 @@ def authority(h: str) -> str:
 
 
 def url_authority(u: str) -> str:
-    return authority(f"coalesce({registered(u)}, lower(split_part(regexp_replace(regexp_replace({u}, '^(https://)+', ''), '^(http://)+', ''), '/', 1)))")
+    return authority(f"""coalesce({registered(u)}, lower(split_part(regexp_replace(regexp_replace({u}, '^(https://)+', ''), '^(http://)+', ''), '/', 1)))""")
 
 
 def source_type(u: str) -> str:
@@ -78,7 +80,7 @@ def source_type(u: str) -> str:
 
 def translate_wrapper(u: str) -> str:
     h = f"coalesce({host(u)}, '')"
-    return f"({h} = 'translate.google.com' OR ends_with({h}, '.translate.goog') OR ({h} IN ('google.com', 'www.google.com') AND ends_with(split_part({u}, '?', 1), '/url') AND contains({u}, '?q=')))"
+    return f"""({h} = 'translate.google.com' OR ends_with({h}, '.translate.goog') OR ({h} IN ('google.com', 'www.google.com') AND ends_with(split_part({u}, '?', 1), '/url') AND contains({u}, '?q=')))"""
 
 
 def non_latin(x: str) -> str:
@@ -86,7 +88,7 @@ def non_latin(x: str) -> str:
 
 
 def dictionary(u: str, t: str, s: str) -> str:
-    return f"({host_is(host(u), U.DICTIONARY_DOMAINS)} OR regexp_matches(lower({t}), '^\\s*\\S+\\s* definition$') OR contains(lower({s}), 'definition of'))"
+    return f"""({host_is(host(u), U.DICTIONARY_DOMAINS)} OR regexp_matches(lower({t}), '^\\s*\\S+\\s* definition$') OR contains(lower({s}), 'definition of'))"""
 
 
 def junk_url(u: str) -> str:
@@ -117,7 +119,7 @@ def clean_title(x: str) -> str:
 
 
 def keep_hit() -> str:
-    return f"NOT (contains(url, '#:~:text=') OR {translate_wrapper('url')} OR {non_latin('title')} OR {non_latin('snippet')} OR {dictionary('url', 'title', 'snippet')} OR {junk_url('url')} OR {trim('title')} = '' OR {trim('snippet')} = '')"
+    return f"""NOT (contains(url, '#:~:text=') OR {translate_wrapper('url')} OR {non_latin('title')} OR {non_latin('snippet')} OR {dictionary('url', 'title', 'snippet')} OR {junk_url('url')} OR {trim('title')} = '' OR {trim('snippet')} = '')"""
 
 
 def words(x: str) -> str:
@@ -137,7 +139,7 @@ def _spread(alternatives: str) -> str:
 def entropy(x: str) -> str:
     t = trim(x)
     counts = f"map_values(list_histogram(string_split({t}, '')))"
-    return f"CASE WHEN {t} = '' THEN 0.0 ELSE -list_sum(list_transform({counts}, lambda n: (CAST(n AS DOUBLE) / length({t})) * log2(CAST(n AS DOUBLE) / length({t})))) END"
+    return f"""CASE WHEN {t} = '' THEN 0.0 ELSE -list_sum(list_transform({counts}, lambda n: (CAST(n AS DOUBLE) / length({t})) * log2(CAST(n AS DOUBLE) / length({t})))) END"""
 
 
 def nav_heavy(x: str) -> str:
@@ -164,7 +166,7 @@ def reasons(s: str, whole: str) -> str:
     """Reasons of a slice column ``s`` of the text ``whole``."""
     size = f"strlen({s})"
     more = f"len(regexp_extract_all({s}, '(?i)learn more|read more')) >= 3"
-    chrome = f"({size} < 100 AND NOT contains({s}, '\"')) OR ({size} >= 100 AND ({edged_count(s, Q.NAV_WORDS)} >= 3 OR {more})) OR {edged_count(s, Q.TAB_WORDS)} >= 4"
+    chrome = f"""({size} < 100 AND NOT contains({s}, '\"')) OR ({size} >= 100 AND ({edged_count(s, Q.NAV_WORDS)} >= 3 OR {more})) OR {edged_count(s, Q.TAB_WORDS)} >= 4"""
     tests = [
         (f"{size} < 80", "too_short"), (f"regexp_matches({s}, '(?i)This site can''t be reached')", "browser_error_page"), (f"contains({s}, 'ERR_CONNECTION')", "connection_error"),
         (f"contains({s}, '404 Not Found')", "not_found"), (f"{s} = {lit(Q.READ_MORE)}", "paywall_teaser"), (chrome, "navigation_chrome"),

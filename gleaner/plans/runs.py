@@ -9,7 +9,7 @@ from gleaner.operators import runs as R
 from gleaner.operators import state as S
 from gleaner.plans import inputs as I
 from gleaner.plans.catalog import register
-from gleaner.plans.catalog2 import CALLS, SNAP, calls, snap
+from gleaner.plans.logs import CALLS, SNAP, calls, snap
 
 # Four calls in a row are a request's attempts, three requests a job's searches.
 
@@ -38,9 +38,13 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("str1_search_events", f"WITH {EVENTS} SELECT * FROM events")(events)
-register("str3_pump", f"WITH {EVENTS} SELECT * FROM events WHERE kind IN ('EngineEvent', 'Result')")(lambda s, d: R.pump(events(s, d)).select("request", "seq", "kind", "engine", "detail"))
+register("str3_pump", f"WITH {EVENTS} SELECT * FROM events WHERE kind IN ('EngineEvent', 'Result')")(
+    lambda s, d: R.pump(events(s, d)).select("request", "seq", "kind", "engine", "detail")
+)
 register("str4_fan_out", f"WITH {OUTCOMES} SELECT * FROM outcomes")(lambda s, d: R.fan_out(events(s, d), targets(s, d)))
-register("str6_batch", f"WITH {EVENTS} SELECT request, CASE WHEN bool_or(kind = 'Error') THEN 'err' ELSE 'ok' END AS status, count(*) FILTER (WHERE kind = 'Result') AS results, max(detail) FILTER (WHERE kind = 'Error') AS error FROM events GROUP BY request")(lambda s, d: R.batch(events(s, d)))
+register("str6_batch", f"""WITH {EVENTS} SELECT request, CASE WHEN bool_or(kind = 'Error') THEN 'err'
+    ELSE 'ok' END AS status, count(*) FILTER (WHERE kind = 'Result') AS results, max(detail) FILTER (WHERE kind = 'Error') AS error
+    FROM events GROUP BY request""")(lambda s, d: R.batch(events(s, d)))
 FRAMES = f"""{OUTCOMES}, jobs AS (SELECT job, job % 10 = 3 AS refused, job % 10 = 4 AS late, results, engine, failure FROM outcomes),
 done AS (SELECT job, refused, CASE WHEN refused OR late THEN 0 ELSE results END AS results, engine, CASE WHEN refused THEN 'connection-failed' WHEN late THEN 'timeout' WHEN failure IS NOT NULL THEN 'engine-failed' END AS code FROM jobs),
 pieces AS (
@@ -63,13 +67,21 @@ def queued(spark: SparkSession, sf: str) -> DataFrame:
     return calls(spark, sf).join(I.table(spark, sf, "events").select(F.col("event_id").alias("seq"), "value"), "seq").select(F.col("user_id").alias("queue"), F.col("seq").alias("job"), F.col("ts_ms").alias("arrived_ms"), (F.col("value") * 1000).cast("long").alias("run_ms"))
 
 
-QUEUED = f"{CALLS}, q AS (SELECT c.user_id AS queue, seq AS job, ts_ms AS arrived_ms, CAST(floor(e.value * 1000) AS BIGINT) AS run_ms FROM calls c JOIN events e ON e.event_id = c.seq)"
+QUEUED = f"""{CALLS}, q AS (SELECT c.user_id AS queue, seq AS job, ts_ms AS arrived_ms, CAST(floor(e.value * 1000) AS BIGINT) AS run_ms
+    FROM calls c JOIN events e ON e.event_id = c.seq)"""
 # with as many places as jobs none waits: a check of times that SQL can say; the tests hold fewer places against brute force
-register("job4_queue_without_waiting", f"WITH {QUEUED} SELECT queue, job, arrived_ms AS start_ms, arrived_ms + run_ms AS end_ms, CAST(0 AS BIGINT) AS waiting FROM q")(lambda s, d: R.queue(queued(s, d), 1 << 12))
+register("job4_queue_without_waiting", f"""WITH {QUEUED}
+    SELECT queue, job, arrived_ms AS start_ms, arrived_ms + run_ms AS end_ms, CAST(0 AS BIGINT) AS waiting
+    FROM q""")(lambda s, d: R.queue(queued(s, d), 1 << 12))
 register("job4_queue")(lambda s, d: R.queue(queued(s, d), 1))
 register("snk10_health", f"""WITH {CALLS}, {SNAP}, e AS (SELECT unnest([0, 1, 2, 3, 4]) AS place, unnest(['google', 'brave', 'bing', 'brave_api', 'tavily']) AS engine)
-  SELECT place, engine, coalesce(retry_after_ms, 0) AS retry_after_ms, cooldown_until_ms, last_call_ms, 7 AS queue_depth FROM e LEFT JOIN snap USING (engine)""")(lambda s, d: S.health(snap(s, d), 7))
-register("snk11_telemetry", "SELECT '{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00\",\"level\":\"' || CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END || '\",\"trace_id\":\"' || md5(CAST(event_id AS VARCHAR)) || '\",\"event\":{\"op\":\"' || event_type || '\"}}' AS value FROM events")(
+  SELECT place, engine, coalesce(retry_after_ms, 0) AS retry_after_ms, cooldown_until_ms, last_call_ms, 7 AS queue_depth FROM e LEFT JOIN snap USING (engine)""")(
+    lambda s, d: S.health(snap(s, d), 7)
+)
+register("snk11_telemetry", """SELECT '{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00\",\"level\":\"' || CASE
+    WHEN event_type = 'error' THEN 'warn'
+    ELSE 'info' END || '\",\"trace_id\":\"' || md5(CAST(event_id AS VARCHAR)) || '\",\"event\":{\"op\":\"' || event_type || '\"}}' AS value
+    FROM events""")(
     lambda s, d: R.telemetry(I.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("trace_id"), "event_type"), F.when(F.col("event_type") == "error", "warn").otherwise("info"), F.struct(F.col("event_type").alias("op")))
 )
 
