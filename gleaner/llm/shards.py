@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.tables import Scratch
 
 _LOW = -(1 << 63)
 _SPAN = 1 << 64
+#: Bytes of a range, and so of one task's sort; ranges whose table (some 60 bytes each) is broadcast.
+PART_BYTES, BROADCAST_RANGES = 128 << 20, 1 << 20
 
 
 @dataclass
@@ -108,7 +110,7 @@ def _passed(cuts: list[tuple[int, int]]) -> Column:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.1, fine: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.1, part_bytes: int = PART_BYTES) -> DataFrame:
     """Place every row into shards 0 to ``shards - 1`` of near equal bytes, in one exchange.
 
     A row's size is its text's UTF-8 bytes plus 8 (a null text has none).  Returns
@@ -116,34 +118,49 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     bytes, 0 for null), ``shard`` (int) and ``slot`` (long; gapless from 0 within
     a shard), which replace input columns of these names.  Boundaries lie within
     ``tolerance`` of a shard's bytes of their targets, or next to the row or
-    group that they would have to cut.  Null ids order as -1.  Repeated
-    rows stand together.  An empty table gives an empty table.
-
-    ``fine``: ranges a shard is cut into for the exchange; each is one task's sort.
+    group that they would have to cut.  Equal texts share a shard, but for a group
+    that meets a boundary and holds over ``whole`` of a shard's bytes: shards of
+    near equal size can't hold it, so it is split by id.  Null ids order as -1.
+    Repeated rows stand together.  An empty table gives an empty table.
+
+    ``part_bytes``: the exchange cuts a shard into ranges of about so many bytes,
+    each one task's sort, as many as the table needs; a range with more (a group of
+    equal texts) is dealt on by id.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, crc = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
     h, k = F.xxhash64(text), F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    keys = scratch.save(docs.select(h.alias("h"), k.alias("k"), size.alias("size")), "keys")
+    keys = scratch.save(docs.select(h.alias("__h"), k.alias("__k"), size.alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = shards * fine
-    targets = [total * i / parts for i in range(1, parts)]
-    cuts = sorted(_splitters(keys, targets, tolerance * total / shards, whole * total / shards)) if total else [(_LOW, _LOW)] * (parts - 1)
-    coarse = [cuts[i * fine - 1] for i in range(1, shards)]
-    inside = [cuts[i * fine : (i + 1) * fine - 1] for i in range(shards)]
-    ladder = F.element_at(F.array(*[F.array(*[F.struct(F.lit(a).alias("h"), F.lit(b).alias("k")) for a, b in row]) for row in inside]), F.col("__shard") + 1)
-    reached = F.size(F.filter(ladder, lambda c: (c["h"] < F.col("__h")) | ((c["h"] == F.col("__h")) & (c["k"] <= F.col("__k")))))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("__shard", _passed(coarse)).withColumn("__part", F.col("__shard") * fine + reached)
-
-    counts = {r["__part"]: r["count"] for r in placed(keys.select(F.col("h").alias("__h"), F.col("k").alias("__k"))).groupBy("__part").count().collect()}
-    offsets = [sum(counts.get(s * fine + j, 0) for j in range(i)) for s in range(shards) for i in range(fine)]
-    names = ["size", "text_crc32", "shard", "slot"]
-    carried = placed(docs.select(*[c for c in docs.columns if c not in names], size.alias("size"), crc.alias("text_crc32"), h.alias("__h"), k.alias("__k")))
-    from pyspark.sql import Window
+    targets = [total * i / shards for i in range(1, shards)]
+    plain = keys.select(F.col("__h").alias("h"), F.col("__k").alias("k"), "size")
+    cuts = sorted(_splitters(plain, targets, tolerance * total / shards, whole * total / shards)) if total else [(_LOW, _LOW)] * (shards - 1)
+    # ranges of a shard: its hashes' upper halves in equal steps
+    fine = max(1, -(-total // (shards * part_bytes)))
+    edges = [_LOW, *(c[0] for c in cuts), -_LOW - 1]
+    starts = [e >> 32 for e in edges[:-1]]
+    steps = [max(1, -(-((hi >> 32) - (lo >> 32) + 1) // fine)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    of_shard = lambda values: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), F.col("shard") + 1)
+
+    def ranged(df: DataFrame) -> DataFrame:
+        placed = df.withColumn("shard", _passed(cuts).cast("int")).withColumn("__start", of_shard(starts)).withColumn("__step", of_shard(steps))
+        return placed.withColumn("__range", F.expr("(shiftright(__h, 32) - __start) div __step")).drop("__start", "__step")
+
+    small = shards * fine <= BROADCAST_RANGES
+    dealt = F.pmod(F.xxhash64("__k"), F.col("__deals")).cast("int")
+    deals = ranged(keys).groupBy("shard", "__range").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / (2 * part_bytes))).cast("int").alias("__deals"))
+    deals = scratch.save(deals, "deals")
+    counted = ranged(keys).join(F.broadcast(deals) if small else deals, ["shard", "__range"]).groupBy("shard", "__range", "__deals", dealt.alias("deal")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("__range", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    offsets = counted.groupBy("shard", "__range", "__deals").agg(F.map_from_entries(F.collect_list(F.struct("deal", "offset"))).alias("__offsets"))
+    offsets = scratch.save(offsets, "offsets")
+    scratch.drop("keys", "deals")
 
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("__h", "__k"))
-    slot = F.element_at(F.array(*map(F.lit, offsets)), F.col("__part") + 1).cast("long") + place - 1
-    return carried.withColumn("shard", F.col("__shard").cast("int")).withColumn("slot", slot).drop("__h", "__k", "__shard", "__part")
+    names = ["size", "text_crc32", "shard", "slot"]
+    columns = [c for c in docs.columns if c not in names]
+    carried = ranged(docs.select(*columns, size.alias("size"), crc.alias("text_crc32"), h.alias("__h"), k.alias("__k")))
+    carried = carried.join(F.broadcast(offsets) if small else offsets, ["shard", "__range"]).withColumn("__deal", dealt)
+    place = F.row_number().over(Window.partitionBy("shard", "__range", "__deal").orderBy("__h", "__k"))
+    return carried.withColumn("slot", F.col("__offsets")[F.col("__deal")] + place - 1).select(*columns, *names)
