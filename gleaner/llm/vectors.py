@@ -1,21 +1,22 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection, tree merging.
 
-Queries go out in blocks of bounded size.  Each task multiplies its tiles of
-vectors with the block, keeps the best ``k`` of every query as it goes and hands
-on one short list a query; the lists are merged in two levels.  Scores are sums
-of integer products held in doubles, which is exact below 2**53.
+Queries are cut into blocks and candidates into tiles, by hashes of their ids;
+one exchange brings each block to each tile.  A task holds one block at a time,
+streams a tile past it, keeps the best ``k`` of every query as it goes and hands
+on one short list a query; the lists are merged in two levels.  Nothing passes
+the driver but two counts.  Scores are sums of integer products held in doubles,
+which is exact below 2**53.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries in a block, and vectors in a tile.
-BLOCK, TILE = 4096, 4096
+#: Queries in a block, candidates multiplied at once, and tiles: so many candidates each, and at most so many.
+BLOCK, TILE, TILE_ROWS, TILES = 1 << 14, 1 << 11, 1 << 13, 1 << 12
 
 
 def quantised(vector: Column) -> Column:
@@ -36,16 +37,16 @@ class _Best:
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        """score: [queries, tile]; -inf takes no part."""
+    def add(self, score: np.ndarray, ids: np.ndarray, low: int = 0) -> None:
+        """score: [queries from ``low`` on, tile]; -inf takes no part."""
         k = min(self.k, score.shape[1])
-        bar = np.maximum(np.partition(score, -k, axis=1)[:, -k], self.score[:, -1])
+        bar = np.maximum(np.partition(score, -k, axis=1)[:, -k], self.score[low : low + len(score), -1])
         q, at = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
         if not len(q):
             return
-        rows = np.unique(q)
-        q = np.concatenate([q, np.repeat(rows, self.k)])
-        s = np.concatenate([score[q[: len(at)], at], self.score[rows].ravel()])
+        rows = np.unique(q) + low
+        s = np.concatenate([score[q, at], self.score[rows].ravel()])
+        q = np.concatenate([q + low, np.repeat(rows, self.k)])
         i = np.concatenate([ids[at], self.id[rows].ravel()])
         order = np.lexsort((i, -s, q))
         q, s, i = q[order], s[order], i[order]
@@ -54,6 +55,26 @@ class _Best:
         self.score[q[top], place[top]], self.id[q[top], place[top]] = s[top], i[top]
 
 
+def _by_size(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of rows, by the vectors' length."""
+    out: dict[int, list] = {}
+    for batch in batches:
+        column, names = batch.column("vector"), batch.column("id").to_numpy()
+        offsets, flat = column.offsets.to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+        size, starts = np.diff(offsets), offsets[:-1] - offsets[0]
+        for d in np.unique(size):
+            take = np.flatnonzero(size == d)
+            out.setdefault(int(d), []).append((names[take], flat[starts[take][:, None] + np.arange(d)]))
+    return {d: tuple(map(np.concatenate, zip(*found, strict=True))) for d, found in out.items()}
+
+
+def _lists(best: dict, tile: int):
+    """The lists of a cell, one row an entry."""
+    for ids, _, top in best.values():
+        q, place = np.nonzero(top.score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(np.full(len(q), tile % 64, np.int32)), pa.array(top.id[q, place]), pa.array(top.score[q, place].astype(np.int64))], ["query_id", "part", "id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best candidates of each query, over all vectors but the query's own.
 
@@ -65,46 +86,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     that repeats among the queries is answered once, and repeated candidate rows
     are candidates each.  Empty tables give an empty result.
     """
-    spark = vectors.sparkSession
-    vectors = vectors.where("id IS NOT NULL AND vector IS NOT NULL")
-    queries = queries.where("id IS NOT NULL AND vector IS NOT NULL").dropDuplicates(["id"])
-    kind = "query_id long, part int, id long, score long"
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    lists = []
-    for block in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        by_size: dict[int, tuple[list, list]] = {}
-        for name, vector in zip(mine.column("id").to_pylist(), mine.column("vector"), strict=True):
-            ids, rows = by_size.setdefault(len(vector), ([], []))
-            ids.append(name)
-            rows.append(vector.values.to_numpy())
-        held = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), np.array(rows)) for d, (ids, rows) in by_size.items()})
-
-        def scan(batches, held=held):
-            best = {d: _Best(len(ids), k) for d, (ids, _) in held.value.items()}
-            for batch in batches:
-                for lo in range(0, batch.num_rows, TILE):
-                    part = batch.slice(lo, TILE)
-                    column, names = part.column("vector"), part.column("id").to_numpy()
-                    size = np.diff(column.offsets.to_numpy())
-                    flat = column.flatten().to_numpy()
-                    starts = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
-                    for d, (ids, rows) in held.value.items():
-                        take = np.flatnonzero(size == d)
-                        if len(take):
-                            score = rows @ flat[starts[take][:, None] + np.arange(d)].T
-                            score[ids[:, None] == names[take][None, :]] = -np.inf
-                            best[d].add(score, names[take])
-            part = TaskContext.get().partitionId() % 64
-            for d, (ids, _) in held.value.items():
-                q, place = np.nonzero(best[d].score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(np.full(len(q), part, np.int32)), pa.array(best[d].id[q, place]), pa.array(best[d].score[q, place].astype(np.int64))], ["query_id", "part", "id", "score"])
-
-        lists.append(vectors.select("id", "vector").mapInArrow(scan, kind))
-    found = lists[0]
-    for more in lists[1:]:
-        found = found.unionByName(more)
+    vectors = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector")
+    queries = queries.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector").dropDuplicates(["id"])
+    blocks = max(1, -(-queries.count() // BLOCK))
+    tiles = min(TILES, max(1, -(-vectors.count() // TILE_ROWS)))  # larger ones beyond that: a tile is streamed, never held
+    cell = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = queries.select(part(blocks).alias("block"), cell(tiles).alias("tile"), F.lit(0).alias("side"), "id", "vector")
+    tiled = vectors.select(cell(blocks).alias("block"), part(tiles).alias("tile"), F.lit(1).alias("side"), "id", "vector")
+    met = asked.unionByName(tiled).repartition("block", "tile").sortWithinPartitions("block", "tile", "side", F.size("vector"))
+
+    def scan(batches):
+        """Cells one after another: first the queries of the block, then the tile's candidates."""
+        at, asking, best, tile = None, [], {}, 0
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "tile", "side")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                rows, key = batch.slice(lo, hi - lo), tuple(keys[:2, lo])
+                if key != at:
+                    yield from _lists(best, tile)
+                    at, asking, best, tile = key, [], {}, int(key[1])
+                if keys[2, lo] == 0:
+                    asking.append(rows)
+                    continue
+                if asking:
+                    best = {d: (ids, found, _Best(len(ids), k)) for d, (ids, found) in _by_size(asking).items()}
+                    asking = []
+                for first in range(0, rows.num_rows, TILE):
+                    for d, (names, candidates) in _by_size([rows.slice(first, TILE)]).items():
+                        if d in best:
+                            ids, found, top = best[d]
+                            for low in range(0, len(ids), TILE):
+                                score = found[low : low + TILE] @ candidates.T
+                                score[ids[low : low + TILE, None] == names[None, :]] = -np.inf
+                                top.add(score, names, low)
+        yield from _lists(best, tile)
+
+    found = met.mapInArrow(scan, "query_id long, part int, id long, score long")
     listed = found.select("query_id", "part", F.struct((-F.col("score")).alias("order"), "id").alias("x"))
     cut = lambda c: F.slice(F.array_sort(c), 1, k)
     merged = listed.groupBy("query_id", "part").agg(cut(F.collect_list("x")).alias("x"))
