@@ -312,10 +312,11 @@ class _Join:
         owned = scratch.save(facts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
         own = F.struct(F.isnull("id").alias("none"), "id", "node", "text_hash")
         least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("least"), F.min("id").alias("low"))
+        least = scratch.save(least, "least")  # by itself, so that the join that follows can be split where a group is large
         first = F.col("node").isNull() | own.eqNullSafe(F.col("least"))
         done = owned.join(least, "root", "left").select("id", "node", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), first.alias("first"), "text_hash")
         done = scratch.save(done, "done")
-        scratch.drop("facts", "lists", "hubs", "hub-edges", "group", "pairs", "pair-edges", "all", "owned")
+        scratch.drop("facts", "lists", "hubs", "hub-edges", "group", "pairs", "pair-edges", "all", "owned", "least")
         return done
 
 
