@@ -40,6 +40,12 @@ def page_signals(text: Column) -> Column:
     return F.array_except(Q.flags(F.substring(text, 1, 2000)), F.array(F.lit("EmptyShell")))
 
 
+def follow_json(answer: Column) -> Column:
+    """Title, content and error of a follow answer's JSON; what it lacks is empty, also where it is no JSON."""
+    parsed = F.from_json(answer, X.FOLLOW_SCHEMA)
+    return F.struct(*[F.coalesce(parsed[c], F.lit("")).alias(c) for c in ("title", "content", "error")])
+
+
 def follow_pages(pages: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Followed bodies of (page_id, url, html): gate by reputation, extract, clean, flag.
 

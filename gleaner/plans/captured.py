@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.describe import describe
 from gleaner.functions import html as X
 from gleaner.functions import pdf as P
+from gleaner.functions import quality as Q
 from gleaner.functions import url as U
+from gleaner.functions.arrow import row_udf
 from gleaner.operators import extraction as E
+from gleaner.operators import pages as PG
 from gleaner.plans import inputs as I
 from gleaner.plans import oracle as O
 from gleaner.plans.catalog import register
+from gleaner.sinks import frames as FR
 from gleaner.sources import files as FS
+from gleaner.sources import messages as M
 from gleaner.sources import result_pages as RP
 from gleaner.sources import serp as SP
 
@@ -118,6 +124,58 @@ register("pdf1_is_pdf", "SELECT page_id, page_id % 2 = 0 AS is_pdf FROM pages")(
     lambda s, d: pdf_bodies(s, d).select("page_id", P.is_pdf(F.when(F.col("page_id") % 2 == 0, F.col("content")).otherwise(F.encode(F.lit(" %PDF-"), "UTF-8"))).alias("is_pdf"))
 )
 
+register("pdf2_text", "SELECT page_id, coalesce(text, '') AS text FROM (SELECT page_id, " + PDF_FIELDS + " FROM pages)")(lambda s, d: pdf_bodies(s, d).select("page_id", row_udf("string", P.text)("content").alias("text")))
+register("pdf3_info", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'A (' || page_id || ')' WHEN 1 THEN 'B' || page_id END AS author, CAST(NULL AS VARCHAR) AS title, 'D:20240102030405Z' AS creation_date FROM pages")(
+    lambda s, d: pdf_bodies(s, d).select("page_id", row_udf("author string, title string, creation_date string", P.info)("content").alias("i")).select("page_id", "i.*")
+)
+register("pdf4_xmp", "SELECT page_id, 'X' || page_id AS creator, 'Title ' || page_id AS title FROM pages")(lambda s, d: pdf_bodies(s, d).select("page_id", row_udf("creator string, title string", P.xmp)("content").alias("x")).select("page_id", "x.*"))
+register("agg9_page_count", "SELECT page_id, CAST(page_id % 4 AS INTEGER) AS pages FROM pages")(lambda s, d: pdf_bodies(s, d).select("page_id", row_udf("int", P.page_count)("content").alias("pages")))
+register("jn4_backfill", f"""WITH f AS (SELECT page_id, {PDF_FIELDS} FROM pages)
+  SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN author END, 'Ann ' || page_id) AS author, title FROM f""")(
+    lambda s, d: SP.backfill(
+        pdf_bodies(s, d).select("page_id", P.record_udf()("content").alias("r")).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("r.author")).alias("author"), "r.title"),
+        I.table(s, d, "pages").select("page_id", F.concat(F.lit("Ann "), "page_id").alias("author")), "page_id", ["author"],
+    )
+)
+
+# --- sections --------------------------------------------------------------------------
+# A page a nation: its name over a heading for each supplier, every other of these with a part.
+
+PIECES = """pieces AS (
+  SELECT n_nationkey AS page_id, -2 AS a, 0 AS b, 'Nation ' || n_name AS text, 1 AS depth FROM nation
+  UNION ALL SELECT n_nationkey, -1, 0, 'Key', NULL FROM nation UNION ALL SELECT n_nationkey, -1, 1, CAST(n_nationkey AS VARCHAR), NULL FROM nation
+  UNION ALL SELECT s_nationkey, s_suppkey, 0, 'Supplier ' || s_suppkey || ' of ' || s_nationkey, 2 FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, 1, s_name, NULL FROM supplier
+  UNION ALL SELECT s_nationkey, s_suppkey, 2, 'Part ' || s_suppkey, 3 FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_nationkey, s_suppkey, 3, 'more', NULL FROM supplier WHERE s_suppkey % 2 = 0),
+placed AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot, sum(strlen(text) + 1) OVER (PARTITION BY page_id) - 1 AS whole FROM pieces)"""
+
+
+def crafted(spark: SparkSession, sf: str) -> DataFrame:
+    nation, supplier = I.table(spark, sf, "nation"), I.table(spark, sf, "supplier")
+    block = F.concat(F.lit("<h2> Supplier "), "s_suppkey", F.lit(" of "), "s_nationkey", F.lit("</h2><div>"), "s_name", F.lit("<script>var x = 1;</script></div>"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<h3>Part "), "s_suppkey", F.lit("</h3><p>more"))).otherwise(""))
+    blocks = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", block.alias("html")))).alias("x"))
+    whole = F.concat(F.lit("<html><body><nav>menu</nav><h1>Nation "), "n_name", F.lit("</h1><p>Key <b>"), "n_nationkey", F.lit("</b></p>"), F.coalesce(F.array_join(F.col("x.html"), "\n"), F.lit("")), F.lit("</body></html>"))
+    return nation.join(blocks, "n_nationkey", "left").select(F.col("n_nationkey").cast("long").alias("page_id"), F.concat(F.lit("https://e.com/"), "n_nationkey").alias("url"), whole.alias("html"))
+
+
+register("sec2_nested_sections", f"""WITH {PIECES}, h AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS place, coalesce(lead(spot) OVER w, whole) - spot AS length FROM placed WHERE depth IS NOT NULL WINDOW w AS (PARTITION BY page_id ORDER BY a, b))
+  SELECT CAST(page_id AS BIGINT) AS page_id, place, text AS heading, depth, CAST(spot AS BIGINT) AS starts, CAST(length AS BIGINT) AS length, CASE depth WHEN 1 THEN -1 WHEN 2 THEN 0 ELSE place - 1 END AS parent FROM h""")(
+    lambda s, d: PG.extract_pages(crafted(s, d)).select("page_id", F.posexplode("sections").alias("place", "s")).select("page_id", "place", "s.heading", "s.depth", F.col("s.offset").alias("starts"), "s.length", "s.parent")
+)
+register("htm2_text_nodes", f"WITH {PIECES} SELECT CAST(page_id AS BIGINT) AS page_id, string_agg(text, ' ' ORDER BY a, b) AS full_text FROM pieces GROUP BY page_id")(lambda s, d: crafted(s, d).select("page_id", X.page_udf()("html").alias("p")).select("page_id", "p.full_text"))
+register("qlt6_page_score", """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN round(greatest(CAST(0 AS DOUBLE), base - 0.1) * 100) / 100 ELSE base END AS score, doc_id % 4 < 2 AS no_headings
+  FROM (SELECT doc_id, CAST(doc_id % 21 AS DOUBLE) / 20 AS base FROM documents)""")(
+    lambda s, d: I.table(s, d, "documents").select("doc_id", *[c.alias(n) for c, n in zip(Q.page_score(F.col("doc_id") % 21 / F.lit(20.0), F.col("doc_id") % 4), ("score", "no_headings"), strict=True)])
+)
+
+# --- messages --------------------------------------------------------------------------
+
+register("m48_messages", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'reply' WHEN 1 THEN 'failure' WHEN 2 THEN 'event' ELSE 'reply' END AS kind, CASE WHEN turn % 4 <> 2 THEN conv_id END AS id,
+  CASE turn % 4 WHEN 0 THEN CAST(to_json({'text': text}) AS VARCHAR) WHEN 1 THEN role WHEN 2 THEN CAST(to_json({'n': turn}) AS VARCHAR) ELSE 'null' END AS body, CASE WHEN turn % 4 = 2 THEN 'Page.' || role END AS method FROM conversations""")(
+    lambda s, d: I.table(s, d, "conversations").select("conv_id", "turn", M.route(F.expr("CASE turn % 4 WHEN 0 THEN to_json(named_struct('id', conv_id, 'result', named_struct('text', text))) WHEN 1 THEN to_json(named_struct('id', conv_id, 'error', named_struct('message', role))) WHEN 2 THEN to_json(named_struct('method', concat('Page.', role), 'params', named_struct('n', turn))) ELSE to_json(named_struct('id', conv_id)) END")).alias("m")).select("conv_id", "turn", "m.*")
+)
+register("m30_error_codes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'captcha' WHEN 1 THEN 'timeout' END AS code FROM events")(lambda s, d: I.table(s, d, "events").select("event_id", FR.parse_code(F.element_at(F.array(*map(F.lit, ("captcha", "timeout", "Captcha", "soon"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("code")))
+register("snk12_describe")(lambda s, d: s.createDataFrame([(describe(),)], "value string"))
+
 # --- dispatch ------------------------------------------------------------------------
 
 ADDRESS = """CASE page_id % 6 WHEN 0 THEN concat('https://arxiv.org/abs/2301.', page_id)

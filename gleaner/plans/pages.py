@@ -15,8 +15,10 @@ from gleaner.sinks import frames as FR
 
 register("htm1_extract")(lambda s, d: I.table(s, d, "pages").select("page_id", X.page_udf()(F.col("html")).alias("p")).select("page_id", "p.title", "p.language", "p.full_text", F.size("p.headings").alias("n_headings")))
 register("htm5_follow")(lambda s, d: PG.follow_pages(I.table(s, d, "pages")).select("page_id", "title", "content", "error", F.array_join("flags", ",").alias("flags")))
-register("htm6_follow_json", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, '' AS content, '' AS error FROM pages")(
-    lambda s, d: I.table(s, d, "pages").select("page_id", F.from_json(F.to_json(F.struct(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))), X.FOLLOW_SCHEMA).alias("f")).select("page_id", *[F.coalesce(f"f.{c}", F.lit("")).alias(c) for c in ("title", "content", "error")])
+FOLLOWED = "CASE doc_id % 4 WHEN 0 THEN to_json(named_struct('title', source, 'content', text, 'error', '')) WHEN 1 THEN to_json(named_struct('title', source, 'error', concat('late ', doc_id))) WHEN 2 THEN to_json(named_struct('content', text, 'x', 1)) ELSE '{broken' END"
+register("htm6_follow_json", """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN source ELSE '' END AS title, md5(CASE WHEN doc_id % 4 IN (0, 2) THEN text ELSE '' END) AS content,
+    CASE doc_id % 4 WHEN 1 THEN 'late ' || doc_id ELSE '' END AS error FROM documents""")(
+    lambda s, d: I.table(s, d, "documents").select("doc_id", PG.follow_json(F.expr(FOLLOWED)).alias("f")).select("doc_id", "f.title", F.md5(F.col("f.content").cast("binary")).alias("content"), "f.error")
 )
 register("sec1_sections")(lambda s, d: PG.extract_pages(I.table(s, d, "pages")).select("page_id", F.posexplode("sections").alias("place", "s")).select("page_id", "place", "s.heading", "s.depth", "s.offset", "s.length", "s.parent"))
 register("sec3_plain_sections")(lambda s, d: I.table(s, d, "documents").select("doc_id", F.posexplode(X.plain_sections_udf()(F.regexp_replace("text", "\n", "\n\n"))).alias("place", "s")).select("doc_id", "place", "s.heading", "s.offset", "s.length"))

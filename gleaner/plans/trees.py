@@ -27,7 +27,20 @@ def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return links.unionByName(heads).unionByName(mains).select("page_id", "x.*")
 
 
-register("ax1_compress")(lambda s, d: A.compress_trees(tree_nodes(s, d)))
+def tree_sql(limit: int) -> str:
+    """Headings and their links in order, numbered as they stand; texts that repeat a link's name are hidden."""
+    return f"""
+WITH x AS (SELECT n_regionkey AS page_id, n_nationkey AS nk, n_name, s_suppkey AS sk, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+l AS (SELECT DISTINCT page_id, nk, -1 AS sk, 'heading "' || n_name || '" (h2)' AS body, '  ' AS pad, nk AS dom FROM x
+  UNION ALL SELECT page_id, nk, sk, 'link "' || s_name || '"' || CASE WHEN sk % 3 = 0 THEN ' <focused>' ELSE '' END, '    ', sk FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY nk, sk) AS i FROM l),
+t AS (SELECT page_id, count(*) + 1 AS total_nodes, string_agg(pad || '[' || i || '] ' || body, chr(10) ORDER BY i) FILTER (WHERE i < {limit}) AS lines, string_agg('[' || i || ']=' || dom, ' ' ORDER BY i) AS refs FROM o GROUP BY page_id)
+SELECT CAST(page_id AS BIGINT) AS page_id, 'main' || coalesce(chr(10) || lines, '') || CASE WHEN total_nodes > {limit} THEN chr(10) || chr(10) || '... truncated ' || (total_nodes - {limit}) || ' nodes (max {limit}) ...' ELSE '' END
+  || chr(10) || chr(10) || '# refs -> backendDOMNodeId' || chr(10) || refs AS tree, total_nodes, total_nodes > {limit} AS truncated FROM t"""
+
+
+register("ax1_compress", tree_sql(500))(lambda s, d: A.compress_trees(tree_nodes(s, d)))
+register("lim3_node_budget", tree_sql(3))(lambda s, d: A.compress_trees(tree_nodes(s, d), 3))
 register("ax3_keep_self", """SELECT role, count(*) AS n FROM (SELECT 'link' AS role FROM supplier UNION ALL
     SELECT 'StaticText' FROM supplier UNION ALL SELECT 'heading' FROM (SELECT DISTINCT s_nationkey
     FROM supplier) UNION ALL SELECT 'main' FROM (SELECT DISTINCT n_regionkey FROM supplier

@@ -18,6 +18,11 @@ def error_code(kind: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in ERROR_CODES.items() for x in p])[kind], F.lit("engine-failed"))
 
 
+def parse_code(text: Column) -> Column:
+    """An error code as it goes over the wire; null for anything else."""
+    return F.when(text.isin(*dict.fromkeys(ERROR_CODES.values())), text)
+
+
 def ok_envelope(data_json: Column) -> Column:
     """Envelope of a result given as JSON text."""
     return F.concat(F.lit('{"status":"ok","data":'), data_json, F.lit(',"error":null}'))

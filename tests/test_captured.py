@@ -152,3 +152,19 @@ def test_router_modes_by_priority(mode):
     asked = []
     assert state.Router(mode).search(0, lambda e: asked.append(e) or ("Ok", 0)) == (None, "Empty") and asked == order
     assert state.Router(mode).search(0, lambda e: ("Ok", 1) if e == order[-1] else ("Network", 0)) == (order[-1], "Served")
+
+
+def test_command_line(capsys, spark, sf):
+    from gleaner.__main__ import main
+
+    assert main(["describe"]) == 0 and json.loads(capsys.readouterr().out)["name"] == "gleaner"
+    assert main(["list"]) == 0 and "url1_canonicalize" in capsys.readouterr().out.split()
+    assert main(["run", "rnk2_authority_top20", sf, "--limit", "3"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["status"] == "ok" and len(told["data"]) == 3 and set(told["data"][0]) == {"ord", "url", "domain_authority"}
+    assert main(["run", "none", sf]) == 2 and json.loads(capsys.readouterr().out)["error"]["code"] == "invalid-input"
+    assert main(["run", "rnk2_authority_top20", "/nowhere"]) == 1 and json.loads(capsys.readouterr().out)["status"] == "error"
+    assert main(["config"]) == 0 and json.loads(capsys.readouterr().out)["data"]["reputation_ttl_secs"] == 86400
+    with pytest.raises(SystemExit) as wrong:
+        main(["run"])
+    assert wrong.value.code == 2
