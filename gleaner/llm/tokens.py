@@ -7,8 +7,9 @@ matched left to right and never look back, the left chunk sees the character
 that ends the pre-token before p, and whatever the right chunk does from p on
 depends on the text from p on alone; merges never cross pre-tokens.  ``margin``
 characters keep special strings (shorter than that) from being cut at an edge.
-Where no such p exists, the two chunks become one, starting at the last proven
-boundary, and the search goes on: the overlap widens as far as it must.
+Where no such p exists, the left chunk starts anew at the last proven boundary
+and grows to twice its length, and the search goes on: the overlap widens as far
+as it must, and a text without any break is encoded a few times at most.
 """
 
 from __future__ import annotations
@@ -108,22 +109,20 @@ class TokenizerCounter:
         return starts, len(words)
 
     def long(self, text: str) -> int:
-        step = self.chunk - self.overlap
-        spans = [(a, min(a + self.chunk, len(text))) for a in range(0, max(1, len(text) - self.overlap), step)]
-        base, end = spans[0]
+        base, end = 0, min(self.chunk, len(text))
         starts, n = self.encode(text[base:end])
         total, cut, first = 0, 0, 0  # from ``cut`` on, tokens of this chunk from ``first`` on are right
-        for a, b in spans[1:]:
+        while end < len(text):
+            a, b = end - self.overlap, min(end - self.overlap + self.chunk, len(text))
             right, m = self.encode(text[a:b])
             low, high = max(a + self.margin, cut), end - self.margin
-            common = [p for p in range(high, low - 1, -1) if p - base in starts and p - a in right]
-            if common:
-                p = common[0]
+            p = next((p for p in range(high, low - 1, -1) if p - base in starts and p - a in right), None)
+            if p is not None:
                 total += starts[p - base] - first
                 base, end, cut, starts, n, first = a, b, p, right, m, right[p - a]
-            else:
-                base, end, first = cut, b, 0
-                starts, n = self.encode(text[cut:b])
+            else:  # twice as far from the last proven boundary, so that all trials together cost no more than a few passes
+                base, end, first = cut, min(len(text), max(b, 2 * end - cut)), 0
+                starts, n = self.encode(text[base:end])
         return total + n - first
 
 
