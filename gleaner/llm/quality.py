@@ -116,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours:
     """Fit on at most ``sample`` labelled documents, those with the smallest hashes of their ids.
 
     ``docs``: id, text; ``labels``: id, label (0 or 1).  Rows with a null id or
-    label teach nothing.  None where nothing is labelled.
+    label teach nothing; of an id that repeats, the text with the smallest hash
+    does.  None where nothing is labelled.
     """
     chosen = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -127,10 +128,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours:
                 row, term, count = features(part.column("text"))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, count)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), *lists], ["id", "label", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), part.column("text_hash"), *lists], ["id", "label", "text_hash", "terms", "counts"])
 
-    found = docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "label", "text")  # at most ``sample`` rows
-    table = found.mapInArrow(describe, "id long, label int, terms array<int>, counts array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "label", "text", F.xxhash64("text").alias("text_hash"))  # at most ``sample`` rows
+    told = found.mapInArrow(describe, "id long, label int, text_hash long, terms array<int>, counts array<int>")
+    table = told.groupBy("id").agg(F.min_by(F.struct("label", "terms", "counts"), "text_hash").alias("x")).select("id", "x.*").toArrow().sort_by("id")
     rows = [(t.values.to_numpy(), c.values.to_numpy(), float(x)) for t, c, x in zip(table.column("terms"), table.column("counts"), table.column("label").to_pylist(), strict=True)]
     return Model(rows, neighbours) if rows else None
 

@@ -35,6 +35,16 @@ def test_odd_documents_pass_through(spark, sf, tmp_path):
         corpus_pipeline.encode(spark, part, sf).collect()
 
 
+def test_clashing_columns_stay(spark, sf):
+    names = ["score", "n_words", "n_removed", "kept", "copies", "copy", "order_key", "node", "id", "text_hash", "first"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *[f"concat('{c}-', doc_id) AS {c}" for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names)
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()

@@ -48,6 +48,32 @@ def noisy(rng, words, n):
     return words
 
 
+def test_a_passage_in_many_documents_joins_nobody(spark, monkeypatch):
+    """Three quarters of each text are one passage: no links, and no pairs either."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join(passage + [f"x{i}y{j}" for j in range(30)])) for i in range(500)]
+    rows += [(1000 + i, " ".join(noisy(rng, passage, i % 2))) for i in range(300)]  # near copies of one text
+    rng.shuffle(rows)
+    counts = collections.Counter()
+
+    def counting(name):
+        plain = getattr(jaccard._Join, name)
+
+        def run(self, *given):
+            found = plain(self, *given)
+            counts[name] += found.count()
+            return found
+
+        monkeypatch.setattr(jaccard._Join, name, run)
+
+    counting("hubs")
+    counting("across")
+    got = {(r.id, r.n_shingles): r.component_id for r in jaccard.jaccard_groups(frame(spark, rows).repartition(6)).collect()}
+    assert got == brute_groups(rows, 5, 80)
+    assert 0 < counts["hubs"] <= jaccard.HUBS * 800 and counts["across"] < 800
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_groups_equal_brute_force(spark, k, percent):
     rng = random.Random(7)
@@ -136,11 +162,12 @@ def test_repeats_equal_brute_force(spark, window, bits):
 # --- shards ----------------------------------------------------------------------------------------
 
 
-def test_shards_are_even_gapless_and_whole(spark):
+@pytest.mark.parametrize("part_bytes", [1 << 27, 9000])
+def test_shards_are_even_gapless_and_whole(spark, part_bytes):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 400)) for i in range(900)] + [(2000 + i, "hot text " * 20) for i in range(500)] + [(5, "again"), (5, "again"), (None, "null id"), (3000, None), (3001, "")]
     docs = frame(spark, rows).withColumn("slot", F.lit("clash")).withColumn("h", F.lit(1))
-    placed = shards.shard(docs, 6, fine=4).collect()
+    placed = shards.shard(docs, 6, part_bytes=part_bytes).collect()
     assert len(placed) == len(rows)
     total, slots, size = collections.Counter(), collections.defaultdict(list), 0
     for r in placed:
@@ -150,12 +177,33 @@ def test_shards_are_even_gapless_and_whole(spark):
         slots[r["shard"]].append(r.slot)
         size += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    home = collections.defaultdict(set)
+    for r in placed:
+        home[r.text or ""].add(r["shard"])
+    # equal texts stay together; the hot group holds over a tenth of a shard, so it may be split
+    assert all(len(v) == 1 for t, v in home.items() if not t.startswith("hot")) and len(home["hot text " * 20]) > 1
     assert max(abs(total[i] - size / 6) for i in range(6)) < 0.06 * size / 6
     assert shards.shard(docs.limit(0), 6).count() == 0
     one = shards.shard(docs.where("doc_id = 3000"), 6).collect()
     assert len(one) == 1 and one[0].slot == 0
 
 
+def test_shards_keep_small_groups_and_split_large_ones(spark):
+    rows = [(100 * i + j, f"text {i} " * 6) for i in range(150) for j in range(8)]
+    placed = shards.shard(frame(spark, rows).repartition(3), 10, whole=0.1).collect()
+    home = collections.defaultdict(set)
+    for r in placed:
+        home[r.text].add(r["shard"])
+    assert len(placed) == 1200 and all(len(v) == 1 for v in home.values())
+    bytes_of = collections.Counter()
+    for r in placed:
+        bytes_of[r["shard"]] += r["size"]
+    group = max(len(t) + 8 for t in home) * 8
+    assert len(bytes_of) == 10 and max(bytes_of.values()) - min(bytes_of.values()) <= 2 * group + 0.01 * sum(bytes_of.values())
+    again = {(r.doc_id): (r["shard"], r.slot) for r in shards.shard(frame(spark, rows), 10, whole=0.1).collect()}
+    assert again == {r.doc_id: (r["shard"], r.slot) for r in placed}
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 
 
@@ -163,7 +211,8 @@ def test_poisson_inversion_is_exact(spark):
     from math import exp
 
     rows = [(float(rate), u / 997) for rate in (0.0, 0.1, 1.0, 7.5, 31.9) for u in range(997)]
-    for r in frame(spark, rows, "rate double, u double").withColumn("k", mixing.poisson(F.col("rate"), F.col("u"))).collect():
+    df = frame(spark, rows, "rate double, u double").withColumn("chances", mixing.cumulative(F.col("rate")))
+    for r in mixing.with_quantile(df, "chances", "u", "k").collect():
         p = c = exp(-r.rate)
         k = 0
         while c <= r.u:
@@ -173,6 +222,31 @@ def test_poisson_inversion_is_exact(spark):
         assert r.k == k
 
 
+def test_large_rates_are_sums_of_draws(spark):
+    docs = frame(spark, [(i, "a") for i in range(400)] + [(400, "b")], "doc_id long, source string")
+    drawn = {r.doc_id: r.copies for r in mixing.mix_sources(docs, {"a": 9, "b": 1}, size=10.0).select("doc_id", "copies").distinct().collect()}
+    import hashlib
+
+    def uniform(i, j):
+        return int(hashlib.md5(f"1:{i}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+
+    def count(rate, u):
+        from math import exp
+
+        p = c = exp(-rate)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        return k
+
+    rate = 4010 * 0.1  # of the only document of b: thirteen draws of equal rates
+    assert drawn[400] == sum(count(rate / 13, uniform(400, j)) for j in range(1, 14))
+    rate = 4010 * 0.9 / 400
+    assert all(drawn.get(i, 0) == count(rate, uniform(i, 1)) for i in range(400))
+
+
 def test_mix_reaches_its_targets(spark):
     rows = [(i, "a" if i % 3 else "b", "t") for i in range(6000)] + [(i, None, "t") for i in range(6000, 6300)]
     docs = frame(spark, rows, "doc_id long, source string, copy string")
@@ -193,7 +267,9 @@ def test_mix_reaches_its_targets(spark):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 60)
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 6) for i in range(40)]
     rows += [(2000, None), (None, [1.0] * 6), (2001, [1.0, 2.0]), (2050, [2.0, 1.0]), (0, [4.0] * 6)]
@@ -209,7 +285,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         found = sorted((-int(np.dot(v, w)), i) for i, w in rows if i is not None and w is not None and i != q and len(w) == len(v))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
     assert sorted(x for x in got if x[0] != 0) == sorted(want)
-    assert vectors.top_k(data.limit(0), data.limit(0)).count() == 0
+    assert vectors.top_k(data.limit(0), data.limit(0)).count() == 0 and vectors.top_k(data, data.limit(0)).count() == 0
+    clash = data.selectExpr("id", "vector", "id AS block", "'x' AS tile", "1.5 AS score", "0 AS query_id")
+    found = vectors.top_k(clash, clash.where("id % 50 = 0"), 5)
+    assert found.columns == ["query_id", "rank", "id", "score"] and sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect() if r.query_id) == sorted(want)
     odd = frame(spark, [([1.0, float("nan")],), ([None, 1.0],), (None,), ([0.5, -0.25],)], "v array<float>")
     assert [bool(r[0]) for r in odd.select(vectors.usable(F.col("v"))).collect()] == [False, False, False, True]
     assert odd.where(vectors.usable(F.col("v"))).select(vectors.quantised(F.col("v"))).first()[0] == [128.0, -64.0]
@@ -244,6 +323,18 @@ def test_automaton_equals_regexes():
             assert hit[k, j] == bool(re.fullmatch(pattern, t.encode().decode("latin-1"))), (g, t)
 
 
+def test_long_urls_stop_once_they_are_decided(monkeypatch):
+    import time
+
+    from gleaner.llm.words import column_bytes
+    import pyarrow as pa
+
+    machine = urls.Automaton(["net/**", "*.net/**", "org/*"])
+    began = time.time()
+    hit = machine.matches(*column_bytes(pa.array(["a.net/" + "x" * 3_000_000, "a.com/" + "y" * 3_000_000])))
+    assert hit.tolist() == [[False, True, False], [False, False, False]] and time.time() - began < 5
+
+
 def test_url_rules(spark):
     rules = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
     cases = {
