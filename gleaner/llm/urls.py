@@ -67,6 +67,10 @@ class Automaton:
         self.size = len(accepts)
         self.words = -(-self.size // 64) or 1
         self.accepts, self.loops = self._pack(accepts), self._pack(loops)
+        #: Ends that nothing leads away from: a string that holds no other states is decided.
+        settled = np.zeros((256, self.size), bool)
+        settled[0, [e for e in self.ends if loops[e].all()]] = True
+        self.open = ~self._pack(list(settled.T))[0]
         begin = np.zeros((256, self.size), bool)
         begin[0, starts] = True
         self.begin = self._pack(list(begin.T))[0]
@@ -89,6 +93,8 @@ class Automaton:
             state = np.broadcast_to(self.begin, (len(rows), self.words)).copy()
             for at in range(int(length[0]) if len(rows) else 0):
                 n = int(np.searchsorted(-length, -at, side="left"))
+                if at % 64 == 0 and not (state[:n] & self.open).any():
+                    break  # whatever is left to read changes nothing
                 byte, now = data[first[:n] + at], state[:n]
                 moved = now << U(1)
                 if self.words > 1:
