@@ -177,7 +177,11 @@ def page_score(base: Column, root_sections: Column) -> tuple[Column, Column]:
 
 
 def judge_body(df: DataFrame, text: str, flags_column: str, skip_length: bool = False) -> DataFrame:
-    """Adds ``q``, (score, is_ok, reasons) of a followed page's text, given its flags; the score isn't rounded."""
+    """Adds ``q_score`` (not rounded), ``q_is_ok`` and ``q_reasons`` of a followed page's text, given its flags.
+
+    Plain columns, step by step: fields of one struct would be taken apart by the
+    optimizer and each hold all that the struct is made of.
+    """
     x, found_flags = F.col(text), F.col(flags_column)
     facts = df.withColumn("__head", head_of(x)).withColumn("__entropy", T.entropy(x)).withColumn("__heavy", is_nav_heavy(x))
     facts = facts.withColumn("__base", reasons(x, F.col("__head")))
@@ -198,9 +202,9 @@ def judge_body(df: DataFrame, text: str, flags_column: str, skip_length: bool =
     facts = facts.withColumn("__found", F.filter(F.array(*[F.when(when, name) for when, name, _ in rules]), lambda r: r.isNotNull()))
     left, found = F.col("__left"), F.col("__found")
     found = F.when((F.size(found) == 0) & (left < 0.5), F.array(F.lit("low_quality"))).otherwise(found)
-    empty = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("is_ok"), F.array(F.lit("empty_content")).alias("reasons"))
-    judged = F.when(x == "", empty).otherwise(F.struct(left.alias("score"), (left >= 0.5).alias("is_ok"), found.alias("reasons")))
-    return facts.withColumn("q", judged).drop("__head", "__entropy", "__heavy", "__base", "__left", "__found")
+    judged = facts.withColumn("q_score", F.when(x == "", 0.0).otherwise(left)).withColumn("q_is_ok", (x != "") & (left >= 0.5))
+    judged = judged.withColumn("q_reasons", F.when(x == "", F.array(F.lit("empty_content"))).otherwise(found))
+    return judged.drop("__head", "__entropy", "__heavy", "__base", "__left", "__found")
 
 
 def body_status(content: Column, error: Column, is_ok: Column, reason_array: Column) -> Column:

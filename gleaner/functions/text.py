@@ -121,7 +121,7 @@ def entropy(x: Column) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    return F.regexp_count(x, F.lit(f"[^{SPACE[1:]}+"))
+    return F.regexp_count(x, F.lit(f"[^{SPACE[1:]}++"))
 
 
 def round_score(x: Column) -> Column:

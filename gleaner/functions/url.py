@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ TWO_LABEL_SUFFIXES = ["co.uk", "ac.uk", "gov.uk", "org.uk", "me.uk", "com.au", "
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; else each use would hold it whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _piece(url: Column, group: int) -> Column:
     return F.regexp_extract(url, "(?s)" + _URL, group)
 
@@ -40,7 +47,7 @@ def is_url(url: Column) -> Column:
 def host(url: Column) -> Column:
     """Lower-cased host without user information and port; null where there is none."""
     authority = F.regexp_replace(_piece(url, 2), "^.*@", "")
-    return F.nullif(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")), F.lit(""))
+    return F.get(F.filter(F.array(F.lower(F.regexp_replace(authority, ":[0-9]*$", ""))), lambda h: h != ""), F.lit(0))
 
 
 def path(url: Column) -> Column:
@@ -49,11 +56,14 @@ def path(url: Column) -> Column:
 
 def host_is(host_column: Column, domains: list[str]) -> Column:
     """The host is one of the domains or a subdomain."""
-    known = F.coalesce(host_column, F.lit(""))
-    out = known.isin(domains)
-    for d in domains:
-        out = out | known.endswith("." + d)
-    return out
+
+    def known(h: Column) -> Column:
+        out = h.isin(domains)
+        for d in domains:
+            out = out | h.endswith("." + d)
+        return out
+
+    return _let(F.coalesce(host_column, F.lit("")), known)
 
 
 def query_pairs(url: Column) -> Column:
@@ -89,7 +99,7 @@ def canonicalize_url(url: Column, keep_fragment: bool = True) -> Column:
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
     lowered = F.translate(F.array_join(segments, "/"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     pairs = F.array_sort(F.filter(query_pairs(url), lambda p: ~is_tracking_key(p["key"])))
-    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), encoded_query(pairs))).otherwise("")
+    query = F.regexp_replace(F.concat(F.lit("?"), encoded_query(pairs)), r"^\?$", "")
     fragment = F.when(url.contains("#"), F.concat(F.lit("#"), _piece(url, 5))).otherwise("") if keep_fragment else F.lit("")
     return F.when(is_url(url), F.concat(scheme, F.lit("://"), authority, F.lit("/"), lowered, query, fragment)).otherwise(url)
 
@@ -113,25 +123,32 @@ def is_pdf_url(url: Column) -> Column:
 
 def registered_domain(url: Column) -> Column:
     """The public suffix and one label more; null for addresses, bare suffixes and text without a host."""
-    h = host(url)
-    labels = F.split(h, r"\.")
-    last2 = F.array_join(F.slice(labels, -2, 2), ".")
-    wide = last2.isin(TWO_LABEL_SUFFIXES)
-    need = F.when(wide, 3).otherwise(2)
-    domain = F.when(wide, F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1))
-    return F.when(h.isNotNull() & (F.size(labels) >= need) & ~h.rlike(r"^[0-9.]+$|^\[") & (domain != ""), domain)
+
+    def domain(h: Column) -> Column:
+        labels = F.split(h, r"\.")
+        wide = F.array_join(F.slice(labels, -2, 2), ".").isin(TWO_LABEL_SUFFIXES)
+        last = F.when(wide, F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1))
+        return F.when(h.isNotNull() & ~h.rlike(r"^[0-9.]+$|^\[") & (last != ""), last)
+
+    return _let(host(url), domain)
 
 
 def domain_authority(host_column: Column) -> Column:
     """0.9, 0.8 or 0.7 for known domains, 0.8 for academic and government hosts, else 0.5."""
-    known = F.lower(F.coalesce(host_column, F.lit("")))
-    out = F.when(F.lit(False), 0.0)
-    for score, domains in AUTHORITY_TIERS:
-        out = out.when(host_is(known, domains), score)
-    academic = known.endswith(ACADEMIC_SUFFIXES[0])
-    for s in ACADEMIC_SUFFIXES[1:]:
-        academic = academic | known.endswith(s)
-    return out.when(academic, 0.8).otherwise(0.5)
+
+    def tier(h: Column) -> Column:
+        out = F.when(F.lit(False), 0.0)
+        for score, domains in AUTHORITY_TIERS:
+            held = h.isin(domains)
+            for d in domains:
+                held = held | h.endswith("." + d)
+            out = out.when(held, score)
+        academic = F.lit(False)
+        for s in ACADEMIC_SUFFIXES:
+            academic = academic | h.endswith(s)
+        return out.when(academic, 0.8).otherwise(0.5)
+
+    return _let(F.lower(F.coalesce(host_column, F.lit(""))), tier)
 
 
 def url_authority(url: Column) -> Column:

@@ -76,7 +76,8 @@ def harvest(hits: DataFrame, pages: DataFrame, most: int = 8, strategy: str = "c
     captured = pages.withColumn("url_canonical", U.dedup_key(F.col("url"))).join(wanted, "url_canonical")
     bodies = follow_pages(captured.groupBy("url_canonical").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("x")).select("x.*"))
     bodies = Q.judge_body(bodies.withColumn("url_canonical", U.dedup_key(F.col("url"))), "content", "flags")
-    bodies = bodies.withColumn("sections", X.plain_sections_udf()(F.col("content")))
     joined = chosen.join(bodies.drop("url", "title", "page_id"), "url_canonical", "left")
-    status = F.when(unread, "PdfUnextracted").when(F.col("content").isNull(), "SnippetOnly").otherwise(Q.body_status(F.col("content"), F.col("error"), F.col("q.is_ok"), F.col("q.reasons")))
-    return joined.select("turn", "ord", "query", "url", "url_canonical", "content", "error", "flags", F.col("q.score").alias("quality"), F.col("q.reasons").alias("reasons"), F.size("sections").alias("n_sections"), status.alias("body_status"))
+    # after the join: two Python functions in one chain of projections would be merged, with all that lies between repeated
+    joined = joined.withColumn("sections", F.when(F.col("content").isNotNull(), X.plain_sections_udf()(F.col("content"))))
+    status = F.when(unread, "PdfUnextracted").when(F.col("content").isNull(), "SnippetOnly").otherwise(Q.body_status(F.col("content"), F.col("error"), F.col("q_is_ok"), F.col("q_reasons")))
+    return joined.select("turn", "ord", "query", "url", "url_canonical", "content", "error", "flags", F.col("q_score").alias("quality"), F.col("q_reasons").alias("reasons"), F.size("sections").alias("n_sections"), status.alias("body_status"))

@@ -289,13 +289,13 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 register("qlt7_body_quality", f"""WITH {BODY}
     SELECT doc_id, round(score, 9) AS score, is_ok, array_to_string(reasons, ',') AS reasons FROM body""")(
-    lambda s, d: bodies(s, d).select("doc_id", F.round("q.score", 9).alias("score"), "q.is_ok", F.array_join("q.reasons", ",").alias("reasons"))
+    lambda s, d: bodies(s, d).select("doc_id", F.round("q_score", 9).alias("score"), F.col("q_is_ok").alias("is_ok"), F.array_join("q_reasons", ",").alias("reasons"))
 )
 register("qlt8_body_status", f"""WITH {BODY} SELECT doc_id, CASE WHEN text = '' AND e = '' THEN 'ChromeOrEmpty' WHEN e <> '' THEN 'ExtractFailed'
   WHEN NOT is_ok AND len(list_filter(reasons, lambda r: regexp_matches(r, 'too_short|nav|chrome'))) > 0 AND {O.nav_heavy(t)} THEN 'ChromeOrEmpty'
   WHEN NOT is_ok AND len(list_filter(reasons, lambda r: regexp_matches(r, 'paywall|bot_blocked|captcha'))) > 0 THEN 'ExtractFailed' ELSE 'Ok' END AS body_status
   FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'timeout' ELSE '' END AS e FROM body)""")(
-    lambda s, d: bodies(s, d).select("doc_id", Q.body_status(F.col("text"), F.when(F.col("doc_id") % 11 == 0, "timeout").otherwise(""), F.col("q.is_ok"), F.col("q.reasons")).alias("body_status"))
+    lambda s, d: bodies(s, d).select("doc_id", Q.body_status(F.col("text"), F.when(F.col("doc_id") % 11 == 0, "timeout").otherwise(""), F.col("q_is_ok"), F.col("q_reasons")).alias("body_status"))
 )
 register("agg5_char_histogram", "SELECT c AS letter, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) GROUP BY c")(
     lambda s, d: H.char_histogram(I.table(s, d, "documents"))

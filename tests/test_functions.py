@@ -81,7 +81,7 @@ def test_quality(spark):
     flags = run(spark, Q.flags, ["Checking your browser " + prose, "Subscribe to read. " + prose, prose, "", "solve the captcha. " + prose])
     assert flags == [["BotWall"], ["Paywall"], [], ["EmptyShell"], ["Captcha"]]
     body = Q.judge_body(df.withColumn("flags", Q.flags(F.col("x"))), "x", "flags").orderBy("i").collect()
-    assert body[2].q.is_ok and not body[5].q.is_ok and body[0].q.reasons == ["empty_content"]
+    assert body[2].q_is_ok and not body[5].q_is_ok and body[0].q_reasons == ["empty_content"]
 
 
 def test_deep_pages_and_broken_json():
