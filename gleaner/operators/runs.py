@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators import hits as H
 from gleaner.operators import state as S
 from gleaner.sinks import frames as FR
 
@@ -47,6 +48,16 @@ def search_events(attempts: DataFrame) -> DataFrame:
     return _numbered(events, "request", "stage", "at", "sub").select("request", "seq", "kind", "engine", "detail")
 
 
+def search(attempts: DataFrame, hits: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Results of each request: the hits of the engine that served it, filtered, deduplicated and numbered.
+
+    ``hits`` have ``query``, the request they answer, and the engine they come from;
+    a request that nothing served has no results.
+    """
+    winner = attempts.join(served(attempts), "request").where("seq = served_at").select(F.col("request").alias("query"), "engine")
+    return H.map_hits(hits.join(winner, ["query", "engine"], "left_semi"), mode)
+
+
 def pump(events: DataFrame) -> DataFrame:
     """What a job passes on of its searches' events: engine events and results before a search's first error."""
     stops = events.where("kind = 'Error'").groupBy("request").agg(F.min("seq").alias("stop"))

@@ -81,13 +81,20 @@ register("src10_default_branch", """SELECT user_id, count(*) AS n, nullif(CASE W
     WHEN user_id % 3 = 1 THEN 'b' || user_id END, '') AS branch FROM events GROUP BY user_id""")(
     lambda s, d: I.table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", "n", SP.default_branch(F.when(F.col("user_id") % 3 == 0, F.lit('{"default_branch":""}')).when(F.col("user_id") % 3 == 1, F.concat(F.lit('{"default_branch":"b'), F.col("user_id"), F.lit('"}'))).otherwise("{}")).alias("branch"))
 )
-register("src9_readme", """SELECT user_id AS repo, CASE WHEN user_id % 3 = 1 THEN 'dev'
-    WHEN user_id % 2 = 0 THEN 'main' ELSE 'master' END AS branch FROM (SELECT DISTINCT user_id FROM events)""")(
+README_DEFAULT = "CASE repo % 4 WHEN 1 THEN 'dev' WHEN 2 THEN 'master' WHEN 3 THEN '' END"
+README_FOUND = "CASE repo % 3 WHEN 0 THEN array('dev', 'main', 'master') WHEN 1 THEN array('master') ELSE array('main', 'master') END"
+register("src9_readme", """SELECT repo, CASE WHEN repo % 4 = 1 AND repo % 3 = 0 THEN 'dev' WHEN repo % 4 = 2 OR repo % 3 = 1 THEN 'master' ELSE 'main' END AS branch FROM (SELECT DISTINCT user_id AS repo FROM events)""")(
     lambda s, d: SP.first_readme(
-        SP.readme_candidates(I.table(s, d, "events").select(F.col("user_id").alias("repo")).distinct().withColumn("default_branch", F.when(F.col("repo") % 3 == 1, "dev"))),
-        I.table(s, d, "events").select(F.col("user_id").alias("repo")).distinct().select("repo", F.explode(F.when(F.col("repo") % 2 == 0, F.array(F.lit("dev"), F.lit("main"), F.lit("master"))).otherwise(F.array(F.lit("dev"), F.lit("master")))).alias("branch"), F.lit("text").alias("content")),
+        SP.readme_candidates(repos(s, d).withColumn("default_branch", F.expr(README_DEFAULT))),
+        repos(s, d).select("repo", F.explode(F.expr(README_FOUND)).alias("branch"), F.lit("text").alias("content")),
     ).select("repo", "branch")
 )
+
+
+def repos(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select(F.col("user_id").alias("repo")).distinct()
+
+
 register("src6_arxiv_backfill", """SELECT page_id, 'https://arxiv.org/pdf/' || page_id AS pdf_url, CASE
     WHEN page_id % 2 = 0 THEN 'pdf title'
     ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END AS title FROM pages""")(

@@ -21,7 +21,15 @@ register("htm6_follow_json", """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN sou
     lambda s, d: I.table(s, d, "documents").select("doc_id", PG.follow_json(F.expr(FOLLOWED)).alias("f")).select("doc_id", "f.title", F.md5(F.col("f.content").cast("binary")).alias("content"), "f.error")
 )
 register("sec1_sections")(lambda s, d: PG.extract_pages(I.table(s, d, "pages")).select("page_id", F.posexplode("sections").alias("place", "s")).select("page_id", "place", "s.heading", "s.depth", "s.offset", "s.length", "s.parent"))
-register("sec3_plain_sections")(lambda s, d: I.table(s, d, "documents").select("doc_id", F.posexplode(X.plain_sections_udf()(F.regexp_replace("text", "\n", "\n\n"))).alias("place", "s")).select("doc_id", "place", "s.heading", "s.offset", "s.length"))
+HEADING = "{t} <> '' AND strlen({t}) < 100 AND {t}[-1] NOT IN ('.', '!', '?') AND length({t}) - length(replace({t}, ' ', '')) < 12"
+# lines stand as blocks of their own here, so a section is a heading line before a line that is none
+register("sec3_plain_sections", f"""
+WITH d AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS blocks FROM documents WHERE strlen(replace(text, chr(10), chr(10) || chr(10))) >= 50),
+b AS (SELECT doc_id, unnest(range(1, len(blocks) + 1)) AS i, blocks FROM d),
+c AS (SELECT doc_id, i, blocks[i] AS own, blocks[i + 1] AS following, {O.trim('blocks[i]')} AS t, {O.trim('blocks[i + 1]')} AS u FROM b),
+o AS (SELECT *, coalesce(sum(strlen(own) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, t AS heading, CAST(spot AS BIGINT) AS starts, CAST(strlen(own) + 2 + strlen(following) AS BIGINT) AS length
+FROM o WHERE {HEADING.format(t='t')} AND u <> '' AND NOT ({HEADING.format(t='u')})""")(lambda s, d: I.table(s, d, "documents").select("doc_id", F.posexplode(X.plain_sections_udf()(F.regexp_replace("text", "\n", "\n\n"))).alias("place", "s")).select("doc_id", "place", "s.heading", F.col("s.offset").alias("starts"), "s.length"))
 register("harvest")(lambda s, d: PG.harvest(I.hits(s, d), I.table(s, d, "pages")).select("turn", "ord", "query", "body_status", "quality", "n_sections"))
 register("src22_page_signals", f"""SELECT doc_id, array_to_string(list_filter({O.flags('h')}, lambda f: f <> 'EmptyShell'), ',') AS flags
     FROM (SELECT doc_id, text[1:2000] AS h FROM (WITH {I.TEXTS}
@@ -50,6 +58,11 @@ register("txt16_pdf_date", """SELECT event_id, CASE event_id % 4
     WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30' END AS date FROM events""")(
     lambda s, d: I.table(s, d, "events").select("event_id", T.pdf_date(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMdd"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+05'30'"))).otherwise("yesterday")).alias("date"))
 )
+NESTED = "concat('{\"a\":{\"b\":[{\"c\":', o_custkey, '},{\"c\":', o_orderkey, '},{\"d\":1}]},\"s\":\"', o_orderstatus, '\",\"e\":[]}')"
+register("txt18_dot_paths", """SELECT o_orderkey, '"' || o_orderstatus || '"' AS field, '[' || o_custkey || ',' || o_orderkey || ']' AS spread, '[{"c":' || o_custkey || '},{"c":' || o_orderkey || '},{"d":1}]' AS whole,
+    '[{"c":' || o_custkey || '},{"c":' || o_orderkey || '},{"d":1}]' AS items, '[]' AS missing, '"' || o_orderstatus || '"' AS scalar, '[]' AS nothing FROM orders""")(
+    lambda s, d: I.table(s, d, "orders").select("o_orderkey", *[J.apply_path(F.expr(NESTED), path).alias(name) for name, path in (("field", ".s"), ("spread", ".a.b[].c"), ("whole", ".a.b"), ("items", ".a.b[]"), ("missing", ".a.x.y"), ("scalar", ".s[]"), ("nothing", ".e[]"))])
+)
 register("txt18_dot_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '[]' AS missing FROM events")(
     lambda s, d: I.table(s, d, "events").select("event_id", J.apply_path(F.col("props"), ".k").alias("k"), J.apply_path(F.col("props"), ".nothing[]").alias("missing"))
 )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import runs as R
 from gleaner.operators import state as S
 from gleaner.plans import inputs as I
-from gleaner.plans.catalog import register
+from gleaner.plans.catalog import MAPPED, register
 from gleaner.plans.logs import CALLS, SNAP, calls, snap
 
 # Four calls in a row are a request's attempts, three requests a job's searches.
@@ -45,6 +45,14 @@ register("str4_fan_out", f"WITH {OUTCOMES} SELECT * FROM outcomes")(lambda s, d:
 register("str6_batch", f"""WITH {EVENTS} SELECT request, CASE WHEN bool_or(kind = 'Error') THEN 'err'
     ELSE 'ok' END AS status, count(*) FILTER (WHERE kind = 'Result') AS results, max(detail) FILTER (WHERE kind = 'Error') AS error
     FROM events GROUP BY request""")(lambda s, d: R.batch(events(s, d)))
+# Each query asks the engines in their order of priority; google is out of service for half of them.
+PLACE = "CASE engine WHEN 'google' THEN 0 WHEN 'brave' THEN 1 WHEN 'bing' THEN 2 WHEN 'brave_api' THEN 3 ELSE 4 END"
+ASKED = f"SELECT query AS request, CAST({PLACE} AS BIGINT) AS seq, engine, CASE WHEN engine = 'google' AND query IN ('en', 'es') THEN 'Captcha' ELSE 'Ok' END AS outcome, CAST(count(*) AS INT) AS hits"
+SERVED = f"""all_hits AS {I.HITS.removeprefix('hits AS ')}, asked AS ({ASKED} FROM all_hits GROUP BY query, engine),
+  won AS (SELECT request AS query, arg_min(engine, seq) AS engine FROM asked WHERE outcome = 'Ok' AND hits > 0 GROUP BY request), hits AS (SELECT h.* FROM all_hits h JOIN won USING (query, engine))"""
+register("m6_search", f"WITH {MAPPED.replace(I.HITS, SERVED)} SELECT ord, query, title, url, snippet, position, engine, CASE WHEN score <= 0 THEN 1.0 / position ELSE CAST(score AS DOUBLE) END AS score, domain_authority, source_type, 'hybrid' AS mode FROM mapped")(
+    lambda s, d: R.search(s.sql(f"{ASKED} FROM {{hits}} GROUP BY query, engine", hits=I.hits(s, d)), I.hits(s, d))
+)
 FRAMES = f"""{OUTCOMES}, jobs AS (SELECT job, job % 10 = 3 AS refused, job % 10 = 4 AS late, results, engine, failure FROM outcomes),
 done AS (SELECT job, refused, CASE WHEN refused OR late THEN 0 ELSE results END AS results, engine, CASE WHEN refused THEN 'connection-failed' WHEN late THEN 'timeout' WHEN failure IS NOT NULL THEN 'engine-failed' END AS code FROM jobs),
 pieces AS (
@@ -73,7 +81,10 @@ QUEUED = f"""{CALLS}, q AS (SELECT c.user_id AS queue, seq AS job, ts_ms AS arri
 register("job4_queue_without_waiting", f"""WITH {QUEUED}
     SELECT queue, job, arrived_ms AS start_ms, arrived_ms + run_ms AS end_ms, CAST(0 AS BIGINT) AS waiting
     FROM q""")(lambda s, d: R.queue(queued(s, d), 1 << 12))
-register("job4_queue")(lambda s, d: R.queue(queued(s, d), 1))
+# one place: a job ends at its own end of work after the latest start of a busy spell
+register("job4_queue", f"""WITH {QUEUED}, n AS (SELECT *, row_number() OVER w AS n, sum(run_ms) OVER (PARTITION BY queue ORDER BY arrived_ms, job ROWS UNBOUNDED PRECEDING) AS work FROM q WINDOW w AS (PARTITION BY queue ORDER BY arrived_ms, job)),
+  e AS (SELECT *, work + max(arrived_ms - (work - run_ms)) OVER (PARTITION BY queue ORDER BY arrived_ms, job ROWS UNBOUNDED PRECEDING) AS end_ms FROM n)
+  SELECT queue, job, CAST(end_ms - run_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, (SELECT count(*) FROM q x WHERE x.queue = e.queue AND x.arrived_ms <= e.end_ms - e.run_ms) - n AS waiting FROM e""")(lambda s, d: R.queue(queued(s, d), 1))
 register("snk10_health", f"""WITH {CALLS}, {SNAP}, e AS (SELECT unnest([0, 1, 2, 3, 4]) AS place, unnest(['google', 'brave', 'bing', 'brave_api', 'tavily']) AS engine)
   SELECT place, engine, coalesce(retry_after_ms, 0) AS retry_after_ms, cooldown_until_ms, last_call_ms, 7 AS queue_depth FROM e LEFT JOIN snap USING (engine)""")(
     lambda s, d: S.health(snap(s, d), 7)

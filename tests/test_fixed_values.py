@@ -63,3 +63,12 @@ def test_addresses():
     assert U.CAPTCHA_TITLES == {"brave": ["Verify you are human", "Just a moment"], "google": ["Accessibility", "Learn more"]}
     for junk in ("https://accounts.google.com/x", "https://support.google.com/", "https://policies.google.com/", "https://a/track?x", "https://a.doubleclick.net", "https://googlesyndication.com", "https://a/signin", "https://a/sign-in", "https://a/login", "https://a/log-in", "https://a/auth/", "https://a/auth?", "https://a/auth"):
         assert re.search(U.JUNK_URL, junk), junk
+
+
+def test_address_lists():
+    assert U.TRACKING_KEYS == ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "_ga", "_gl", "mc_cid", "mc_eid"]
+    assert [score for score, _ in U.AUTHORITY_TIERS] == sorted((score for score, _ in U.AUTHORITY_TIERS), reverse=True)
+    assert {"arxiv.org"} <= set(U.AUTHORITY_TIERS[0][1])
+    for title in ("Sign in to continue", "log in to continue", "sign in to read", "log in to read", "please sign in", "please log in", "sign in required", "log in required"):
+        assert re.search(U.JUNK_TITLE, title.lower()), title
+    assert U.GOOGLE_PATHS[:5] == ["search", "url", "maps", "images", "news"] and U.GOOGLE_PATHS[-3:] == ["myaccount", "signin", "logout"] and len(U.GOOGLE_PATHS) == 40
