@@ -156,7 +156,21 @@ def selected(spark: SparkSession, sf: str, most: int = 8) -> DataFrame:
     return H.select_candidates(H.place(deduped(spark, sf), "composite"), most)
 
 
-register("sel1_candidates")(lambda s, d: selected(s, d).select("turn", "ord", "query", "url"))
+# the greedy turns, one query a step, in the order of the queries' first rows; at most two rows a site
+SELECTED = f"""WITH RECURSIVE {DEDUPED}, x AS (SELECT *, {COMPOSITE} AS rank_score, coalesce({O.registered('url')}, '') AS site FROM first),
+  items AS (SELECT ord, query, url, site, row_number() OVER (ORDER BY rank_score DESC, ord) AS place FROM x WHERE NOT {O.junk_url('url')} AND NOT {O.junk_title('title')}),
+  queries AS (SELECT query, row_number() OVER (ORDER BY min(place)) - 1 AS number FROM items GROUP BY query), listed AS (SELECT * FROM items JOIN queries USING (query)),
+  turns AS (
+    SELECT 0 AS step, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS sites, 0 AS idle
+    UNION ALL
+    SELECT step + 1, CASE WHEN p.ord IS NULL THEN taken ELSE list_append(taken, p.ord) END, CASE WHEN p.ord IS NULL THEN sites ELSE list_append(sites, p.site) END, CASE WHEN p.ord IS NULL THEN idle + 1 ELSE 0 END
+    FROM turns t LEFT JOIN LATERAL (
+      SELECT arg_min(i.ord, i.place) AS ord, arg_min(i.site, i.place) AS site FROM listed i
+      WHERE i.number = t.step % (SELECT count(*) FROM queries) AND NOT list_contains(t.taken, i.ord) AND len(list_filter(t.sites, lambda z: z = i.site)) < 2) p ON true
+    WHERE len(taken) < 8 AND idle < (SELECT count(*) FROM queries)),
+  done AS (SELECT unnest(taken) AS ord, unnest(range(1, len(taken) + 1)) AS turn FROM (SELECT taken FROM turns ORDER BY step DESC LIMIT 1))
+  SELECT CAST(turn AS INTEGER) AS turn, ord, query, url FROM done JOIN items USING (ord)"""
+register("sel1_candidates", SELECTED)(lambda s, d: selected(s, d).select("turn", "ord", "query", "url"))
 register("sel2_all_fit", f"""WITH {DEDUPED} SELECT ord, query, url FROM first WHERE NOT {O.junk_url('url')} AND NOT {O.junk_title('title')}""")(
     lambda s, d: selected(s, d, 1 << 20).select("ord", "query", "url")
 )
