@@ -24,26 +24,42 @@ def lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
 
-def reputation(log: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+def reputation(log: DataFrame, ttl_s: int = TTL_S, stretch: int = 1 << 20) -> DataFrame:
     """State after each entry of (domain, seq, ts, kind, flags): hits, flags and whether the domain is blocked.
 
     ``write`` adds flags and a hit; ``decay`` drops blocking flags and the hits,
     keeping the rest.  Entries further apart than the time to live start anew.
     Blocked: two hits or more and a blocking flag.
+
+    A domain's log is cut into stretches of ``stretch`` numbers, each of which
+    stands alone once it knows what came before: running sums and maxima, carried
+    from stretch to stretch.  A flag is held if it was last seen since the last
+    entry that drops it; hits are the writes since the last that drops them.
     """
-    order = Window.partitionBy("domain").orderBy("seq")
-    fresh = F.coalesce(F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order)) > ttl_s, F.lit(True))
-    life = log.withColumn("life", F.sum(fresh.cast("int")).over(order))
-    in_life = Window.partitionBy("domain", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    spell = life.withColumn("spell", F.sum((F.col("kind") == "decay").cast("int")).over(in_life))
-    in_spell = Window.partitionBy("domain", "life", "spell").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = spell
-    for flag in ("BotWall", "Paywall", "Captcha", "EmptyShell"):
-        has = ((F.col("kind") == "write") & F.array_contains("flags", flag)).cast("int")
-        out = out.withColumn(f"has_{flag}", F.max(has).over(in_spell if flag in BLOCKING else in_life) == 1)
-    out = out.withColumn("hits", F.sum((F.col("kind") == "write").cast("int")).over(in_spell))
-    held = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"has_{f}"), f) for f in ("BotWall", "Paywall", "Captcha", "EmptyShell")])))
-    return out.select("domain", "seq", "hits", held.alias("flags"), ((F.col("hits") >= 2) & (F.col("has_BotWall") | F.col("has_Paywall"))).alias("blocked"))
+    keys = ["domain", "__part"]
+    own, before = Window.partitionBy(*keys).orderBy("seq"), Window.partitionBy("domain").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select("domain", "seq", "ts", "kind", "flags").withColumn("__part", F.floor(F.col("seq") / stretch))
+    last = rows.groupBy(*keys).agg(F.max(F.struct("seq", "ts")).alias("x")).select(*keys, F.max("x").over(before)["ts"].alias("__before"))
+    rows = rows.join(last, keys).withColumn("__before", F.coalesce(F.lag("ts").over(own), "__before"))
+    fresh = F.coalesce(F.unix_timestamp("ts") - F.unix_timestamp("__before") > ttl_s, F.lit(True))
+    rows = rows.select("domain", "__part", "seq", "kind", "flags", fresh.alias("__fresh"))
+
+    writes, seq, names = (F.col("kind") == "write").cast("long"), F.col("seq"), ("BotWall", "Paywall", "Captcha", "EmptyShell")
+    marks = {"__life": F.col("__fresh"), "__spell": F.col("__fresh") | (F.col("kind") == "decay")}
+    marks |= {f"__{f}": (F.col("kind") == "write") & F.array_contains("flags", f) for f in names}
+    told = rows.select("domain", "__part", "seq", writes.alias("__write"), F.sum(writes).over(so_far).alias("__writes"), *[F.when(when, seq).alias(m) for m, when in marks.items()])
+    told = told.withColumn("__base", F.when(F.col("__spell").isNotNull(), F.col("__writes") - F.col("__write")))
+    parts = told.groupBy(*keys).agg(F.sum("__write").alias("n"), F.max("__base").alias("base"), *[F.max(m).alias(m) for m in marks])
+    carried = parts.withColumn("carried", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    carried = carried.select(*keys, "carried", F.max(F.col("carried") + F.col("base")).over(before).alias("base"), *[F.max(m).over(before).alias(f"{m}_before") for m in marks])
+    out = told.join(carried, keys)
+    at = {m: F.greatest(F.max(m).over(so_far), f"{m}_before") for m in marks}
+    hits = F.col("carried") + F.col("__writes") - F.greatest(F.col("carried") + F.max("__base").over(so_far), "base")
+    out = out.select("domain", "seq", hits.alias("hits"), *[column.alias(m) for m, column in at.items()])
+    has = {f: F.coalesce(F.col(f"__{f}") >= F.col("__spell" if f in BLOCKING else "__life"), F.lit(False)) for f in names}
+    held = F.array_sort(F.array_compact(F.array(*[F.when(has[f], f) for f in names])))
+    return out.select("domain", "seq", "hits", held.alias("flags"), ((F.col("hits") >= 2) & (has["BotWall"] | has["Paywall"])).alias("blocked"))
 
 
 def _by_day(calls: DataFrame, carried: Column, name: str) -> DataFrame:

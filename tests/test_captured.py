@@ -168,3 +168,22 @@ def test_command_line(capsys, spark, sf):
     with pytest.raises(SystemExit) as wrong:
         main(["run"])
     assert wrong.value.code == 2
+
+
+@pytest.mark.parametrize("stretch", [5, 1 << 20])
+def test_reputation_in_stretches_equals_a_plain_fold(spark, stretch):
+    from gleaner.streaming.state import is_blocked, reputation_step
+
+    rng = random.Random(8)
+    log, now = [], {}
+    for i in range(300):
+        domain = "hot" if rng.random() < 0.6 else f"d{rng.randrange(4)}"
+        now[domain] = now.get(domain, 1_700_000_000) + rng.choice([60, 3600, 50_000, 90_000])
+        log.append((domain, i, now[domain], rng.choice(["write", "write", "write", "decay"]), rng.sample(["BotWall", "Paywall", "Captcha", "EmptyShell"], rng.randrange(3))))
+    rows = spark.createDataFrame(log, "domain string, seq long, t long, kind string, flags array<string>").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.domain, r.seq): (r.hits, list(r.flags), r.blocked) for r in state.reputation(rows, stretch=stretch).collect()}
+    held = {}
+    for domain, seq, t, kind, flags in log:
+        held[domain] = reputation_step(held.get(domain, (0, (), 0.0)), kind, flags, float(t))
+        hits, kept, _ = held[domain]
+        assert got[domain, seq] == (hits, sorted(kept), is_blocked(hits, kept)), (domain, seq)
