@@ -232,3 +232,28 @@ class Router:
             return self._pass(now, PRIORITY[self.mode], call)[:2]
         engine, result, now = self._pass(now, FREE, call)  # a failed free pass is no end
         return (engine, result) if engine else self._pass(now, PAID, call)[:2]
+
+
+def route(calls: DataFrame, mode: str = "hybrid", pinned: bool = False) -> DataFrame:
+    """Each run's calls (run, seq, ts_ms, engine, outcome, hits) as its requests in order: (run, seq, engine, result).
+
+    The named engine answers as the log says, any other answers nothing.  ``pinned``
+    asks the named engine alone.  Rows stream past one router a run, whatever a
+    run's length.
+    """
+
+    def fold(batches):
+        import pandas as pd
+
+        run, router = None, None
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if run is None or r.run != run:
+                    run, router = r.run, Router(mode)
+                engine, result = router.search(int(r.ts_ms), lambda e, r=r: (r.outcome, r.hits) if e == r.engine else ("Ok", 0), pinned=r.engine if pinned else None)
+                out.append((r.run, r.seq, engine, result))
+            yield pd.DataFrame(out, columns=["run", "seq", "engine", "result"])
+
+    ordered = calls.select("run", "seq", "ts_ms", "engine", "outcome", "hits").repartition("run").sortWithinPartitions("run", "ts_ms", "seq")
+    return ordered.mapInPandas(fold, "run long, seq long, engine string, result string")

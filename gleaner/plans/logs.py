@@ -73,21 +73,7 @@ register("rtr10_dispatch_events", f"""WITH {CALLS}
     ELSE ['Fallback'] END AS e FROM calls))""")(lambda s, d: S.dispatch_events(calls(s, d)))
 
 
-def routed(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's calls as the requests of one run through the router, on a simulated clock."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        router, out = S.Router("hybrid"), []
-        for r in rows.sort_values(["ts_ms", "seq"], kind="stable").itertuples():
-            engine, result = router.search(int(r.ts_ms), lambda e, r=r: (r.outcome, r.hits) if e == r.engine else ("Ok", 0))
-            out.append((r.user_id, r.seq, engine, result))
-        return pd.DataFrame(out, columns=["run", "seq", "engine", "result"])
-
-    return calls(spark, sf).groupBy("user_id").applyInPandas(run, "run long, seq long, engine string, result string")
-
-
-register("rtr7_search_auto")(routed)
+register("rtr7_search_auto")(lambda s, d: S.route(calls(s, d).withColumnRenamed("user_id", "run")))
 # Reputation log: the user is the domain, the type the entry.
 LOG_SQL = """SELECT concat('d', user_id % 40) AS domain, event_id AS seq, ts, CASE
     WHEN event_type IN ('click', 'purchase') THEN 'decay' ELSE 'write' END AS kind, CASE event_type

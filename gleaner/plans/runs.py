@@ -97,20 +97,5 @@ register("snk11_telemetry", """SELECT '{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:
 )
 
 
-def routed(spark: SparkSession, sf: str, mode: str, pinned: bool) -> DataFrame:
-    """Each user's calls as requests of one run, in one mode or pinned to the call's own engine."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        router, out = S.Router(mode), []
-        for r in rows.sort_values(["ts_ms", "seq"], kind="stable").itertuples():
-            engine, result = router.search(int(r.ts_ms), lambda e, r=r: (r.outcome, r.hits) if e == r.engine else ("Ok", 0), pinned=r.engine if pinned else None)
-            out.append((r.user_id, r.seq, engine, result))
-        return pd.DataFrame(out, columns=["run", "seq", "engine", "result"])
-
-    return calls(spark, sf).groupBy("user_id").applyInPandas(run, "run long, seq long, engine string, result string")
-
-
-register("rtr8_search_priority")(lambda s, d: routed(s, d, "free", False))
-COOLING = "CASE outcome WHEN 'RateLimited' THEN ts_ms + 300000 WHEN 'Captcha' THEN ts_ms + 1800000 END"
-register("rtr9_search_pinned")(lambda s, d: routed(s, d, "hybrid", True))
+register("rtr8_search_priority")(lambda s, d: S.route(calls(s, d).withColumnRenamed("user_id", "run"), "free"))
+register("rtr9_search_pinned")(lambda s, d: S.route(calls(s, d).withColumnRenamed("user_id", "run"), pinned=True))

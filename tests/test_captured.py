@@ -187,3 +187,15 @@ def test_reputation_in_stretches_equals_a_plain_fold(spark, stretch):
         held[domain] = reputation_step(held.get(domain, (0, (), 0.0)), kind, flags, float(t))
         hits, kept, _ = held[domain]
         assert got[domain, seq] == (hits, sorted(kept), is_blocked(hits, kept)), (domain, seq)
+
+
+@pytest.mark.parametrize(("mode", "pinned"), [("hybrid", False), ("free", False), ("hybrid", True)])
+def test_routes_equal_one_router_a_run(spark, mode, pinned):
+    rng = random.Random(12)
+    rows = [(rng.randrange(4), i, 1000 * i + rng.randrange(400), rng.choice(state.PRIORITY["hybrid"]), rng.choice(["Ok", "Ok", "Captcha", "Network"]), rng.randrange(3)) for i in range(250)]
+    calls = spark.createDataFrame(rows, "run long, seq long, ts_ms long, engine string, outcome string, hits int").repartition(5)
+    got = {(r.run, r.seq): (r.engine, r.result) for r in state.route(calls, mode, pinned).collect()}
+    routers = {}
+    for run, seq, ts, engine, outcome, hits in sorted(rows, key=lambda x: (x[2], x[1])):
+        router = routers.setdefault(run, state.Router(mode))
+        assert got[run, seq] == router.search(ts, lambda e: (outcome, hits) if e == engine else ("Ok", 0), pinned=engine if pinned else None)
