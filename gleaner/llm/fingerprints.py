@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.tables import count_passed, padded
 from gleaner.llm.words import U, mix
 
 KEEP, BATCH = 64, 1 << 18
@@ -163,14 +164,15 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     low = None if known.nulls else known.low
     cuts = sorted({x for x in known.cuts or [] if x != low})
     n = len(cuts)
-    part = F.lit(0)
-    if cuts:
-        ladder = F.array(*map(F.lit, cuts))
-        part = F.when(F.isnull("id"), 0).otherwise(F.size(F.filter(ladder, lambda c: c <= F.col("id"))))
+    steps = padded(cuts, (1 << 63) - 1)
+    ladder = F.array(*[F.lit(c).cast("long") for c in steps])
+    place = F.least(count_passed(lambda at: F.element_at(ladder, at), len(steps), lambda c: c <= F.col("id")), F.lit(n))
+    placed = docs.select("id", "text", F.coalesce(place, F.lit(0)).alias("__part"))
+    part = F.col("__part")
     first = F.isnull("id") if known.nulls else F.col("id") == F.lit(low)
     copies = F.array(F.struct(part.alias("part"), F.lit(0).alias("last")), F.struct((part - 1).alias("part"), F.lit(1).alias("last")), F.struct(F.lit(n).alias("part"), F.lit(1).alias("last")))
     wanted = F.filter(copies, lambda c: (c["last"] == 0) | ((c["part"] == part - 1) & F.col("id").isin(cuts or [None]) & ~first) | ((c["part"] == n) & first))
-    return docs.select("id", "text", F.explode(wanted).alias("to")).select("to.part", "to.last", "id", "text").repartition("part").sortWithinPartitions("part", "last", F.col("id").asc_nulls_first(), "text")
+    return placed.select("id", "text", F.explode(wanted).alias("to")).select("to.part", "to.last", "id", "text").repartition("part").sortWithinPartitions("part", "last", F.col("id").asc_nulls_first(), "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP, ranges: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ Each document's number of copies is the Poisson quantile, at that rate, of a
 uniform number hashed from the seed and its id; copies are exploded and all rows
 are put in the order of a second hash, one global shuffle.  Cumulative
 probabilities are made once a source; a document finds its count in them by
-binary search, a step a projection, all in generated code.
+binary search.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.tables import Scratch
+from gleaner.llm.tables import Scratch, bound, count_passed
 
 #: Rates above this are drawn as sums of draws at most this large, so that exp(-rate) stays far from 0.
 _PIECE = 32.0
@@ -40,16 +40,6 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST - 1)), start, step, lambda s: s["all"])
 
 
-def with_quantile(df: DataFrame, chances: str, uniform: str, out: str) -> DataFrame:
-    """Adds the smallest count whose cumulative probability exceeds a uniform number: as many entries as aren't above it."""
-    step = _MOST // 2
-    df = df.withColumn(out, F.lit(0))
-    while step:
-        df = df.withColumn(out, F.col(out) + F.when(F.col(chances)[F.col(out) + (step - 1)] <= F.col(uniform), step).otherwise(0))
-        step //= 2
-    return df
-
-
 def mix_sources(docs: DataFrame, weights: dict[str, float] | DataFrame | None = None, size: float = 1.0, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Replicate documents so that sources have their target shares, in a global random order.
 
@@ -80,11 +70,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | DataFrame | None =
     rates = found.select("__source", (F.lit(float(whole.rows or 0) * size) * F.col("weight") / F.lit(whole.weight or 1.0) / F.col("rows")).alias("rate"))
     rates = rates.withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / _PIECE)).cast("int"))
     rates = scratch.save(rates.select("__source", "__draws", cumulative(F.col("rate") / F.col("__draws")).alias("__chances")), "rates")
+    scratch.drop("sources")
     if whole.n <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rated = docs.select(*columns).join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
     uniform = lambda i: hashed(F.lit(seed), F.col(id_col), i) / F.lit(float(1 << 52))
-    drawn = with_quantile(rated.withColumn("__uniform", uniform(F.lit(1))), "__chances", "__uniform", "__first")
+    drawn = rated.withColumn("__first", bound(uniform(F.lit(1)), lambda u: count_passed(lambda place: F.col("__chances")[place - 1], _MOST, lambda c: c <= u)))
     # further draws, for rates above ``_PIECE`` alone
     more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), F.lit(0), lambda s, i: s + F.size(F.filter("__chances", lambda c: c <= uniform(i))))
     drawn = drawn.withColumn("copies", F.col("__first") + F.when(F.col("__draws") > 1, more).otherwise(0))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.tables import Scratch
+from gleaner.llm.tables import Scratch, bound, count_passed, padded
 
 _LOW = -(1 << 63)
 _SPAN = 1 << 64
@@ -102,21 +102,15 @@ def _splitters(keys: DataFrame, targets: list[float], slack: float, whole: float
     return [done[t] for t in targets]
 
 
-def _placed(df: DataFrame, cuts: list[tuple[int, int]], out: str) -> DataFrame:
-    """Adds how many splitters a key (__h, __k) has reached: a binary search, a step a projection."""
-    width = 1
-    while width <= len(cuts):
-        width *= 2
-    last = (-_LOW - 1, -_LOW - 1)
-    padded = [*cuts, *[last] * (width - len(cuts))]
-    ladder = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in padded])
-    df = df.withColumn(out, F.lit(0))
-    while width > 1:
-        width //= 2
-        cut = F.element_at(ladder, F.col(out) + width)
-        reached = (cut["h"] < F.col("__h")) | ((cut["h"] == F.col("__h")) & (cut["k"] <= F.col("__k")))
-        df = df.withColumn(out, F.col(out) + F.when(reached, width).otherwise(0))
-    return df.withColumn(out, F.least(F.col(out), F.lit(len(cuts))))
+def _placed(cuts: list[tuple[int, int]]) -> Column:
+    """How many splitters a key (__h, __k) has reached."""
+    steps = padded(cuts, (-_LOW - 1, -_LOW - 1))
+    ladder = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in steps])
+
+    def found(key: Column) -> Column:
+        return count_passed(lambda place: F.element_at(ladder, place), len(steps), lambda cut: (cut["h"] < key["h"]) | ((cut["h"] == key["h"]) & (cut["k"] <= key["k"])))
+
+    return F.least(bound(F.struct(F.col("__h").alias("h"), F.col("__k").alias("k")), found), F.lit(len(cuts)))
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.1, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -153,7 +147,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     of_shard = lambda values: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), F.col("shard") + 1)
 
     def ranged(df: DataFrame) -> DataFrame:
-        placed = _placed(df, cuts, "shard").withColumn("__start", of_shard(starts)).withColumn("__step", of_shard(steps))
+        placed = df.withColumn("shard", _placed(cuts)).withColumn("__start", of_shard(starts)).withColumn("__step", of_shard(steps))
         return placed.withColumn("__range", F.expr("(shiftright(__h, 32) - __start) div __step")).drop("__start", "__step")
 
     small = shards * fine <= BROADCAST_RANGES

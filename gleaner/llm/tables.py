@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import U, mix
@@ -68,6 +69,30 @@ def drop_since(mark: int, keep: Scratch | None = None) -> None:
     _MADE[mark:] = [keep] if keep in _MADE[mark:] else []
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def count_passed(entry: Callable[[Column], Column], size: int, passed: Callable[[Column], Column]) -> Column:
+    """How many entries of a sorted array are passed, fewer than ``size``, a power of 2: a binary search.
+
+    ``entry`` gives the entry of a place, counted from 1.  A fold over the steps'
+    widths: steps written one on another would double the expression with each
+    filter that is pushed below them.
+    """
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length() - 1))])
+    return F.aggregate(widths, F.lit(0), lambda at, width: at + F.when(passed(entry(at + width)), width).otherwise(0))
+
+
+def padded(values: list, last) -> list:
+    """The values and as many of ``last`` as fill a power of 2, one more than the values at least."""
+    size = 1
+    while size <= len(values):
+        size *= 2
+    return [*values, *[last] * (size - len(values))]
+
+
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """The set of values of a long column in ``[0, 2**bits)``, as packed bits on the driver.
 

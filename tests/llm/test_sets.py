@@ -212,7 +212,7 @@ def test_poisson_inversion_is_exact(spark):
 
     rows = [(float(rate), u / 997) for rate in (0.0, 0.1, 1.0, 7.5, 31.9) for u in range(997)]
     df = frame(spark, rows, "rate double, u double").withColumn("chances", mixing.cumulative(F.col("rate")))
-    for r in mixing.with_quantile(df, "chances", "u", "k").collect():
+    for r in df.withColumn("k", tables.count_passed(lambda place: F.col("chances")[place - 1], 128, lambda c: c <= F.col("u"))).collect():
         p = c = exp(-r.rate)
         k = 0
         while c <= r.u:
@@ -222,6 +222,16 @@ def test_poisson_inversion_is_exact(spark):
         assert r.k == k
 
 
+def test_a_search_by_steps_stays_small(spark):
+    steps = tables.padded(list(range(0, 5000, 10)), 1 << 40)
+    ladder = F.array(*[F.lit(c).cast("long") for c in steps])
+    found = spark.range(0, 6000, 7).withColumn("k", tables.count_passed(lambda place: F.element_at(ladder, place), len(steps), lambda c: c <= F.col("id")))
+    assert all(r.k == min(500, r.id // 10 + 1) for r in found.collect())
+    docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(50)], "doc_id long, text string, source string")
+    for df in (shards.shard(docs, 24), mixing.mix_sources(docs)):  # filters on what was searched are pushed down, and hold it once
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") < 12
+
+
 def test_large_rates_are_sums_of_draws(spark):
     docs = frame(spark, [(i, "a") for i in range(400)] + [(400, "b")], "doc_id long, source string")
     drawn = {r.doc_id: r.copies for r in mixing.mix_sources(docs, {"a": 9, "b": 1}, size=10.0).select("doc_id", "copies").distinct().collect()}
