@@ -244,7 +244,7 @@ text_query("flt17_blocking", {"blocking": (lambda c: Q.is_blocking(Q.flags(c)),
 text_query("txt3_collapse", {"collapsed": (lambda c: F.md5(T.collapse(c).cast("binary")), f"md5({O.collapse(t)})")})
 text_query("txt4_collapse_lines", {"collapsed": (lambda c: F.md5(T.collapse_lines(c).cast("binary")), f"""md5({O.trim("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')")})""")})
 text_query("txt5_strip_boilerplate", {"stripped": (lambda c: F.md5(T.strip_boilerplate(c).cast("binary")), f"""md5({O.trim("regexp_replace(regexp_replace(regexp_replace(text, '(?i)press enter or click to view (the )?image in full size', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')")})""")})
-TITLED = "CASE WHEN ord % 2 = 0 THEN concat(upper(title), '  ', snippet) ELSE snippet END"
+TITLED = "CASE WHEN ord % 2 = 0 THEN concat(translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '  ', snippet) ELSE snippet END"
 register("txt6_strip_leading_title", f"""WITH {I.HITS} SELECT ord, CASE
     WHEN length(title) > 0 AND starts_with(lower(c), lower(title)) THEN regexp_replace(c[length(title) + 1:], '^{O.WS}+', '')
     ELSE c END AS rest FROM (SELECT *, {TITLED} AS c
