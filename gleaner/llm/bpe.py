@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -179,17 +180,19 @@ def load_codec(path: str, pattern: str) -> Codec:
         return Codec(read_ranks(f), pattern)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_ids: bool = True, digests: bool = False) -> DataFrame:
     """Encode each whole text, then decode the ids.
 
     Returns the input's columns plus ``n_tokens`` (long), ``ids`` (array of
     int, if ``keep_ids``), ``ids_text`` (decimal ids joined by one space) and
-    ``decoded`` (binary); input columns of these names are replaced.  A null
+    ``decoded`` (binary), or with ``digests`` the lowercase hex SHA-256 of these
+    two, ``ids_sha256`` and ``decoded_sha256``, made where they are; input columns
+    of these names are replaced.  A null
     text counts as empty: no tokens, empty ids, empty bytes.  Rows are
     independent, so repeated rows and an empty table need no care.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_codec(vocabulary, pattern))
-    more = "n_tokens long, " + "ids array<int>, " * keep_ids + "ids_text string, decoded binary"
+    more = "n_tokens long, " + "ids array<int>, " * keep_ids + ("ids_sha256 string, decoded_sha256 string" if digests else "ids_text string, decoded binary")
     own = [f.name for f in StructType.fromDDL(more).fields]
     carried = docs.select(*[c for c in docs.columns if c not in own])
     columns = carried.columns
@@ -203,8 +206,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
                 arrays.append(pa.array([len(x) for x in rows], pa.int64()))
                 if keep_ids:
                     arrays.append(pa.array(rows, pa.list_(pa.int32())))
-                arrays.append(pa.array([" ".join(map(codec.decimal.__getitem__, x)) for x in rows], pa.string()))
-                arrays.append(pa.array([codec.decode(x) for x in rows], pa.binary()))
+                written, decoded = (" ".join(map(codec.decimal.__getitem__, x)) for x in rows), (codec.decode(x) for x in rows)
+                if digests:
+                    arrays += [pa.array([sha256(x.encode()).hexdigest() for x in written], pa.string()), pa.array([sha256(x).hexdigest() for x in decoded], pa.string())]
+                else:
+                    arrays += [pa.array(list(written), pa.string()), pa.array(list(decoded), pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, *own])
 
     return carried.mapInArrow(encode, StructType([*carried.schema.fields, *StructType.fromDDL(more).fields]))

@@ -134,8 +134,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.bpe import bpe_encode
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False, digests=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
